@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,6 +33,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """A table that is used more than once, written to the shared folder and read again: narrower than a checkpoint."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/tables/{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ascii_lower(column: Column) -> Column:
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

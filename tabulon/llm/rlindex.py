@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm.anchors import GRAM, anchors
-from tabulon.llm.common import Rolling, blocks, joined, utf8
+from tabulon.llm.common import Rolling, blocks, joined, saved, utf8
 
 LENGTH = 400
 #: Different spans of one anchor hash that a task holds; rows that it indexes at a time.
@@ -180,14 +180,15 @@ def unique(rows: pa.Table) -> pa.Table:
 
 def marks(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """(k1, k2, lo, hi): windows lo to hi of the texts with these hashes are repeated."""
-    found = spans(docs, length).withColumn("r", F.xxhash64("doc_id", "k1", "k2", "lo"))
+    found = saved(spans(docs, length)).withColumn("r", F.xxhash64("doc_id", "k1", "k2", "lo"))
     sums = found.groupBy("h", "g").agg(F.count("*").alias("times"), F.min("r").alias("r"))
     near = sums.groupBy("h").agg(F.count("*").alias("kinds"), F.sum((F.col("times") == 1).cast("int")).alias("single"), F.sum("times").alias("all")).filter("all > 1")
     judged = sums.join(near, "h").filter("times > 1 or kinds > 1").select("h", "g", "times", F.col("r").alias("chosen"), ((F.col("kinds") > 1) & (F.col("single") > 0)).alias("look"), (F.col("kinds") > hot).alias("hot"))
-    kept = found.join(judged, ["h", "g"])
+    kept = found.join(judged, ["h", "g"]).select("doc_id", "k1", "k2", "lo", "hi", "h", "times", "hot", (F.col("look") & (F.col("r") == F.col("chosen"))).alias("look"))
+    kept = saved(kept.filter("times > 1 or look"))
     whole = kept.filter("times > 1").select("k1", "k2", "lo", "hi")
     item = F.struct("lo", "hi", "h", "times", "hot")
-    wanted = kept.filter("look and r = chosen").groupBy("k1", "k2", "doc_id").agg(F.collect_list(item).alias("items"))
+    wanted = kept.filter("look").groupBy("k1", "k2", "doc_id").agg(F.collect_list(item).alias("items"))
     withtext = docs.alias("d").join(wanted.alias("w"), (F.col("d.k1") == F.col("w.k1")) & (F.col("d.k2") == F.col("w.k2")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("d.k1", "d.k2", "d.text", "w.items")
 
     def cut(batches):
@@ -210,6 +211,9 @@ def marks(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
 
     cold = texts.filter("not hot").repartition("h").sortWithinPartitions("h").mapInArrow(index, MARKS)
 
+    if kept.filter("look and hot").isEmpty():
+        return whole.unionByName(cold)
+
     def windows(batches):
         for b in batches:
             for i in range(len(b)):

@@ -159,7 +159,7 @@ def redact(formula: str | None) -> str | None:
 
 
 # Aggregate calls that make a formula a total.
-TOTALS = ("SUM", "AVERAGE", "COUNT", "COUNTA", "MAX", "MIN", "PRODUCT", "SUBTOTAL")
+TOTALS = ("SUM", "SUBTOTAL", "AGGREGATE", "AVERAGE", "COUNT", "COUNTA", "MIN", "MAX")
 
 
 def is_total(formula: str) -> bool:

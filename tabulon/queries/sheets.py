@@ -1 +1,283 @@
-"""Queries over sheets of cells and formulas."""
+"""Queries over sheets: cells, formulas, structure, the graph, provenance.
+
+The formula sheet is made of orders: row = o_orderkey, from 0; column A the key, B the price, C
+`B*2` (edited to `B*3` on every 97th key, typed over on every 89th), D `IF(C>200000,...)`.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tabulon.address import a1_column, cite_column
+from tabulon.functions.text import formula_cells, redact_column, references_of
+from tabulon.operators import graph, structure, trace
+from tabulon.queries import query
+from tabulon.sources.tables import cells_in, long, pivoted, read, used_range
+from tabulon.streaming.watch import diff
+
+
+def key_cells(spark, sf_dir):
+    return long(read(spark, sf_dir, "nation").withColumn("n_nationkey", F.col("n_nationkey").cast("int")), "n_nationkey")
+
+
+NATION = "(SELECT n_nationkey AS \"row\", 0 AS col, 'number' AS kind, CAST(n_nationkey AS DOUBLE) AS num, NULL AS txt FROM nation UNION ALL SELECT n_nationkey, 1, 'text', NULL, n_name FROM nation UNION ALL SELECT n_nationkey, 2, 'number', CAST(n_regionkey AS DOUBLE), NULL FROM nation) c"
+
+
+@query("cells_in", f'SELECT "row", col, kind, num, txt FROM {NATION} WHERE "row" BETWEEN 3 AND 9 AND col BETWEEN 1 AND 2')
+def rectangle(spark, sf_dir):
+    return cells_in(key_cells(spark, sf_dir), 0, 3, 1, 9, 2).select("row", "col", "kind", "num", "txt")
+
+
+@query("count_in", f'SELECT count(*) AS n FROM {NATION} WHERE "row" BETWEEN 3 AND 9 AND col BETWEEN 1 AND 2')
+def count_in(spark, sf_dir):
+    return cells_in(key_cells(spark, sf_dir), 0, 3, 1, 9, 2).agg(F.count("*").alias("n"))
+
+
+@query("used_range", f'SELECT 0 AS sheet_id, min("row") AS top, min(col) AS "left", max("row") AS bottom, max(col) AS "right", count(*) AS cells FROM {NATION}')
+def used(spark, sf_dir):
+    return used_range(key_cells(spark, sf_dir))
+
+
+@query("find_value", f"SELECT \"row\", col FROM {NATION} WHERE kind = 'number' AND num = 3")
+def find_value(spark, sf_dir):
+    return trace.find_value(key_cells(spark, sf_dir), 3.0).select("row", "col")
+
+
+@query("read_rows", "SELECT CAST(i AS INT) AS \"row\", n_name AS name, CAST(n_regionkey AS DOUBLE) AS region FROM range(0, 30) r(i) LEFT JOIN nation ON n_nationkey = i")
+def read_rows(spark, sf_dir):
+    out = pivoted(key_cells(spark, sf_dir), 0, 29, {1: "name", 2: "region"})
+    return out.select("row", F.col("name.txt").alias("name"), F.col("region.num").alias("region"))
+
+
+@query("citations", "SELECT p_partkey, CASE WHEN regexp_matches(p_brand, '^[\\p{L}\\p{N}_.]+$') AND NOT regexp_matches(p_brand, '^[0-9]') AND NOT regexp_matches(p_brand, '^[A-Za-z]{1,3}[0-9]+$') THEN p_brand ELSE '''' || replace(p_brand, '''', '''''') || '''' END || '!' || CASE WHEN c >= 702 THEN chr(CAST(65 + (c - 702) // 676 AS INT)) ELSE '' END || CASE WHEN c >= 26 THEN chr(CAST(65 + (c // 26 - 1) % 26 AS INT)) ELSE '' END || chr(CAST(65 + c % 26 AS INT)) || (p_partkey + 1) AS cite FROM (SELECT *, (p_partkey * 7) % 16384 AS c FROM part)")
+def citations(spark, sf_dir):
+    k = F.col("p_partkey")
+    return read(spark, sf_dir, "part").select("p_partkey", cite_column(F.col("p_brand"), k, k * 7 % 16384, k, k * 7 % 16384).alias("cite"))
+
+
+# --- the formula sheet -------------------------------------------------------------------------
+def sheet(spark, sf_dir):
+    o = read(spark, sf_dir, "orders")
+    k, price = F.col("o_orderkey"), F.col("o_totalprice")
+    row = k.cast("int")
+    line = (k + 1).cast("string")
+    none, text, flag = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("boolean")
+    doubled = price * F.when(k % 97 == 0, 3).otherwise(2)
+    stored = doubled + F.when(k % 83 == 0, 1).otherwise(0)
+    number = lambda c, v, f: F.struct(F.lit(c).alias("col"), F.lit("number").alias("kind"), v.cast("double").alias("num"), text.alias("txt"), f.alias("formula"))
+    c = F.when(k % 89 == 0, none).when(k % 97 == 0, F.concat(F.lit("B"), line, F.lit("*3"))).otherwise(F.concat(F.lit("B"), line, F.lit("*2")))
+    d = F.concat(F.lit("IF(C"), line, F.lit('>200000,"high","low")'))
+    word = F.struct(F.lit(3).alias("col"), F.lit("text").alias("kind"), F.lit(None).cast("double").alias("num"), F.when(stored > 200000, "high").otherwise("low").alias("txt"), d.alias("formula"))
+    items = F.array(number(0, k, none), number(1, price, none), number(2, stored, c), word)
+    cells = o.select(row.alias("row"), F.explode(items).alias("c"))
+    return cells.select(F.lit(0).alias("sheet_id"), "row", "c.col", "c.kind", "c.num", "c.txt", flag.alias("flag"), none.alias("err"), F.lit(False).alias("is_date"), "c.formula")
+
+
+SHAPES = """(SELECT o_orderkey AS "row", 2 AS col, CASE WHEN o_orderkey % 97 = 0 THEN 'RC[-1]*3' ELSE 'RC[-1]*2' END AS shape FROM orders WHERE o_orderkey % 89 <> 0
+  UNION ALL SELECT o_orderkey, 3, 'IF(RC[-1]>200000,"high","low")' FROM orders)"""
+
+
+@query("formula_shapes", f"SELECT col, shape, count(*) AS cells FROM {SHAPES} GROUP BY 1, 2")
+def formula_shapes(spark, sf_dir):
+    return formula_cells(sheet(spark, sf_dir)).groupBy("col", "shape").agg(F.count("*").alias("cells"))
+
+
+@query("formula_references", "SELECT CAST(o_orderkey AS INT) AS \"row\", 2 AS col, 'B' || (o_orderkey + 1) AS text FROM orders WHERE o_orderkey % 89 <> 0 UNION ALL SELECT CAST(o_orderkey AS INT), 3, 'C' || (o_orderkey + 1) FROM orders")
+def formula_references(spark, sf_dir):
+    return references_of(sheet(spark, sf_dir)).select("row", "col", "text")
+
+
+RUNS = f"""(SELECT col, shape, min("row") AS top, max("row") AS bottom, count(*) AS cells FROM (SELECT *, "row" - row_number() OVER (PARTITION BY col, shape ORDER BY "row") AS island FROM {SHAPES}) GROUP BY col, shape, island)"""
+
+
+@query("formula_groups", f"SELECT shape, CAST(top AS INT) AS top, CAST(bottom AS INT) AS bottom, col AS \"left\", col AS \"right\", cells FROM {RUNS}")
+def formula_groups(spark, sf_dir):
+    return structure.groups(formula_cells(sheet(spark, sf_dir))).select("shape", "top", "bottom", "left", "right", "cells")
+
+
+@query("formula_group_stats", f"SELECT CAST(sum(cells) AS BIGINT) AS formula_cells, count(*) AS groups, count(*) FILTER (WHERE cells = 1) AS singletons, max(cells) AS largest, sum(cells) / count(*) AS compression FROM {RUNS}")
+def formula_group_stats(spark, sf_dir):
+    return structure.grouping_stats(structure.groups(formula_cells(sheet(spark, sf_dir))))
+
+
+@query(
+    "formula_exceptions",
+    f"""WITH n AS (SELECT *, lag("row") OVER w AS up, lag(shape) OVER w AS above, lead("row") OVER w AS down, lead(shape) OVER w AS below FROM {SHAPES} WINDOW w AS (PARTITION BY col ORDER BY "row"))
+    SELECT CAST("row" AS INT) AS "row", col, 'edited' AS what FROM n WHERE up = "row" - 1 AND down = "row" + 1 AND above = below AND shape <> above
+    UNION ALL SELECT CAST("row" + 1 AS INT), col, 'missing' FROM n WHERE down = "row" + 2 AND shape = below""",
+)
+def formula_exceptions(spark, sf_dir):
+    return structure.exceptions(formula_cells(sheet(spark, sf_dir))).select("row", "col", "what")
+
+
+def whole(spark, sf_dir):
+    n = read(spark, sf_dir, "orders").agg(F.max("o_orderkey").alias("n"))
+    return n.select(F.lit("all").alias("body"), F.lit(0).alias("sheet_id"), F.lit(0).alias("top"), F.lit(0).alias("left"), F.col("n").cast("int").alias("bottom"), F.lit(3).alias("right"))
+
+
+@query("formula_audit", "SELECT 2 AS col, count(*) FILTER (WHERE o_orderkey % 89 <> 0) AS formulas, 2 AS shapes, count(*) FILTER (WHERE o_orderkey % 89 <> 0 AND o_orderkey % 97 <> 0) AS fill_cells, count(*) FILTER (WHERE o_orderkey % 89 <> 0 AND o_orderkey % 97 = 0) AS deviants, count(*) FILTER (WHERE o_orderkey % 89 = 0) AS typed, true AS broken FROM orders UNION ALL SELECT 3, count(*), 1, count(*), 0, 0, false FROM orders")
+def formula_audit(spark, sf_dir):
+    return structure.column_audit(sheet(spark, sf_dir), whole(spark, sf_dir)).select("col", "formulas", "shapes", "fill_cells", "deviants", "typed", "broken")
+
+
+@query("redact_formulas", "SELECT CAST(o_orderkey AS INT) AS \"row\", 'IF(C' || (o_orderkey + 1) || '><number>,<text>,<text>)' AS formula FROM orders")
+def redact_formulas(spark, sf_dir):
+    return sheet(spark, sf_dir).filter("col = 3").select("row", redact_column("formula").alias("formula"))
+
+
+@query("recompute_check", "SELECT 'agrees' AS outcome, count(*) FILTER (WHERE o_orderkey % 89 <> 0 AND o_orderkey % 83 <> 0) + count(*) AS cells FROM orders UNION ALL SELECT 'differs', count(*) FILTER (WHERE o_orderkey % 89 <> 0 AND o_orderkey % 83 = 0) FROM orders")
+def recompute_check(spark, sf_dir):
+    return trace.recompute(sheet(spark, sf_dir), ["Orders"]).groupBy("outcome").agg(F.count("*").alias("cells"))
+
+
+@query("recompute_values", "SELECT CAST(o_orderkey AS INT) AS \"row\", round(o_totalprice * CASE WHEN o_orderkey % 97 = 0 THEN 3 ELSE 2 END, 6) AS num FROM orders WHERE o_orderkey % 89 <> 0 AND o_orderkey % 83 = 0")
+def recompute_values(spark, sf_dir):
+    return trace.recompute(sheet(spark, sf_dir), ["Orders"]).filter("outcome = 'differs'").select("row", F.round("num", 6).alias("num"))
+
+
+@query("dependents_of_price", "SELECT CAST(o_orderkey AS INT) AS \"row\", 2 AS col FROM orders WHERE o_orderkey BETWEEN 100 AND 119 AND o_orderkey % 89 <> 0")
+def dependents_of_price(spark, sf_dir):
+    from tabulon.address import Range
+
+    cells = sheet(spark, sf_dir)
+    refs = graph.resolved(references_of(cells), spark.createDataFrame([(0, "Orders")], "sheet_id int, name string"))
+    return trace.dependents(refs, 0, Range(100, 1, 119, 1)).select("row", "col")
+
+
+@query("whatif_level", "SELECT CAST(o_orderkey AS INT) AS \"row\", 2 AS col FROM orders WHERE o_orderkey % 1000 = 0 AND o_orderkey % 89 <> 0")
+def whatif_level(spark, sf_dir):
+    cells = sheet(spark, sf_dir)
+    refs = graph.resolved(references_of(cells), spark.createDataFrame([(0, "Orders")], "sheet_id int, name string"))
+    frontier = cells.filter("col = 1 and row % 1000 = 0").select("sheet_id", "row", "col")
+    return trace.dependents_of_many(refs, frontier).select("row", "col")
+
+
+@query("whatif_moved", None)
+def whatif_moved(spark, sf_dir):
+    cells = sheet(spark, sf_dir)
+    refs = graph.resolved(references_of(cells), spark.createDataFrame([(0, "Orders")], "sheet_id int, name string"))
+    impact = trace.what_if(cells, refs, ["Orders"], {(0, r, 1): 1e6 for r in range(10)})
+    rows = [(*m["cell"], m["level"], str(m["after"])) for m in impact.moved]
+    return spark.createDataFrame(rows, "sheet_id int, row int, col int, level int, after string")
+
+
+@query("schema_infer", "SELECT 0 AS key_left, 'Part' AS table_sheet, 2 AS column, false AS approximate, count(*) AS cells FROM orders")
+def schema_infer(spark, sf_dir):
+    k = F.col("o_orderkey")
+    none = F.lit(None)
+    f = F.concat(F.lit("VLOOKUP(A"), (k + 1).cast("string"), F.lit(",Part!$A$1:$C$9,2,FALSE)"))
+    cells = read(spark, sf_dir, "orders").select(F.lit(0).alias("sheet_id"), k.cast("int").alias("row"), F.lit(1).alias("col"), F.lit("number").alias("kind"), F.lit(1.0).alias("num"), none.cast("string").alias("txt"), none.cast("boolean").alias("flag"), none.cast("string").alias("err"), F.lit(False).alias("is_date"), f.alias("formula"))
+    return trace.infer_schema(formula_cells(cells)).select("key_left", "table_sheet", "column", "approximate", "cells")
+
+
+# --- regions -----------------------------------------------------------------------------------
+BLOCKS = """(SELECT CAST(floor((i % 1000) / 100) * 110 + i % 100 AS INT) AS "row", CAST(floor(i / 1000) * 3 + j AS INT) AS col FROM range(0, 5000) r(i), range(0, 2) s(j))"""
+
+
+@query("region_partition", f'SELECT min("row") AS top, min(col) AS "left", max("row") AS bottom, max(col) AS "right", count(*) AS cells FROM {BLOCKS} GROUP BY floor("row" / 110), floor(col / 3)')
+def region_partition(spark, sf_dir):
+    i = F.col("id")
+    cells = spark.range(5000).select((F.floor(i % 1000 / 100) * 110 + i % 100).cast("int").alias("row"), F.explode(F.array(F.lit(0), F.lit(1))).alias("j"), i)
+    cells = cells.select(F.lit(0).alias("sheet_id"), "row", (F.floor(F.col("id") / 1000) * 3 + F.col("j")).cast("int").alias("col"), F.lit("number").alias("kind"), F.lit(None).cast("string").alias("formula"))
+    return structure.bounds(structure.partitioned(cells)).select("top", "left", "bottom", "right", "cells")
+
+
+@query("region_describe", None)
+def region_describe(spark, sf_dir):
+    t = read(spark, sf_dir, "nation").select((F.col("n_nationkey") + 1).cast("int").alias("row"), "n_name", "n_regionkey")
+    head = spark.createDataFrame([(0, 0, "text", None, "Nation"), (0, 1, "text", None, "Region")], "row int, col int, kind string, num double, txt string")
+    cells = long(t, "row", ["n_name", "n_regionkey"])
+    top = head.select(F.lit(0).alias("sheet_id"), "row", "col", "kind", "num", "txt", F.lit(None).cast("boolean").alias("flag"), F.lit(None).cast("string").alias("err"), F.lit(False).alias("is_date"), F.lit(None).cast("string").alias("formula"))
+    return structure.regions(cells.unionByName(top)).select("top", "left", "bottom", "right", "cells", "kind", "header_rows", "header_cols", F.array_join("headers", ",").alias("headers"))
+
+
+# --- the graph ---------------------------------------------------------------------------------
+def keys_graph(spark, sf_dir):
+    """Tables as a graph of keys: an edge from each row to what it names, weight the count of references."""
+    node = lambda t, c: F.concat(F.lit(f"{t}:"), F.col(c).cast("string"))
+    parts = [("customer", "c_nationkey", "c", "n", "c_custkey"), ("orders", "o_custkey", "o", "c", "o_orderkey"), ("nation", "n_regionkey", "n", "r", "n_nationkey")]
+    out = None
+    for table, to, a, b, key in parts:
+        e = read(spark, sf_dir, table).select(node(a, key).alias("src"), node(b, to).alias("dst"), F.lit("DEPENDS_ON").alias("kind"))
+        out = e if out is None else out.unionByName(e)
+    lines = read(spark, sf_dir, "lineitem").select(node("o", "l_orderkey").alias("src"), node("s", "l_suppkey").alias("dst"), F.lit("CROSS_SHEET_REF").alias("kind"))
+    return out.unionByName(lines).groupBy("src", "dst", "kind").agg(F.count("*").alias("weight"))
+
+
+KEYS = """(SELECT src, dst, kind, count(*) AS weight FROM (
+  SELECT 'c:' || c_custkey AS src, 'n:' || c_nationkey AS dst, 'DEPENDS_ON' AS kind FROM customer UNION ALL SELECT 'o:' || o_orderkey, 'c:' || o_custkey, 'DEPENDS_ON' FROM orders
+  UNION ALL SELECT 'n:' || n_nationkey, 'r:' || n_regionkey, 'DEPENDS_ON' FROM nation UNION ALL SELECT 'o:' || l_orderkey, 's:' || l_suppkey, 'CROSS_SHEET_REF' FROM lineitem) GROUP BY 1, 2, 3)"""
+
+
+@query("graph_edges", f"SELECT * FROM {KEYS} e")
+def graph_edges(spark, sf_dir):
+    return keys_graph(spark, sf_dir)
+
+
+@query("graph_degrees", f"WITH b AS (SELECT src AS node, dst AS other, 1 AS o, 0 AS i FROM {KEYS} UNION ALL SELECT dst, src, 0, 1 FROM {KEYS}) SELECT node, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree, count(DISTINCT other) AS neighbors, CAST(floor(log2(count(*))) AS INT) AS bucket FROM b GROUP BY node")
+def graph_degrees(spark, sf_dir):
+    return graph.degrees(keys_graph(spark, sf_dir))
+
+
+@query("graph_lifting", f"SELECT CAST(sum(weight) AS BIGINT) AS \"references\", count(*) AS edges, sum(weight) / count(*) AS ratio FROM {KEYS}")
+def graph_lifting(spark, sf_dir):
+    return graph.lifting_ratio(keys_graph(spark, sf_dir))
+
+
+@query("graph_audit", f"SELECT src, dst, kind, weight AS expected, CASE WHEN strlen(src) % 5 = 1 THEN NULL ELSE weight + 1 END AS actual, CASE WHEN strlen(src) % 5 = 1 THEN 'missing' ELSE 'weight' END AS finding FROM {KEYS} WHERE strlen(src) % 5 = 1 OR (strlen(src) % 5 <> 1 AND src LIKE '%77')")
+def graph_audit(spark, sf_dir):
+    e = keys_graph(spark, sf_dir)
+    broken = e.filter(F.octet_length("src") % 5 != 1).withColumn("weight", F.col("weight") + F.when(F.col("src").like("%77"), 1).otherwise(0))
+    return graph.audit(e, broken)
+
+
+@query("graph_reachable", f"WITH RECURSIVE w(node, hops) AS (SELECT 'o:' || o_orderkey, 0 FROM orders WHERE o_orderkey <= 5 UNION SELECT e.dst, w.hops + 1 FROM w JOIN {KEYS} e ON e.src = w.node WHERE w.hops < 3) SELECT node, min(hops) AS hops FROM w GROUP BY node")
+def graph_reachable(spark, sf_dir):
+    seeds = read(spark, sf_dir, "orders").filter("o_orderkey <= 5").select(F.concat(F.lit("o:"), F.col("o_orderkey").cast("string")).alias("node"))
+    return graph.reachable(keys_graph(spark, sf_dir), seeds, 3)
+
+
+@query("graph_lifted", "SELECT 'sheet 0' AS src, 'region 0#price' AS dst, 'DEPENDS_ON' AS kind, count(*) FILTER (WHERE o_orderkey % 89 <> 0) AS weight FROM orders")
+def graph_lifted(spark, sf_dir):
+    cells = sheet(spark, sf_dir)
+    names = spark.createDataFrame([(0, "Orders")], "sheet_id int, name string")
+    regions = spark.createDataFrame([(0, "price", 0, 1, 1_048_575, 1)], "sheet_id int, block string, top int, left int, bottom int, right int")
+    return graph.lifted(cells, names, regions)
+
+
+@query("graph_accounting", "SELECT count(*) FILTER (WHERE o_orderkey % 89 <> 0) + count(*) AS scanned, count(*) FILTER (WHERE o_orderkey % 89 <> 0) AS lifted, 0 AS within, 0 AS external, 0 AS unknown, count(*) AS unpopulated FROM orders")
+def graph_accounting(spark, sf_dir):
+    names = spark.createDataFrame([(0, "Orders")], "sheet_id int, name string")
+    regions = spark.createDataFrame([(0, "price", 0, 1, 1_048_575, 1)], "sheet_id int, block string, top int, left int, bottom int, right int")
+    return graph.reference_report(sheet(spark, sf_dir), names, regions)
+
+
+@query("region_fit", "SELECT CAST(n_nationkey AS INT) AS q, CASE WHEN n_nationkey < 3 THEN 'inside' WHEN n_nationkey = 3 THEN 'overlaps' WHEN n_nationkey = 4 THEN 'exact' ELSE 'none' END AS fit FROM nation WHERE n_nationkey < 8")
+def region_fit(spark, sf_dir):
+    k = F.col("n_nationkey")
+    top = F.when(k < 3, k + 1).when(k == 3, 5).when(k == 4, 0).otherwise(100)
+    bottom = F.when(k < 3, k + 1).when(k == 3, 20).when(k == 4, 9).otherwise(101)
+    q = read(spark, sf_dir, "nation").filter("n_nationkey < 8").select(k.cast("int").alias("q"), F.lit(0).alias("sheet_id"), top.cast("int").alias("top"), F.lit(0).alias("left"), bottom.cast("int").alias("bottom"), F.lit(3).alias("right"))
+    regions = spark.createDataFrame([(0, "a", 0, 0, 9, 3)], "sheet_id int, block string, top int, left int, bottom int, right int")
+    return graph.fit(q, regions).select("q", "fit")
+
+
+# --- ledgers and snapshots ---------------------------------------------------------------------
+@query("watch_diff", "SELECT o_orderkey AS key, CASE WHEN o_orderkey % 3 = 0 THEN 'removed' WHEN o_orderkey % 5 = 0 THEN 'rewritten' END AS change FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 5 = 0")
+def watch_diff(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.sha2(F.col("o_totalprice").cast("string"), 256).alias("hash"))
+    later = o.filter("key % 3 <> 0").withColumn("hash", F.when(F.col("key") % 5 == 0, F.lit("new")).otherwise(F.col("hash")))
+    return diff(o, later)
+
+
+@query("call_ledger", "SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS nth FROM events")
+def call_ledger(spark, sf_dir):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id", "event_type").orderBy("event_id")
+    return read(spark, sf_dir, "events").select("event_id", F.row_number().over(w).alias("nth"))
+
+
+@query("a1_addresses", "SELECT n_nationkey, chr(CAST(65 + n_nationkey AS INT)) || (n_regionkey + 1) AS a1 FROM nation")
+def a1_addresses(spark, sf_dir):
+    return read(spark, sf_dir, "nation").select("n_nationkey", a1_column(F.col("n_regionkey"), F.col("n_nationkey")).alias("a1"))

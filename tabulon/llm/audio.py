@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import blocks, utf8
+from tabulon.llm.common import blocks, parts, utf8
 
 UNIT = 576
 RATE = 8000
@@ -157,7 +157,7 @@ SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 
 
 def digests(batches):
-    for batch in batches:
+    for batch in parts(batches, 1, CHUNK):
         ids, raw = batch.column(0), [utf8(t) for t in batch.column(1).to_pylist()]
         rows = []
         for lo, hi in blocks([len(r) + UNIT for r in raw], CHUNK):

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import cut, utf8
+from tabulon.llm.common import cut, parts, utf8
 from tabulon.llm.components import components
 
 SEED = 42
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     """doc_id and fp, the fingerprint's bits as a signed long."""
 
     def run(batches):
-        for b in batches:
+        for b in parts(batches, 1, 1 << 22):
             fps = np.array([fingerprint(t, width) for t in b.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 

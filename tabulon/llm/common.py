@@ -6,6 +6,7 @@ import tempfile
 from uuid import uuid4
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,6 +95,16 @@ def blocks(sizes: list[int], most: int):
         yield start, len(sizes)
 
 
+def parts(batches, column: int, most: int):
+    """Slices of Arrow batches whose texts in a column have about `most` bytes together; a row at least."""
+    for b in batches:
+        text = b.column(column)
+        wide = pa.types.is_large_string(text.type) or pa.types.is_large_binary(text.type)
+        offsets = np.frombuffer(text.buffers()[1], np.int64 if wide else np.int32)[text.offset : text.offset + len(b) + 1] if len(b) else np.zeros(1, np.int64)
+        for lo, hi in blocks(np.diff(offsets).tolist(), most):
+            yield b.slice(lo, hi - lo)
+
+
 def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """One byte buffer and the offsets of each text in it."""
     offsets = np.zeros(len(texts) + 1, np.int64)

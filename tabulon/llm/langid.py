@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import blocks, joined, utf8
+from tabulon.llm.common import blocks, joined, parts, utf8
 
 SAMPLE = 3000
 BUCKETS = 1 << 15
@@ -153,7 +153,7 @@ def learn(docs: DataFrame, learnable: Column, sample: int = SAMPLE, seed: int =
     chosen = rows.filter(F.col("doc_id").isin(list(set(ids)))).select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string")) if ids else None
 
     def count(batches):
-        for b in batches:
+        for b in parts(batches, 2, CHUNK):
             found = [counts(utf8(t)) for t in b.column(2).to_pylist()]
             columns = [pa.array([f[i].astype(np.int32) for f in found], pa.list_(pa.int32())) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=["doc_id", "lang", "bucket", "times"])
@@ -201,7 +201,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score and accepted of every row."""
 
     def run(batches):
-        for b in batches:
+        for b in parts(batches, 1, CHUNK):
             best, score = predict(model, b.column(1).to_pylist())
             sure = [x != UNKNOWN and s >= model.threshold for x, s in zip(best, score.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(best, pa.string()), pa.array(score, pa.float64()), pa.array(sure, pa.bool_())], names=["doc_id", "lang_pred", "score", "accepted"])
@@ -214,7 +214,9 @@ def filtered(docs: DataFrame, model: Model) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def sure(text: pd.Series) -> pd.Series:
-        best, score = predict(model, list(text))
+        each = [predict(model, list(text[lo:hi])) for lo, hi in blocks([len(t) if t else 0 for t in text], CHUNK)]
+        best = [x for b, _ in each for x in b]
+        score = np.concatenate([np.zeros(0), *[s for _, s in each]])
         return pd.Series([x != UNKNOWN and s >= model.threshold for x, s in zip(best, score.tolist(), strict=True)], dtype=bool)
 
     return docs.filter(sure(F.col("text").cast("string")))

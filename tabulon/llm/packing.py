@@ -28,13 +28,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import blocks
+from tabulon.llm.common import parts
 
 CAPACITY = 4096
 END = 2
 #: Words whose tokens a task remembers.
-MOST_WORDS = 400_000
-CHUNK = 4 << 20
+MOST_WORDS = 300_000
+CHUNK = 2 << 20
 
 # The pre-tokenizer's pattern, restricted to Latin-1.
 LETTER = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
@@ -190,14 +190,13 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) ->
         words = encoder(path or tokenizer_path())
         packer = Packer(TaskContext.get().partitionId() << 40, capacity)
         rows: list[tuple] = []
-        for b in batches:
-            ids, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-            for lo, hi in blocks([len(t) for t in texts], CHUNK):
-                for doc, tokens in zip(ids[lo:hi], words.encode(texts[lo:hi]), strict=True):
-                    rows += packer.put(doc, np.append(tokens, np.uint32(END)))
-                if len(rows) >= 20_000:
-                    yield arrow(rows)
-                    rows = []
+        for b in parts(batches, 1, CHUNK):
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            for doc, tokens in zip(b.column(0).to_pylist(), words.encode(texts), strict=True):
+                rows += packer.put(doc, np.append(tokens, np.uint32(END)))
+            if len(rows) >= 20_000:
+                yield arrow(rows)
+                rows = []
         rows += packer.close()
         yield arrow(rows)
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import Rolling, blocks, joined, utf8
+from tabulon.llm.common import Rolling, blocks, joined, parts, utf8
 
 SAMPLE = 4000
 BUCKETS = 1 << 14
@@ -192,10 +192,8 @@ def columns_of(docs: DataFrame) -> DataFrame:
 
 def learn(docs: DataFrame, sample: int = SAMPLE, seed: int = 11) -> Model:
     def vote(batches):
-        for b in batches:
-            votes: list[str] = []
-            for _, _, s in each_block(b):
-                votes += coded(s.votes())
+        for b in parts(batches, 1, CHUNK):
+            votes = [v for _, _, s in each_block(b) for v in coded(s.votes())]
             yield pa.RecordBatch.from_arrays([pa.array(votes, pa.string())], names=["votes"])
 
     tally = columns_of(docs).mapInArrow(vote, "votes string").groupBy("votes").count().orderBy("votes").collect()
@@ -206,7 +204,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE, seed: int = 11) -> Model:
     ids = [r[0] for r in docs.select("doc_id").filter(F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample).collect()]
 
     def count(batches):
-        for b in batches:
+        for b in parts(batches, 1, CHUNK):
             out: list[tuple] = []
             for lo, hi, s in each_block(b):
                 table = np.concatenate([d.astype(np.int64) * BUCKETS + k for d, k in s.features()])
@@ -250,7 +248,7 @@ def judge(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, the votes, the posterior and score of being good, and whether it is kept."""
 
     def run(batches):
-        for b in batches:
+        for b in parts(batches, 1, CHUNK):
             votes, po, sc = scores(model, [utf8(t) for t in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(votes, pa.string()), pa.array(po), pa.array(sc), pa.array((po + sc) / 2 > 0.5)], names=["doc_id", "votes", "posterior", "score", "keep"])
 
@@ -262,7 +260,8 @@ def filtered(docs: DataFrame, model: Model) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def good(text: pd.Series) -> pd.Series:
-        _, po, sc = scores(model, [utf8(t) for t in text])
-        return pd.Series((po + sc) / 2 > 0.5)
+        sizes = [len(t) if t else 0 for t in text]
+        each = [scores(model, [utf8(t) for t in text[lo:hi]])[1:] for lo, hi in blocks(sizes, CHUNK)]
+        return pd.Series([bool((p + s) / 2 > 0.5) for po, sc in each for p, s in zip(po, sc, strict=True)], dtype=bool)
 
     return docs.filter(good(F.col("text").cast("string")))

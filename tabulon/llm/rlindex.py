@@ -36,12 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm.anchors import GRAM, anchors
-from tabulon.llm.common import Rolling, blocks, joined, saved, utf8
+from tabulon.llm.common import Rolling, joined, parts, saved, utf8
 
 LENGTH = 400
 #: Different spans of one anchor hash that a task holds; rows that it indexes at a time.
 HOT, ROWS = 16_384, 4_000
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 
 def keyed(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -57,18 +57,16 @@ def spans(rows: DataFrame, length: int) -> DataFrame:
     """A row for each run of windows of one anchor: its first and last window, the anchor's hash and the text's."""
 
     def run(batches):
-        for b in batches:
-            raw = [utf8(t) for t in b.column(3).to_pylist()]
-            for lo, hi in blocks([len(r) for r in raw], CHUNK):
-                data, offsets = joined(raw[lo:hi])
-                text, first, last, h = anchors(data, offsets, length)
-                if not len(text):
-                    continue
-                whole, digest = data.tobytes(), xxhash.xxh3_64_intdigest
-                begin = offsets[text] + first
-                g = np.fromiter((digest(whole[s:e]) for s, e in zip(begin.tolist(), (begin + last - first + length).tolist(), strict=True)), np.uint64, len(text))
-                at = pa.array(text + lo)
-                yield pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in range(3)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(g.view(np.int64))], names=[x.split()[0] for x in SPANS.split(", ")])
+        for b in parts(batches, 3, CHUNK):
+            data, offsets = joined([utf8(t) for t in b.column(3).to_pylist()])
+            text, first, last, h = anchors(data, offsets, length)
+            if not len(text):
+                continue
+            whole, digest = data.tobytes(), xxhash.xxh3_64_intdigest
+            begin = offsets[text] + first
+            g = np.fromiter((digest(whole[s:e]) for s, e in zip(begin.tolist(), (begin + last - first + length).tolist(), strict=True)), np.uint64, len(text))
+            at = pa.array(text)
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in range(3)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(g.view(np.int64))], names=[x.split()[0] for x in SPANS.split(", ")])
 
     return rows.select("doc_id", "k1", "k2", "text").mapInArrow(run, SPANS)
 
@@ -120,26 +118,21 @@ def indexed(rows: pa.Table, length: int) -> pa.RecordBatch:
     symbols[np.repeat(np.arange(len(texts)), sizes), np.arange(len(data)) - np.repeat(offsets[:-1], sizes) + np.repeat(shift, sizes)] = data
     _, group = np.unique(h, return_inverse=True)
     by = np.argsort(group, kind="stable")
-    marked, places = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    single = np.asarray(rows["times"]) == 1
+    out = [np.empty((3, 0), np.int64)]
+    first, last = np.full(len(texts), -2), np.full(len(texts), -2)  # the run of marked columns that grows
     for column, found in matching(symbols[by], group[by].astype(np.int64), length):
-        marked.append(by[found])
-        places.append(np.full(len(found), column))
-    row, place = np.concatenate(marked), np.concatenate(places)
-    single = np.asarray(rows["times"])[row] == 1
-    row, place = row[single], place[single]
-    start = np.asarray(rows["lo"])[row] + place - shift[row]
-    return runs(np.asarray(rows["k1"])[row], np.asarray(rows["k2"])[row], start, row)
-
-
-def runs(k1: np.ndarray, k2: np.ndarray, start: np.ndarray, row: np.ndarray) -> pa.RecordBatch:
-    """Consecutive window starts of one row as (first, last)."""
-    by = np.lexsort((start, row))
-    k1, k2, start, row = k1[by], k2[by], start[by], row[by]
-    new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(row))[: len(first)] - 1
-    return pa.RecordBatch.from_arrays([pa.array(k1[first], pa.int64()), pa.array(k2[first], pa.int32()), pa.array(start[first].astype(np.int32)), pa.array(start[last].astype(np.int32))], names=["k1", "k2", "lo", "hi"])
+        found = by[found]
+        found = found[single[found]]
+        ended = found[(first[found] != column + 1) & (first[found] >= 0)]
+        out.append(np.stack([ended, first[ended], last[ended]]))
+        fresh = found[first[found] != column + 1]
+        last[fresh] = column
+        first[found] = column
+    open_runs = np.flatnonzero(first >= 0)
+    row, lo, hi = np.concatenate([*out, np.stack([open_runs, first[open_runs], last[open_runs]])], axis=1)
+    base = np.asarray(rows["lo"])[row] - shift[row]
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(rows["k1"])[row], pa.int64()), pa.array(np.asarray(rows["k2"])[row], pa.int32()), pa.array((lo + base).astype(np.int32)), pa.array((hi + base).astype(np.int32))], names=["k1", "k2", "lo", "hi"])
 
 
 MARKS = "k1 long, k2 int, lo int, hi int"
@@ -192,14 +185,16 @@ def marks(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     withtext = docs.alias("d").join(wanted.alias("w"), (F.col("d.k1") == F.col("w.k1")) & (F.col("d.k2") == F.col("w.k2")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("d.k1", "d.k2", "d.text", "w.items")
 
     def cut(batches):
-        for b in batches:
+        for b in parts(batches, 2, 4 * CHUNK):
             out: list[tuple] = []
+            size = 0
             for a1, a2, text, items in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 raw = utf8(text)
                 out += [(x["h"], a1, a2, x["lo"], x["times"], x["hot"], raw[x["lo"] : x["hi"] + length]) for x in items]
-                if len(out) > 8192:
+                size += len(items)
+                if size > 4096:
                     yield rows_of(out)
-                    out = []
+                    out, size = [], 0
             if out:
                 yield rows_of(out)
 
@@ -265,7 +260,7 @@ DIGESTS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256
 
 def digests(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     def run(batches):
-        for b in batches:
+        for b in parts(batches, 1, 4 * CHUNK):
             rows = []
             for doc, text, items in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 raw = utf8(text)

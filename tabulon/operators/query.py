@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import reduce
-from operator import and_
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,8 +84,16 @@ class Query:
 TESTS = ("is", "is_not", "contains", "one_of", "above", "at_least", "below", "at_most", "blank", "not_blank", "failed")
 
 
+def spellings(text: str) -> list[str] | None:
+    """Every text that lower-cases to this one, if they are few; then equality can reach the scan."""
+    letters = sum(c.isalpha() for c in text)
+    if not text.isascii() or letters > 4 or "k" in text.lower():  # the Kelvin sign is a k too
+        return None
+    return ["".join(p) for p in product(*[sorted({c.lower(), c.upper()}) for c in text])]
+
+
 def equals(cell: Cell, value: object) -> Column:
-    """Typed equality, never null."""
+    """Typed equality; null where the cell is of another kind."""
     if value is None:
         out = cell.kind == "empty"
     elif isinstance(value, bool):
@@ -94,22 +102,27 @@ def equals(cell: Cell, value: object) -> Column:
         low, high = shown_bounds(float(value))
         out = cell.num.between(low, high)
     else:
-        out = F.lower(cell.txt) == F.lower(F.lit(value))
-    return F.coalesce(out, F.lit(False))
+        few = spellings(value)
+        out = cell.txt.isin(few) if few else F.lower(cell.txt) == F.lower(F.lit(value))
+    return out
+
+
+def certain(test: Column) -> Column:
+    return F.coalesce(test, F.lit(False))
 
 
 def passes(cell: Cell, f: Filter) -> Column:
-    """What a filter lets through, error cells aside; never null."""
+    """What a filter lets through, error cells aside; null is no. Bare comparisons, so they reach the scan."""
     if f.test not in TESTS:
         raise Refused("NoSuchTest", f.test)
     if f.test == "is":
         return equals(cell, f.value)
     if f.test == "is_not":
-        return ~equals(cell, f.value)
+        return ~certain(equals(cell, f.value))
     if f.test == "one_of":
         return reduce(lambda a, b: a | b, [equals(cell, v) for v in f.value], F.lit(False))
     if f.test == "contains":
-        return F.coalesce(F.contains(F.lower(cell.txt), F.lower(F.lit(f.value))), F.lit(False))
+        return F.contains(F.lower(cell.txt), F.lower(F.lit(f.value)))
     if f.test == "blank":
         return cell.blank
     if f.test == "not_blank":
@@ -118,7 +131,7 @@ def passes(cell: Cell, f: Filter) -> Column:
         return cell.failed
     low, high = shown_bounds(float(f.value))
     n = cell.number_like
-    return F.coalesce({"above": n > high, "at_least": n >= low, "below": n < low, "at_most": n <= high}[f.test], F.lit(False))
+    return {"above": n > high, "at_least": n >= low, "below": n < low, "at_most": n <= high}[f.test]
 
 
 def matching(table: Table, filters: tuple[Filter, ...]) -> DataFrame:
@@ -139,7 +152,7 @@ def scan_counts(table: Table, filters: tuple[Filter, ...]) -> DataFrame:
         if f.test != "failed":
             dropped = dropped | (alive & cell.failed)
             alive = alive & ~cell.failed
-        alive = alive & passes(cell, f)
+        alive = alive & certain(passes(cell, f))
     return table.df.agg(F.count("*").alias("rows_scanned"), F.count(F.when(alive, 1)).alias("rows_matched"), F.count(F.when(dropped, 1)).alias("rows_with_errors"))
 
 
@@ -168,6 +181,33 @@ def measure(table: Table, a: Aggregate) -> list[Column]:
     raise Refused("NoSuchAggregate", a.what)
 
 
+def in_two_steps(table: Table, q: Query, names: list[str], keys: list[str], rows: DataFrame) -> DataFrame:
+    """Groups by the stored keys first, then by what typed equality makes of them.
+
+    The first step is a hash aggregation of fixed-width values over the rows; case folding, number
+    rounding and the choice of the key to show meet only the distinct stored keys."""
+    first, second = [], []
+    for i, (a, name) in enumerate(zip(q.aggregates, names, strict=True)):
+        (value,) = measure(Table(table.df, table.name, table.labels), a)
+        c = F.col(f"part {i}")
+        if a.what == "mean":
+            cell = Cell(table.df, table.resolve(a.column))
+            first += [F.sum(cell.num).alias(f"part {i}"), F.count(cell.num).alias(f"times {i}")]
+            second.append(F.try_divide(F.sum(c), F.sum(F.col(f"times {i}")).cast("double")).alias(name))
+        else:
+            first.append(value.alias(f"part {i}"))
+            second.append({"min": F.min, "max": F.max}.get(a.what, F.sum)(c).alias(name))
+    raw = [F.col(f"`{k}`").alias(f"raw {i}") for i, k in enumerate(keys)]
+    if table.row:
+        first.append(F.min(table.row).alias("first_row"))
+        second.append(F.min("first_row").alias("first_row"))
+    stored = rows.groupBy(*raw).agg(*first)
+    cells = [Cell(stored, f"raw {i}") for i in range(len(keys))]
+    canon = [F.struct(c.kind.alias("kind"), c.canon_value.alias("value")).alias(f"key {i}") for i, c in enumerate(cells)]
+    seen = [(F.min_by(c.column, "first_row") if table.row else F.min(c.column)).alias(k) for c, k in zip(cells, keys, strict=True)]
+    return stored.groupBy(*canon).agg(*seen, *second).drop(*[f"key {i}" for i in range(len(keys))])
+
+
 def errors_in(table: Table, aggregates: tuple[Aggregate, ...]) -> Column | None:
     """Error cells, counted once for each aggregate that meets them."""
     cells = [Cell(table.df, table.resolve(a.column)) for a in aggregates if a.column]
@@ -201,6 +241,8 @@ def query(table: Table, q: Query) -> DataFrame:
         out = rows.agg(F.count(F.lit(1)).alias("rows"), *columns).filter("rows > 0").drop("rows")
     elif plain and not any(c.tagged for c in cells):
         out = rows.groupBy(*[c.column.alias(k) for c, k in zip(cells, keys, strict=True)]).agg(*columns, *([first] if first is not None else []))
+    elif not any(c.tagged for c in cells) and errors is None and all(a.what != "count_distinct" and (a.what not in ("min", "max") or not table.row) for a in q.aggregates):
+        out = in_two_steps(table, q, names, keys, rows)
     else:
         shown_keys = [(F.min_by(c.column, table.row) if table.row else F.min(c.column)).alias(k) for c, k in zip(cells, keys, strict=True)]
         canon = [F.struct(c.kind.alias("kind"), c.canon_value.alias("value")).alias(f"key {i}") for i, c in enumerate(cells)]
@@ -222,4 +264,4 @@ def groups_not_listed(table: Table, q: Query) -> DataFrame:
     return whole.agg(F.greatest(F.count("*") - F.lit(q.limit or 0), F.lit(0)).alias("groups_not_listed"))
 
 
-__all__ = ["Aggregate", "Filter", "Query", "Refused", "Table", "and_", "equals", "groups_not_listed", "matching", "query", "scan_counts"]
+__all__ = ["Aggregate", "Filter", "Query", "Refused", "Table", "equals", "groups_not_listed", "matching", "query", "scan_counts"]

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from tabulon.address import a1_column, cite_column
 from tabulon.functions.text import formula_cells, redact_column, references_of
-from tabulon.operators import graph, structure, trace
+from tabulon.operators import graph, report, structure, trace
 from tabulon.queries import query
+from tabulon.sources import demo
 from tabulon.sources.tables import cells_in, long, pivoted, read, used_range
 from tabulon.streaming.watch import diff
 
@@ -281,3 +282,59 @@ def call_ledger(spark, sf_dir):
 @query("a1_addresses", "SELECT n_nationkey, chr(CAST(65 + n_nationkey AS INT)) || (n_regionkey + 1) AS a1 FROM nation")
 def a1_addresses(spark, sf_dir):
     return read(spark, sf_dir, "nation").select("n_nationkey", a1_column(F.col("n_regionkey"), F.col("n_nationkey")).alias("a1"))
+
+
+# --- the demo workbook -------------------------------------------------------------------------
+@query("demo_recompute", "SELECT 'agrees' AS outcome, CAST(500 * 7 - 1 + 6 + 1 AS BIGINT) AS cells UNION ALL SELECT 'unsupported', 1")
+def demo_recompute(spark, sf_dir):
+    """Every formula of the demo workbook recomputed: all agree with closed forms but the one that is refused."""
+    return trace.recompute(demo.workbook(spark, 500), demo.SHEETS, demo.NAMES).groupBy("outcome").agg(F.count("*").alias("cells"))
+
+
+@query("demo_audit", "SELECT * FROM (VALUES (8, 499, 1), (5, 500, 0), (6, 500, 0), (7, 500, 0), (9, 500, 0), (10, 500, 0), (11, 500, 0)) t(col, formulas, typed)")
+def demo_audit(spark, sf_dir):
+    cells = demo.debtors(spark, 500)
+    body = spark.createDataFrame([("b", 0, 1, 0, 500, 11)], "body string, sheet_id int, top int, left int, bottom int, right int")
+    return structure.column_audit(cells, body).select("col", "formulas", "typed")
+
+
+# --- scores and marks --------------------------------------------------------------------------
+@query("retrieval_score", "WITH h AS (SELECT o_custkey AS ask, o_orderkey AS doc, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders), w AS (SELECT o_custkey AS ask, max(o_orderkey) AS doc FROM orders GROUP BY 1), f AS (SELECT w.ask, min(r) AS r FROM w LEFT JOIN h ON h.ask = w.ask AND h.doc = w.doc GROUP BY 1) SELECT count(*) AS questions, round(avg(CASE WHEN r <= 1 THEN 1.0 ELSE 0 END), 9) AS hit_1, round(avg(CASE WHEN r <= 5 THEN 1.0 ELSE 0 END), 9) AS hit_5, round(avg(1.0 / r), 9) AS mrr FROM f")
+def retrieval_score(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("ask"), F.col("o_orderkey").alias("doc"), F.col("o_totalprice").alias("score"))
+    out = report.retrieval_score(o, o.groupBy("ask").agg(F.max("doc").alias("doc")))
+    return out.select("questions", *[F.round(c, 9).alias(c) for c in ("hit_1", "hit_5", "mrr")])
+
+
+@query("grounded_marks", "SELECT doc_id, CASE WHEN NOT contains(lower(text), 'the') THEN 'miss' WHEN lang = 'en' THEN 'hit' ELSE 'echo' END AS mark FROM documents")
+def grounded_marks(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    return d.select("doc_id", report.grounded(F.col("text"), F.array(F.lit("the")), F.array(F.when(F.col("lang") == "en", "the total").otherwise("nothing"))).alias("mark"))
+
+
+@query("history_elision", "SELECT event_id, (row_number() OVER w > 2 AND sum(event_id % 1000) OVER w > 6000) AS stub FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id DESC ROWS UNBOUNDED PRECEDING)")
+def history_elision(spark, sf_dir):
+    e = read(spark, sf_dir, "events").withColumn("tokens", F.col("event_id") % 1000)
+    return report.elided(e, "user_id", "event_id", "tokens").select("event_id", "stub")
+
+
+@query("reply_citations", "SELECT p_partkey, 'Sheet' || p_size || '!B' || p_partkey || ':C' || (p_partkey + 1) AS cites FROM part WHERE p_partkey > 0")
+def reply_citations(spark, sf_dir):
+    k = F.col("p_partkey").cast("string")
+    cite = F.concat(F.lit("Sheet"), F.col("p_size").cast("string"), F.lit("!B"), k, F.lit(":C"), (F.col("p_partkey") + 1).cast("string"))
+    reply = F.concat(F.lit("It is in "), cite, F.lit(", see "), cite, F.lit("."))
+    return read(spark, sf_dir, "part").filter("p_partkey > 0").select("p_partkey", F.array_join(report.citations_in(reply), " ").alias("cites"))
+
+
+@query("redact_values", "SELECT c_custkey, '<number>' AS balance, '<text>' AS name FROM customer")
+def redact_values(spark, sf_dir):
+    c = read(spark, sf_dir, "customer")
+    return c.select("c_custkey", report.redacted(F.lit("number"), F.col("c_acctbal").cast("string"), True).alias("balance"), report.redacted(F.lit("text"), F.col("c_name"), True).alias("name"))
+
+
+@query("canvas_context", "SELECT n_nationkey AS node FROM nation WHERE n_regionkey = 1 UNION SELECT DISTINCT 100 + r_regionkey FROM region WHERE r_regionkey = 1")
+def canvas_context(spark, sf_dir):
+    n = read(spark, sf_dir, "nation")
+    nodes = n.select(F.col("n_nationkey").cast("int").alias("node"), F.lit("region").alias("kind"), F.col("n_regionkey").alias("sheet_id")).unionByName(read(spark, sf_dir, "region").select((F.col("r_regionkey") + 100).cast("int").alias("node"), F.lit("sheet").alias("kind"), F.lit(99).alias("sheet_id")))
+    edges = n.select(F.col("n_nationkey").cast("int").alias("src"), (F.col("n_regionkey") + 100).cast("int").alias("dst"), F.lit("CONTAINS").alias("kind"), F.lit(1).alias("weight"))
+    return report.canvas(nodes, edges, ["region", "sheet"], ["CONTAINS"], 1, True)[0].select("node")

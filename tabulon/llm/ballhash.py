@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import cut, parts, utf8
+from tabulon.llm.common import cut, fewer, parts, shuffled, utf8
 from tabulon.llm.components import components
 
 SEED = 42
@@ -163,7 +163,7 @@ def links(fps: DataFrame, n: int, radius: int = 4) -> DataFrame:
     while True:
         weight = F.element_at(F.array(*[F.lit(cost[depth, u]) for u in range(half + 1)]), F.col("used") + 1)
         heavy = rows.groupBy("key").agg(F.sum(weight).alias("variants")).filter(F.col("variants") > MOST_VARIANTS).select("key") if depth < 64 else None
-        heavy = heavy and cut(heavy)
+        heavy = heavy and cut(fewer(heavy, shuffled(fps.sparkSession), 32))
         rest = None if heavy is None or heavy.isEmpty() else heavy
         light = rows if rest is None else rows.join(rest, "key", "left_anti").select(*rows.columns)
         out.append(light.groupBy("depth", "key").applyInArrow(linker(radius, half), "u long, v long"))
@@ -180,8 +180,9 @@ def links(fps: DataFrame, n: int, radius: int = 4) -> DataFrame:
 
 def classes(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id, the least doc_id reachable."""
-    marked = cut(fingerprints(docs, width))
-    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    prints = fingerprints(docs, width)
+    marked = cut(fewer(prints, prints.rdd.getNumPartitions(), 8))
+    distinct = cut(fewer(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), shuffled(docs.sparkSession), 32))
     n = distinct.count()
     roots = components(links(distinct.select("fp"), n, radius)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
     rooted = distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))

@@ -28,6 +28,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return where or sc._jsc.sc().getCheckpointDir().get()
 
 
+def fewer(df: DataFrame, partitions: int, share: int) -> DataFrame:
+    """Small rows in fewer files: a `share`-th of the partitions, but one for each core at least."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, partitions // share))
+
+
+def shuffled(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage by a reliable checkpoint in the shared folder."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import cut
+from tabulon.llm.common import cut, fewer, shuffled
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -27,9 +27,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(u, v) with v the least node that u reaches, for every node u that has a smaller one."""
-    edges, last = cut(edges.select("u", "v").filter("u <> v").distinct()), None
+    spark, last = edges.sparkSession, None
+    keep = lambda df: cut(fewer(df, shuffled(spark), 32))  # noqa: E731  two longs a row
+    edges = keep(edges.select("u", "v").filter("u <> v").distinct())
     while True:
-        edges = cut(_small_star(_large_star(edges)))
+        edges = keep(_small_star(_large_star(edges)))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last or not now[0]:
             return edges

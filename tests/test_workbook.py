@@ -229,3 +229,22 @@ def test_watch(spark, tmp_path):
     for _ in range(2):
         watch.reindex(spark, str(tmp_path / "in"), lambda df, _: seen.extend(r.path for r in df.select("path").collect()), str(tmp_path / "cp")).awaitTermination()
     assert len(seen) == 1
+
+
+def test_large_ranges_are_met_as_groups(spark):
+    rows = [(0, r, 0, "number", float(r), None, None, None, False, None) for r in range(5000)]
+    rows += [(0, r, 1, "number", total, None, None, None, False, f) for r, f, total in ((0, "SUM(A1:A5000)", 12497500.0), (1, "A2+MAX(A1:A5000)", 5000.0), (2, "SUM(A1:A5000)-SUM(A1:A4999)", 0.0), (3, "A4", 3.0))]
+    out = {r.row: (r.outcome, r.reason) for r in trace.recompute(spark.createDataFrame(rows, structure.CELLS), ["S"]).collect()}
+    assert out == {0: ("agrees", None), 1: ("agrees", None), 2: ("unsupported", "Form:several large ranges"), 3: ("agrees", None)}
+
+
+def test_demo_workbook_recomputes(spark):
+    from tabulon.sources import demo
+
+    out = trace.recompute(demo.workbook(spark, 60), demo.SHEETS, demo.NAMES).groupBy("outcome").count().collect()
+    assert {r.outcome: r["count"] for r in out} == {"agrees": 60 * 7 - 1 + 7, "unsupported": 1}
+
+
+def test_pivoted_grid_is_typed(book):
+    t = book.table("Debtors!A3")
+    assert t.labels == ("Account",) and [r.Balance["num"] for r in t.df.orderBy("row").collect()] == [100.0, 250.0, 40.0, 10.0]

@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 
 from tabulon.values import CELL, cell, display_number, error, shown_column
 
-NULL = F.lit(None)
-
 
 @dataclass(frozen=True)
 class Spread:
@@ -27,6 +25,12 @@ class Spread:
 
 
 Arg = Column | Spread
+
+
+def no(kind) -> Column:
+    return F.lit(None).cast(kind)
+
+
 CATALOGUE: dict[str, Callable[..., Column]] = {}
 
 
@@ -86,11 +90,11 @@ def finite(x: Column) -> Column:
 
 def numeric(*args: Column, of: Callable[..., Column]) -> Column:
     """A number function of numbers; `of` returns a tagged cell."""
-    return failing(F.coalesce(*[number_error(a) for a in args], NULL.cast("string")), of(*[number_of(a) for a in args]))
+    return failing(F.coalesce(*[number_error(a) for a in args], no("string")), of(*[number_of(a) for a in args]))
 
 
 def textual(*args: Column, of: Callable[..., Column]) -> Column:
-    return failing(F.coalesce(*[own_error(a) for a in args], NULL.cast("string")), of(*[text_of(a) for a in args]))
+    return failing(F.coalesce(*[own_error(a) for a in args], no("string")), of(*[text_of(a) for a in args]))
 
 
 # --- operators ---------------------------------------------------------------------------------
@@ -164,7 +168,7 @@ def if_na(value: Column, other: Column | None = None) -> Column:
 
 def junction(every: bool):
     def of(*args: Arg) -> Column:
-        seen = flat(args, lambda v: F.when(v["kind"].isin("number", "bool"), cell("bool", truth_of(v))).when(v["kind"] == "error", v), lambda v: F.when(v["kind"] == "error", v).when(v["kind"] == "empty", NULL.cast(CELL)).when(truth_of(v).isNull(), error("#VALUE!")).otherwise(cell("bool", truth_of(v))))
+        seen = flat(args, lambda v: F.when(v["kind"].isin("number", "bool"), cell("bool", truth_of(v))).when(v["kind"] == "error", v), lambda v: F.when(v["kind"] == "error", v).when(v["kind"] == "empty", no(CELL)).when(truth_of(v).isNull(), error("#VALUE!")).otherwise(cell("bool", truth_of(v))))
         truths = F.transform(seen, lambda v: v["flag"])
         result = F.forall(truths, lambda t: t) if every else F.exists(truths, lambda t: t)
         return failing(first_error(seen), F.when(F.size(seen) == 0, error("#VALUE!")).otherwise(cell("bool", result)))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.address import MAX_COL, MAX_ROW, column_of, letters
+from tabulon.address import MAX_COL, MAX_ROW, column_of
 
 SHEET = r"(?:'(?:[^']|'')+'|\[[^\]]+\][^\W\d][\w.]*|[^\W\d][\w.]*(?::[^\W\d][\w.]*)?)!"
 CELL = r"\$?[A-Za-z]{1,3}\$?[0-9]{1,7}"
@@ -235,5 +235,3 @@ def references_of(cells: DataFrame) -> DataFrame:
     got = cells.filter(F.col("formula").isNotNull()).withColumn("refs", references_column("formula"))
     return got.select("sheet_id", "row", "col", F.posexplode("refs").alias("seq", "ref")).select("sheet_id", "row", "col", "seq", "ref.*")
 
-
-__all__ = ["formula_cells", "from_open", "is_total", "letters", "names_column", "redact", "redact_column", "references_column", "references_of", "scan_names", "scan_references", "shape", "shape_column"]

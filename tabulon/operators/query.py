@@ -263,5 +263,3 @@ def groups_not_listed(table: Table, q: Query) -> DataFrame:
     whole = query(table, Query(q.filters, q.group_by, (Aggregate("count"),), None, ("n",)))
     return whole.agg(F.greatest(F.count("*") - F.lit(q.limit or 0), F.lit(0)).alias("groups_not_listed"))
 
-
-__all__ = ["Aggregate", "Filter", "Query", "Refused", "Table", "equals", "groups_not_listed", "matching", "query", "scan_counts"]

@@ -24,7 +24,7 @@ def rows(spark, sf_dir):
     text = lambda c: cell("text", F.col(c))
     base = read(spark, sf_dir, "part").select("p_partkey", cell("number", size).alias("size"), cell("number", F.col("p_retailprice")).alias("price"), cell("number", size - 25).alias("low"), text("p_name").alias("name"), text("p_brand").alias("brand"), mixed.alias("m"))
     # Inner calls are columns of their own: a column expression has no variables, so nesting would repeat them.
-    return base.withColumns({k: make() for k, make in STAGED.items()})
+    return base.withColumns({k: make(ROW) for k, make in STAGED.items()})
 
 
 def num(x: float):
@@ -35,9 +35,19 @@ def txt(x: str):
     return cell("text", F.lit(x))
 
 
-S, P, L, N, B, M = (F.col(c) for c in ("size", "price", "low", "name", "brand", "m"))
-R = Spread(F.array("size", "m", "price"))
-PLAIN = Spread(F.array("size", "price", "low"))
+class Columns:
+    """The cells of a row by short names; columns need a session, so they are made when asked for."""
+
+    S = property(lambda self: F.col("size"))
+    P = property(lambda self: F.col("price"))
+    L = property(lambda self: F.col("low"))
+    N = property(lambda self: F.col("name"))
+    B = property(lambda self: F.col("brand"))
+    M = property(lambda self: F.col("m"))
+    R = property(lambda self: Spread(F.array("size", "m", "price")))
+
+
+ROW = Columns()
 NA = "CASE WHEN mk = 'error' THEN '#N/A' END"
 VALUE = "CASE WHEN mk = 'error' THEN '#N/A' WHEN mk = 'text' THEN '#VALUE!' END"
 INSIDE = "CASE WHEN mk = 'number' THEN mn END"
@@ -48,76 +58,76 @@ def half_up(x: str, d: int) -> str:
 
 
 STAGED = {
-    "m1": lambda: fx.plus(M, num(1)),
-    "big": lambda: fx.compare(S, ">", num(20)),
-    "s10": lambda: fx.compare(S, ">", num(10)),
-    "l20": lambda: fx.compare(L, "<", num(20)),
-    "s40": lambda: fx.compare(S, ">", num(40)),
-    "l_20": lambda: fx.compare(L, "<", num(-20)),
-    "quarter": lambda: fx.divide(L, num(4)),
-    "seventh": lambda: fx.divide(P, num(7)),
-    "minus7": lambda: fx.divide(P, num(-7)),
-    "rate": lambda: fx.divide(S, num(1000)),
-    "count": lambda: fx.minus(L, num(-20)),
-    "padded": lambda: call("CONCAT", txt("  "), N, txt("  "), B),
-    "small": lambda: call("LOWER", B),
-    "third": lambda: fx.plus(num(0.1), num(0.2)),
-    "tenth": lambda: fx.times(L, num(0.1)),
-    "by10": lambda: fx.divide(L, num(10)),
+    "m1": lambda c: fx.plus(c.M, num(1)),
+    "big": lambda c: fx.compare(c.S, ">", num(20)),
+    "s10": lambda c: fx.compare(c.S, ">", num(10)),
+    "l20": lambda c: fx.compare(c.L, "<", num(20)),
+    "s40": lambda c: fx.compare(c.S, ">", num(40)),
+    "l_20": lambda c: fx.compare(c.L, "<", num(-20)),
+    "quarter": lambda c: fx.divide(c.L, num(4)),
+    "seventh": lambda c: fx.divide(c.P, num(7)),
+    "minus7": lambda c: fx.divide(c.P, num(-7)),
+    "rate": lambda c: fx.divide(c.S, num(1000)),
+    "count": lambda c: fx.minus(c.L, num(-20)),
+    "padded": lambda c: call("CONCAT", txt("  "), c.N, txt("  "), c.B),
+    "small": lambda c: call("LOWER", c.B),
+    "third": lambda c: fx.plus(num(0.1), num(0.2)),
+    "tenth": lambda c: fx.times(c.L, num(0.1)),
+    "by10": lambda c: fx.divide(c.L, num(10)),
 }
 
 #: name: (the call, what it gives in SQL as (field, expression, error expression)).
 CASES = {
-    "IF": (lambda: call("IF", F.col("big"), P, L), ("num", "CASE WHEN size > 20 THEN price ELSE low END", None)),
-    "IFERROR": (lambda: call("IFERROR", F.col("m1"), num(-1)), ("num", "CASE WHEN mk IN ('error', 'text') THEN -1 ELSE mn + 1 END", None)),
-    "IFNA": (lambda: call("IFNA", F.col("m1"), num(-1)), ("num", "CASE WHEN mk = 'error' THEN -1 WHEN mk <> 'text' THEN mn + 1 END", "CASE WHEN mk = 'text' THEN '#VALUE!' END")),
-    "SUM": (lambda: call("SUM", R, num(1)), ("num", f"size + coalesce({INSIDE}, 0) + price + 1", NA)),
-    "PRODUCT": (lambda: call("PRODUCT", R), ("num", f"size * coalesce({INSIDE}, 1) * price", NA)),
-    "AVERAGE": (lambda: call("AVERAGE", R), ("num", f"(size + coalesce({INSIDE}, 0) + price) / CASE WHEN mk = 'number' THEN 3 ELSE 2 END", NA)),
-    "MIN": (lambda: call("MIN", R), ("num", f"least(size, price, {INSIDE})", NA)),
-    "MAX": (lambda: call("MAX", R, L), ("num", f"greatest(size, price, low, {INSIDE})", NA)),
-    "COUNT": (lambda: call("COUNT", R, txt("7"), txt("x")), ("num", "3 + CASE WHEN mk = 'number' THEN 1 ELSE 0 END", None)),
-    "COUNTA": (lambda: call("COUNTA", R), ("num", "2 + CASE WHEN mk = 'empty' THEN 0 ELSE 1 END", None)),
-    "COUNTBLANK": (lambda: call("COUNTBLANK", R), ("num", "CASE WHEN mk = 'empty' THEN 1 ELSE 0 END", None)),
-    "AND": (lambda: call("AND", F.col("s10"), F.col("l20")), ("flag", "size > 10 AND low < 20", None)),
-    "OR": (lambda: call("OR", F.col("s40"), F.col("l_20")), ("flag", "size > 40 OR low < -20", None)),
-    "NOT": (lambda: call("NOT", M), ("flag", "CASE WHEN mk NOT IN ('text', 'error') THEN mn = 0 END", VALUE)),
-    "TRUE": (lambda: call("TRUE"), ("flag", "true", None)),
-    "FALSE": (lambda: call("FALSE"), ("flag", "false", None)),
-    "NA": (lambda: call("NA"), ("num", "NULL", "'#N/A'")),
-    "ISBLANK": (lambda: call("ISBLANK", M), ("flag", "mk = 'empty'", None)),
-    "ISNUMBER": (lambda: call("ISNUMBER", M), ("flag", "mk = 'number'", None)),
-    "ISTEXT": (lambda: call("ISTEXT", M), ("flag", "mk = 'text'", None)),
-    "ISNONTEXT": (lambda: call("ISNONTEXT", M), ("flag", "mk <> 'text'", None)),
-    "ISLOGICAL": (lambda: call("ISLOGICAL", M), ("flag", "mk = 'bool'", None)),
-    "ISERROR": (lambda: call("ISERROR", M), ("flag", "mk = 'error'", None)),
-    "ISERR": (lambda: call("ISERR", F.col("m1")), ("flag", "mk = 'text'", None)),
-    "ISNA": (lambda: call("ISNA", M), ("flag", "mk = 'error'", None)),
-    "ABS": (lambda: call("ABS", L), ("num", "abs(low)", None)),
-    "INT": (lambda: call("INT", F.col("quarter")), ("num", "floor(low / 4)", None)),
-    "SIGN": (lambda: call("SIGN", L), ("num", "sign(low)", None)),
-    "SQRT": (lambda: call("SQRT", L), ("num", "CASE WHEN low >= 0 THEN sqrt(greatest(low, 0)) END", "CASE WHEN low < 0 THEN '#NUM!' END")),
-    "EXP": (lambda: call("EXP", L), ("num", "exp(low)", None)),
-    "LN": (lambda: call("LN", L), ("num", "CASE WHEN low > 0 THEN ln(greatest(low, 1)) END", "CASE WHEN low <= 0 THEN '#NUM!' END")),
-    "LOG10": (lambda: call("LOG10", S), ("num", "log10(size)", None)),
-    "ROUND": (lambda: call("ROUND", F.col("minus7"), num(2)), ("num", half_up("price / -7", 2), None)),
-    "ROUNDUP": (lambda: call("ROUNDUP", F.col("seventh"), num(1)), ("num", f"ceil({shown('price / 7 * 10')}) / 10", None)),
-    "ROUNDDOWN": (lambda: call("ROUNDDOWN", F.col("seventh"), num(-1)), ("num", f"floor({shown('price / 7 / 10')}) * 10", None)),
-    "TRUNC": (lambda: call("TRUNC", F.col("quarter")), ("num", "trunc(low / 4)", None)),
-    "MOD": (lambda: call("MOD", S, L), ("num", "CASE WHEN low <> 0 THEN size - low * floor(size / low) END", "CASE WHEN low = 0 THEN '#DIV/0!' END")),
-    "POWER": (lambda: call("POWER", S, num(0.5)), ("num", "pow(size, 0.5)", None)),
-    "LOG": (lambda: call("LOG", P, num(2)), ("num", "ln(price) / ln(2)", None)),
-    "PV": (lambda: call("PV", F.col("rate"), num(12), num(-100), P), ("num", "-(price + -100 * (pow(1 + size / 1000, 12) - 1) / (size / 1000)) / pow(1 + size / 1000, 12)", None)),
-    "LEN": (lambda: call("LEN", N), ("num", "length(p_name)", None)),
-    "TRIM": (lambda: call("TRIM", F.col("padded")), ("txt", "p_name || ' ' || p_brand", None)),
-    "UPPER": (lambda: call("UPPER", N), ("txt", "upper(p_name)", None)),
-    "LOWER": (lambda: call("LOWER", B), ("txt", "lower(p_brand)", None)),
-    "LEFT": (lambda: call("LEFT", N, F.col("count")), ("txt", "CASE WHEN low + 20 >= 0 THEN left(p_name, CAST(greatest(low + 20, 0) AS BIGINT)) END", "CASE WHEN low + 20 < 0 THEN '#VALUE!' END")),
-    "RIGHT": (lambda: call("RIGHT", N, num(3)), ("txt", "right(p_name, 3)", None)),
-    "MID": (lambda: call("MID", N, num(2), S), ("txt", "substring(p_name, 2, CAST(size AS BIGINT))", None)),
-    "CONCATENATE": (lambda: call("CONCATENATE", B, txt("/"), S), ("txt", "p_brand || '/' || CAST(CAST(size AS BIGINT) AS VARCHAR)", None)),
-    "CONCAT": (lambda: call("CONCAT", Spread(F.array("brand", "size")), N), ("txt", "p_brand || CAST(CAST(size AS BIGINT) AS VARCHAR) || p_name", None)),
-    "EXACT": (lambda: call("EXACT", B, F.col("small")), ("flag", "p_brand = lower(p_brand)", None)),
+    "IF": (lambda c: call("IF", F.col("big"), c.P, c.L), ("num", "CASE WHEN size > 20 THEN price ELSE low END", None)),
+    "IFERROR": (lambda c: call("IFERROR", F.col("m1"), num(-1)), ("num", "CASE WHEN mk IN ('error', 'text') THEN -1 ELSE mn + 1 END", None)),
+    "IFNA": (lambda c: call("IFNA", F.col("m1"), num(-1)), ("num", "CASE WHEN mk = 'error' THEN -1 WHEN mk <> 'text' THEN mn + 1 END", "CASE WHEN mk = 'text' THEN '#VALUE!' END")),
+    "SUM": (lambda c: call("SUM", c.R, num(1)), ("num", f"size + coalesce({INSIDE}, 0) + price + 1", NA)),
+    "PRODUCT": (lambda c: call("PRODUCT", c.R), ("num", f"size * coalesce({INSIDE}, 1) * price", NA)),
+    "AVERAGE": (lambda c: call("AVERAGE", c.R), ("num", f"(size + coalesce({INSIDE}, 0) + price) / CASE WHEN mk = 'number' THEN 3 ELSE 2 END", NA)),
+    "MIN": (lambda c: call("MIN", c.R), ("num", f"least(size, price, {INSIDE})", NA)),
+    "MAX": (lambda c: call("MAX", c.R, c.L), ("num", f"greatest(size, price, low, {INSIDE})", NA)),
+    "COUNT": (lambda c: call("COUNT", c.R, txt("7"), txt("x")), ("num", "3 + CASE WHEN mk = 'number' THEN 1 ELSE 0 END", None)),
+    "COUNTA": (lambda c: call("COUNTA", c.R), ("num", "2 + CASE WHEN mk = 'empty' THEN 0 ELSE 1 END", None)),
+    "COUNTBLANK": (lambda c: call("COUNTBLANK", c.R), ("num", "CASE WHEN mk = 'empty' THEN 1 ELSE 0 END", None)),
+    "AND": (lambda c: call("AND", F.col("s10"), F.col("l20")), ("flag", "size > 10 AND low < 20", None)),
+    "OR": (lambda c: call("OR", F.col("s40"), F.col("l_20")), ("flag", "size > 40 OR low < -20", None)),
+    "NOT": (lambda c: call("NOT", c.M), ("flag", "CASE WHEN mk NOT IN ('text', 'error') THEN mn = 0 END", VALUE)),
+    "TRUE": (lambda c: call("TRUE"), ("flag", "true", None)),
+    "FALSE": (lambda c: call("FALSE"), ("flag", "false", None)),
+    "NA": (lambda c: call("NA"), ("num", "NULL", "'#N/A'")),
+    "ISBLANK": (lambda c: call("ISBLANK", c.M), ("flag", "mk = 'empty'", None)),
+    "ISNUMBER": (lambda c: call("ISNUMBER", c.M), ("flag", "mk = 'number'", None)),
+    "ISTEXT": (lambda c: call("ISTEXT", c.M), ("flag", "mk = 'text'", None)),
+    "ISNONTEXT": (lambda c: call("ISNONTEXT", c.M), ("flag", "mk <> 'text'", None)),
+    "ISLOGICAL": (lambda c: call("ISLOGICAL", c.M), ("flag", "mk = 'bool'", None)),
+    "ISERROR": (lambda c: call("ISERROR", c.M), ("flag", "mk = 'error'", None)),
+    "ISERR": (lambda c: call("ISERR", F.col("m1")), ("flag", "mk = 'text'", None)),
+    "ISNA": (lambda c: call("ISNA", c.M), ("flag", "mk = 'error'", None)),
+    "ABS": (lambda c: call("ABS", c.L), ("num", "abs(low)", None)),
+    "INT": (lambda c: call("INT", F.col("quarter")), ("num", "floor(low / 4)", None)),
+    "SIGN": (lambda c: call("SIGN", c.L), ("num", "sign(low)", None)),
+    "SQRT": (lambda c: call("SQRT", c.L), ("num", "CASE WHEN low >= 0 THEN sqrt(greatest(low, 0)) END", "CASE WHEN low < 0 THEN '#NUM!' END")),
+    "EXP": (lambda c: call("EXP", c.L), ("num", "exp(low)", None)),
+    "LN": (lambda c: call("LN", c.L), ("num", "CASE WHEN low > 0 THEN ln(greatest(low, 1)) END", "CASE WHEN low <= 0 THEN '#NUM!' END")),
+    "LOG10": (lambda c: call("LOG10", c.S), ("num", "log10(size)", None)),
+    "ROUND": (lambda c: call("ROUND", F.col("minus7"), num(2)), ("num", half_up("price / -7", 2), None)),
+    "ROUNDUP": (lambda c: call("ROUNDUP", F.col("seventh"), num(1)), ("num", f"ceil({shown('price / 7 * 10')}) / 10", None)),
+    "ROUNDDOWN": (lambda c: call("ROUNDDOWN", F.col("seventh"), num(-1)), ("num", f"floor({shown('price / 7 / 10')}) * 10", None)),
+    "TRUNC": (lambda c: call("TRUNC", F.col("quarter")), ("num", "trunc(low / 4)", None)),
+    "MOD": (lambda c: call("MOD", c.S, c.L), ("num", "CASE WHEN low <> 0 THEN size - low * floor(size / low) END", "CASE WHEN low = 0 THEN '#DIV/0!' END")),
+    "POWER": (lambda c: call("POWER", c.S, num(0.5)), ("num", "pow(size, 0.5)", None)),
+    "LOG": (lambda c: call("LOG", c.P, num(2)), ("num", "ln(price) / ln(2)", None)),
+    "PV": (lambda c: call("PV", F.col("rate"), num(12), num(-100), c.P), ("num", "-(price + -100 * (pow(1 + size / 1000, 12) - 1) / (size / 1000)) / pow(1 + size / 1000, 12)", None)),
+    "LEN": (lambda c: call("LEN", c.N), ("num", "length(p_name)", None)),
+    "TRIM": (lambda c: call("TRIM", F.col("padded")), ("txt", "p_name || ' ' || p_brand", None)),
+    "UPPER": (lambda c: call("UPPER", c.N), ("txt", "upper(p_name)", None)),
+    "LOWER": (lambda c: call("LOWER", c.B), ("txt", "lower(p_brand)", None)),
+    "LEFT": (lambda c: call("LEFT", c.N, F.col("count")), ("txt", "CASE WHEN low + 20 >= 0 THEN left(p_name, CAST(greatest(low + 20, 0) AS BIGINT)) END", "CASE WHEN low + 20 < 0 THEN '#VALUE!' END")),
+    "RIGHT": (lambda c: call("RIGHT", c.N, num(3)), ("txt", "right(p_name, 3)", None)),
+    "MID": (lambda c: call("MID", c.N, num(2), c.S), ("txt", "substring(p_name, 2, CAST(size AS BIGINT))", None)),
+    "CONCATENATE": (lambda c: call("CONCATENATE", c.B, txt("/"), c.S), ("txt", "p_brand || '/' || CAST(CAST(size AS BIGINT) AS VARCHAR)", None)),
+    "CONCAT": (lambda c: call("CONCAT", Spread(F.array("brand", "size")), c.N), ("txt", "p_brand || CAST(CAST(size AS BIGINT) AS VARCHAR) || p_name", None)),
+    "EXACT": (lambda c: call("EXACT", c.B, F.col("small")), ("flag", "p_brand = lower(p_brand)", None)),
 }
 
 
@@ -135,7 +145,7 @@ def oracle(field: str, value: str, err: str | None) -> str:
 
 
 for _name, (_make, _sql) in CASES.items():
-    query(f"fn_{_name.lower()}", oracle(*_sql))(lambda spark, sf_dir, make=_make, sql=_sql: shown_result(rows(spark, sf_dir), make(), sql[0], sql[2]))
+    query(f"fn_{_name.lower()}", oracle(*_sql))(lambda spark, sf_dir, make=_make, sql=_sql: shown_result(rows(spark, sf_dir), make(ROW), sql[0], sql[2]))
 
 # --- the four lookups, as the joins they are ---------------------------------------------------
 PARTS = "(SELECT p_partkey, CAST(p_size AS DOUBLE) AS size FROM part)"
@@ -172,18 +182,18 @@ def hlookup(spark, sf_dir):
 
 # --- operators ---------------------------------------------------------------------------------
 OPERATORS = {
-    "plus": (lambda: fx.plus(P, L), ("num", "price + low", None)),
-    "minus_cancels": (lambda: fx.minus(F.col("third"), num(0.3)), ("num", "0", None)),
-    "times": (lambda: fx.times(P, M), ("num", "price * mn", VALUE)),
-    "divide": (lambda: fx.divide(P, L), ("num", "CASE WHEN low <> 0 THEN price / low END", "CASE WHEN low = 0 THEN '#DIV/0!' END")),
-    "power": (lambda: fx.power(S, num(2)), ("num", "size * size", None)),
-    "negate": (lambda: fx.negate(P), ("num", "-price", None)),
-    "percent": (lambda: fx.percent(S), ("num", "size / 100", None)),
-    "join": (lambda: fx.join_text(B, S), ("txt", "p_brand || CAST(CAST(size AS BIGINT) AS VARCHAR)", None)),
-    "compare_kinds": (lambda: fx.compare(M, "<", txt("w")), ("flag", "CASE WHEN mk = 'bool' THEN false WHEN mk = 'text' THEN 'X' < 'W' WHEN mk IN ('number', 'empty') THEN true END", NA)),
-    "compare_equal": (lambda: fx.compare(F.col("tenth"), "=", F.col("by10")), ("flag", "true", None)),
+    "plus": (lambda c: fx.plus(c.P, c.L), ("num", "price + low", None)),
+    "minus_cancels": (lambda c: fx.minus(F.col("third"), num(0.3)), ("num", "0", None)),
+    "times": (lambda c: fx.times(c.P, c.M), ("num", "price * mn", VALUE)),
+    "divide": (lambda c: fx.divide(c.P, c.L), ("num", "CASE WHEN low <> 0 THEN price / low END", "CASE WHEN low = 0 THEN '#DIV/0!' END")),
+    "power": (lambda c: fx.power(c.S, num(2)), ("num", "size * size", None)),
+    "negate": (lambda c: fx.negate(c.P), ("num", "-price", None)),
+    "percent": (lambda c: fx.percent(c.S), ("num", "size / 100", None)),
+    "join": (lambda c: fx.join_text(c.B, c.S), ("txt", "p_brand || CAST(CAST(size AS BIGINT) AS VARCHAR)", None)),
+    "compare_kinds": (lambda c: fx.compare(c.M, "<", txt("w")), ("flag", "CASE WHEN mk = 'bool' THEN false WHEN mk = 'text' THEN 'X' < 'W' WHEN mk IN ('number', 'empty') THEN true END", NA)),
+    "compare_equal": (lambda c: fx.compare(F.col("tenth"), "=", F.col("by10")), ("flag", "true", None)),
 }
 for _name, (_make, _sql) in OPERATORS.items():
-    query(f"ex_{_name}", oracle(*_sql))(lambda spark, sf_dir, make=_make, sql=_sql: shown_result(rows(spark, sf_dir), make(), sql[0], sql[2]))
+    query(f"ex_{_name}", oracle(*_sql))(lambda spark, sf_dir, make=_make, sql=_sql: shown_result(rows(spark, sf_dir), make(ROW), sql[0], sql[2]))
 
 assert set(CASES) | {"VLOOKUP", "HLOOKUP", "MATCH", "INDEX"} >= set(CATALOGUE)

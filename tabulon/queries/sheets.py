@@ -116,7 +116,7 @@ def whole(spark, sf_dir):
     return n.select(F.lit("all").alias("body"), F.lit(0).alias("sheet_id"), F.lit(0).alias("top"), F.lit(0).alias("left"), F.col("n").cast("int").alias("bottom"), F.lit(3).alias("right"))
 
 
-@query("formula_audit", "SELECT 2 AS col, count(*) FILTER (WHERE o_orderkey % 89 <> 0) AS formulas, 2 AS shapes, count(*) FILTER (WHERE o_orderkey % 89 <> 0 AND o_orderkey % 97 <> 0) AS fill_cells, count(*) FILTER (WHERE o_orderkey % 89 <> 0 AND o_orderkey % 97 = 0) AS deviants, count(*) FILTER (WHERE o_orderkey % 89 = 0) AS typed, true AS broken FROM orders UNION ALL SELECT 3, count(*), 1, count(*), 0, 0, false FROM orders")
+@query("formula_audit", "SELECT 2 AS col, count(*) FILTER (WHERE o_orderkey % 89 <> 0) AS formulas, CAST(2 AS BIGINT) AS shapes, count(*) FILTER (WHERE o_orderkey % 89 <> 0 AND o_orderkey % 97 <> 0) AS fill_cells, count(*) FILTER (WHERE o_orderkey % 89 <> 0 AND o_orderkey % 97 = 0) AS deviants, count(*) FILTER (WHERE o_orderkey % 89 = 0) AS typed, true AS broken FROM orders UNION ALL SELECT 3, count(*), 1, count(*), 0, 0, false FROM orders")
 def formula_audit(spark, sf_dir):
     return structure.column_audit(sheet(spark, sf_dir), whole(spark, sf_dir)).select("col", "formulas", "shapes", "fill_cells", "deviants", "typed", "broken")
 
@@ -246,7 +246,7 @@ def graph_lifted(spark, sf_dir):
     return graph.lifted(cells, names, regions)
 
 
-@query("graph_accounting", "SELECT count(*) FILTER (WHERE o_orderkey % 89 <> 0) + count(*) AS scanned, count(*) FILTER (WHERE o_orderkey % 89 <> 0) AS lifted, 0 AS within, 0 AS external, 0 AS unknown, count(*) AS unpopulated FROM orders")
+@query("graph_accounting", "SELECT count(*) FILTER (WHERE o_orderkey % 89 <> 0) + count(*) AS scanned, count(*) FILTER (WHERE o_orderkey % 89 <> 0) AS lifted, CAST(0 AS BIGINT) AS within, CAST(0 AS BIGINT) AS external, CAST(0 AS BIGINT) AS unknown, count(*) AS unpopulated FROM orders")
 def graph_accounting(spark, sf_dir):
     names = spark.createDataFrame([(0, "Orders")], "sheet_id int, name string")
     regions = spark.createDataFrame([(0, "price", 0, 1, 1_048_575, 1)], "sheet_id int, block string, top int, left int, bottom int, right int")
@@ -276,7 +276,7 @@ def call_ledger(spark, sf_dir):
     from pyspark.sql import Window
 
     w = Window.partitionBy("user_id", "event_type").orderBy("event_id")
-    return read(spark, sf_dir, "events").select("event_id", F.row_number().over(w).alias("nth"))
+    return read(spark, sf_dir, "events").select("event_id", F.row_number().over(w).cast("bigint").alias("nth"))
 
 
 @query("a1_addresses", "SELECT n_nationkey, chr(CAST(65 + n_nationkey AS INT)) || (n_regionkey + 1) AS a1 FROM nation")
@@ -291,7 +291,7 @@ def demo_recompute(spark, sf_dir):
     return trace.recompute(demo.workbook(spark, 500), demo.SHEETS, demo.NAMES).groupBy("outcome").agg(F.count("*").alias("cells"))
 
 
-@query("demo_audit", "SELECT * FROM (VALUES (8, 499, 1), (5, 500, 0), (6, 500, 0), (7, 500, 0), (9, 500, 0), (10, 500, 0), (11, 500, 0)) t(col, formulas, typed)")
+@query("demo_audit", "SELECT col, CAST(formulas AS BIGINT) AS formulas, CAST(typed AS BIGINT) AS typed FROM (VALUES (8, 499, 1), (5, 500, 0), (6, 500, 0), (7, 500, 0), (9, 500, 0), (10, 500, 0), (11, 500, 0)) t(col, formulas, typed)")
 def demo_audit(spark, sf_dir):
     cells = demo.debtors(spark, 500)
     body = spark.createDataFrame([("b", 0, 1, 0, 500, 11)], "body string, sheet_id int, top int, left int, bottom int, right int")

@@ -190,7 +190,7 @@ def lookup_missing(spark, sf_dir):
 BANDS = [(0, 0.02), (50_000, 0.10), (100_000, 0.25), (200_000, 0.5), (400_000, 0.85)]
 
 
-@query("lookup_banding", "SELECT o_orderkey, CASE WHEN o_totalprice >= 400000 THEN 0.85 WHEN o_totalprice >= 200000 THEN 0.5 WHEN o_totalprice >= 100000 THEN 0.25 WHEN o_totalprice >= 50000 THEN 0.10 WHEN o_totalprice >= 0 THEN 0.02 END AS found FROM orders")
+@query("lookup_banding", "SELECT o_orderkey, CAST(CASE WHEN o_totalprice >= 400000 THEN 0.85 WHEN o_totalprice >= 200000 THEN 0.5 WHEN o_totalprice >= 100000 THEN 0.25 WHEN o_totalprice >= 50000 THEN 0.10 WHEN o_totalprice >= 0 THEN 0.02 END AS DOUBLE) AS found FROM orders")
 def lookup_banding(spark, sf_dir):
     bands = spark.createDataFrame([(i, float(a), b) for i, (a, b) in enumerate(BANDS)], "position long, start double, rate double")
     out = lookup.approximate(read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", bands, "start", "rate", "position")

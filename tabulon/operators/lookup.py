@@ -3,9 +3,9 @@
 The looked-up table has a position column (its row in the sheet). Exact keys are reduced to their
 first row before the join, so the join never multiplies rows; Spark picks broadcast or shuffle by
 size. An approximate lookup wants the last position whose key is of the same kind and at most the
-probe, sorted or not: that is an interval lookup over the running picture of "last position at or
-below", built once by windows from the table's distinct keys, then an as-of merge by a union and
-one window, so no probe meets more than its own row.
+probe, sorted or not: the greatest position among the keys up to the probe. Few thresholds become
+literals of the plan; many are merged with the probes by a union and a running maximum over ranges
+of the key, so no probe meets more than its own row.
 """
 
 from __future__ import annotations
@@ -43,51 +43,49 @@ def match_exact(probes: DataFrame, key: str, table: DataFrame, table_key: str, p
     return got.select(*[F.col(f"`{x}`") for x in probes.columns], F.when(F.col("at").isNull(), error("#N/A")).otherwise(cell("number", F.col("at") - F.col("top") + 1)).alias(out))
 
 
-def steps(table: DataFrame, key: str, position: str, below: bool = True) -> DataFrame:
-    """(num, place): for probes from this key on, the last position whose key is at most (least) theirs.
-
-    Keys in order; the greatest position so far; only where it changes."""
+def thresholds(table: DataFrame, key: str, position: str) -> DataFrame:
+    """(num, place): each distinct number of the key with its last position."""
     c = Cell(table, key)
-    keys = table.filter(c.kind == "number").groupBy(c.num.alias("num")).agg(F.max(position).alias("position"))
-    # A lookup table is one range of a sheet: a million rows at most, one partition of two columns.
-    order = Window.orderBy(F.col("num") if below else F.desc("num")).rowsBetween(Window.unboundedPreceding, 0)
-    return keys.select("num", F.max("position").over(order).alias("place"))
+    return table.filter(c.kind == "number").groupBy(c.num.alias("num")).agg(F.max(position).cast("long").alias("place"))
 
 
-def approximate(probes: DataFrame, key: str, table: DataFrame, table_key: str, value: str, position: str, below: bool = True, out: str = "found", buckets: Column | None = None) -> DataFrame:
+def approximate(probes: DataFrame, key: str, table: DataFrame, table_key: str, value: str, position: str, below: bool = True, out: str = "found") -> DataFrame:
     """The value at the last position whose number is at most the probe (at least, for MATCH -1)."""
     c = Cell(probes, key)
-    known = steps(table, table_key, position, below)
-    # Few thresholds: as literals of the plan they make a binary search without a shuffle.
-    bounded = known.limit(LITERALS + 1).collect()
-    if len(bounded) <= LITERALS:
-        marks = sorted((r["num"], r["place"]) for r in bounded)
-        at = F.lit(None).cast("long")
-        n = c.number_like
-        for num, place in marks if below else reversed(marks):
-            at = F.when((n >= num) if below else (n <= num), F.lit(place)).otherwise(at)
+    known = thresholds(table, table_key, position)
+    few = known.limit(LITERALS + 1).collect()
+    if len(few) <= LITERALS:
+        # Few thresholds are literals of the plan: no shuffle of probes.
+        at, top = F.lit(None).cast("long"), -1
+        for num, place in sorted(((r["num"], r["place"]) for r in few), reverse=not below):
+            if place > top:
+                top = place
+                at = F.when(c.number_like >= num if below else c.number_like <= num, F.lit(place)).otherwise(at)
         placed = probes.withColumn("place", at)
     else:
-        grown = probes.select("*", c.number_like.alias("num"), F.lit(1).alias("side"), F.lit(None).cast("long").alias("step"))
-        marks_df = known.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in probes.schema], "num", F.lit(0).alias("side"), F.col("place").cast("long").alias("step"))
-        parts = 64
-        edges = known.approxQuantile("num", [i / parts for i in range(1, parts)], 0.005)
-        part = F.lit(0)
-        for e in sorted(set(edges)):
-            part = part + (F.col("num") > e).cast("int")
-        both = grown.unionByName(marks_df).withColumn("part", part)
-        # each part also needs the last step before it: carried by a row per part
-        within = Window.partitionBy("part").orderBy(F.col("num") if below else F.desc("num"), "side").rowsBetween(Window.unboundedPreceding, 0)
-        carry = both.filter("side = 0").groupBy("part").agg(F.max("step").alias("top"))
-        w = Window.orderBy("part" if below else F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
-        # a row per part (64 at most)
-        carry = both.select("part").distinct().join(carry, "part", "left").select("part", F.max("top").over(w).alias("before"))
-        placed = both.withColumn("local", F.max("step").over(within)).join(F.broadcast(carry), "part", "left").filter("side = 1").withColumn("place", F.greatest("local", "before")).drop("part", "num", "side", "step", "local", "before")
-    values = table.select(F.col(position).alias("place"), tagged(table, value).alias("value"))
+        placed = _as_of(probes, c.number_like, known, below)
+    values = table.select(F.col(position).cast("long").alias("place"), tagged(table, value).alias("value"))
     got = placed.join(values, "place", "left")
     return got.select(*[F.col(f"`{x}`") for x in probes.columns], F.when(F.col("place").isNull(), error("#N/A")).otherwise(F.col("value")).alias(out))
 
 
+def _as_of(probes: DataFrame, number: Column, known: DataFrame, below: bool) -> DataFrame:
+    """Probes with `place`: ranges of the key are windows of their own, and each also gets the greatest
+    place of the ranges before it, a row a range."""
+    parts = min(1000, int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    edges = sorted(set(known.approxQuantile("num", [i / parts for i in range(1, parts)], 0.002))) if parts > 1 else []
+    part = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]).cast("array<double>"), lambda e: e < F.col("num")))
+    mine = probes.select(F.struct(*[F.col(f"`{x}`") for x in probes.columns]).alias("probe"), number.alias("num"), F.lit(1).alias("side"), F.lit(None).cast("long").alias("step"))
+    theirs = known.select(F.lit(None).cast(mine.schema["probe"].dataType).alias("probe"), "num", F.lit(0).alias("side"), F.col("place").alias("step"))
+    both = mine.unionByName(theirs).withColumn("part", part)
+    order = F.col("num") if below else F.desc("num")
+    running = Window.partitionBy("part").orderBy(order, "side").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.orderBy("part" if below else F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    tops = both.groupBy("part").agg(F.max("step").alias("top")).select("part", F.max("top").over(earlier).alias("before"))  # at most `parts` rows
+    joined = both.withColumn("local", F.max("step").over(running)).join(F.broadcast(tops), "part", "left").filter("side = 1")
+    return joined.select("probe.*", F.greatest("local", "before").alias("place"))
+
+
 #: Thresholds that a plan holds as literals.
 LITERALS = 256
 

@@ -83,7 +83,7 @@ def _as_of(probes: DataFrame, number: Column, known: DataFrame, below: bool) ->
     earlier = Window.orderBy("part" if below else F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
     tops = both.groupBy("part").agg(F.max("step").alias("top")).select("part", F.max("top").over(earlier).alias("before"))  # at most `parts` rows
     joined = both.withColumn("local", F.max("step").over(running)).join(F.broadcast(tops), "part", "left").filter("side = 1")
-    return joined.select("probe.*", F.greatest("local", "before").alias("place"))
+    return joined.select("probe.*", F.when(F.col("num").isNotNull(), F.greatest("local", "before")).alias("place"))
 
 
 #: Thresholds that a plan holds as literals.

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import blocks, parts, utf8
+from tabulon.llm.common import blocks, parts, small_batches, utf8
 
 UNIT = 576
 RATE = 8000
@@ -172,7 +172,7 @@ def digests(batches):
 
 def telephony(docs: DataFrame) -> DataFrame:
     """Store each text as a mu-law WAV file, read it back, and return its digests and features."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(digests, SCHEMA)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(digests, SCHEMA)
 
 
 def media_column(docs: DataFrame, law: int = MULAW) -> DataFrame:

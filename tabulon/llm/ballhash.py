@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import cut, fewer, parts, shuffled, utf8
+from tabulon.llm.common import cut, fewer, parts, shuffled, small_batches, utf8
 from tabulon.llm.components import components
 
 SEED = 42
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
             fps = np.array([fingerprint(t, width) for t in b.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
 @lru_cache(maxsize=None)

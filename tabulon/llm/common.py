@@ -37,6 +37,19 @@ def shuffled(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of a batch that goes to Python, where rows are whole texts; Spark's own default is 10,000.
+BATCH_ROWS = 2_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Let texts go to Python in smaller batches, unless the session has a setting of its own."""
+    spark = df.sparkSession
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, BATCH_ROWS)
+    return df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage by a reliable checkpoint in the shared folder."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import blocks, joined, parts, utf8
+from tabulon.llm.common import blocks, joined, parts, small_batches, utf8
 
 SAMPLE = 3000
 BUCKETS = 1 << 15
@@ -148,7 +148,7 @@ def calibrate(z: np.ndarray, target: np.ndarray) -> tuple[float, float]:
 
 def learn(docs: DataFrame, learnable: Column, sample: int = SAMPLE, seed: int = 7) -> Model:
     """Fit on `sample` rows at most; executors count subwords, so a row to the driver is bounded."""
-    rows = docs.filter(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = small_batches(docs).filter(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull())
     ids = [r[0] for r in rows.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample).collect()]
     chosen = rows.filter(F.col("doc_id").isin(list(set(ids)))).select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string")) if ids else None
 
@@ -206,7 +206,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             sure = [x != UNKNOWN and s >= model.threshold for x, s in zip(best, score.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(best, pa.string()), pa.array(score, pa.float64()), pa.array(sure, pa.bool_())], names=["doc_id", "lang_pred", "score", "accepted"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double, accepted boolean")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double, accepted boolean")
 
 
 def filtered(docs: DataFrame, model: Model) -> DataFrame:
@@ -219,7 +219,7 @@ def filtered(docs: DataFrame, model: Model) -> DataFrame:
         score = np.concatenate([np.zeros(0), *[s for _, s in each]])
         return pd.Series([x != UNKNOWN and s >= model.threshold for x, s in zip(best, score.tolist(), strict=True)], dtype=bool)
 
-    return docs.filter(sure(F.col("text").cast("string")))
+    return small_batches(docs).filter(sure(F.col("text").cast("string")))
 
 
 def held_out() -> Column:

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import parts
+from tabulon.llm.common import parts, small_batches
 
 CAPACITY = 4096
 END = 2
@@ -200,4 +200,4 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) ->
         rows += packer.close()
         yield arrow(rows)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)

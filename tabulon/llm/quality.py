@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import Rolling, blocks, joined, parts, utf8
+from tabulon.llm.common import Rolling, blocks, joined, parts, small_batches, utf8
 
 SAMPLE = 4000
 BUCKETS = 1 << 14
@@ -187,7 +187,7 @@ def each_block(batch: pa.RecordBatch):
 
 
 def columns_of(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE, seed: int = 11) -> Model:
@@ -264,4 +264,4 @@ def filtered(docs: DataFrame, model: Model) -> DataFrame:
         each = [scores(model, [utf8(t) for t in text[lo:hi]])[1:] for lo, hi in blocks(sizes, CHUNK)]
         return pd.Series([bool((p + s) / 2 > 0.5) for po, sc in each for p, s in zip(po, sc, strict=True)], dtype=bool)
 
-    return docs.filter(good(F.col("text").cast("string")))
+    return small_batches(docs).filter(good(F.col("text").cast("string")))

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm.anchors import GRAM, anchors
-from tabulon.llm.common import Rolling, fewer, joined, parts, saved, shuffled, utf8
+from tabulon.llm.common import Rolling, joined, parts, saved, small_batches, utf8
 
 LENGTH = 400
 #: Different spans of one anchor hash that a task holds; rows that it indexes at a time.
@@ -47,7 +47,7 @@ CHUNK = 1 << 20
 def keyed(docs: DataFrame, keep: list[str]) -> DataFrame:
     """Rows with two hashes of their text, which stand for the text in joins."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(*keep, text.alias("text")).select("*", F.xxhash64("text").alias("k1"), F.hash("text").alias("k2"))
+    return small_batches(docs).select(*keep, text.alias("text")).select("*", F.xxhash64("text").alias("k1"), F.hash("text").alias("k2"))
 
 
 SPANS = "doc_id long, k1 long, k2 int, lo int, hi int, h long, g long"
@@ -178,7 +178,7 @@ def marks(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     near = sums.groupBy("h").agg(F.count("*").alias("kinds"), F.sum((F.col("times") == 1).cast("int")).alias("single"), F.sum("times").alias("all")).filter("all > 1")
     judged = sums.join(near, "h").filter("times > 1 or kinds > 1").select("h", "g", "times", F.col("r").alias("chosen"), ((F.col("kinds") > 1) & (F.col("single") > 0)).alias("look"), (F.col("kinds") > hot).alias("hot"))
     kept = found.join(judged, ["h", "g"]).select("doc_id", "k1", "k2", "lo", "hi", "h", "times", "hot", (F.col("look") & (F.col("r") == F.col("chosen"))).alias("look"))
-    kept = saved(fewer(kept.filter("times > 1 or look"), shuffled(docs.sparkSession), 8))
+    kept = saved(kept.filter("times > 1 or look"))
     whole = kept.filter("times > 1").select("k1", "k2", "lo", "hi")
     item = F.struct("lo", "hi", "h", "times", "hot")
     wanted = kept.filter("look").groupBy("k1", "k2", "doc_id").agg(F.collect_list(item).alias("items"))

@@ -37,6 +37,7 @@ SEED = 42
 #: Variants that a group may have before it is dealt out again, and those it should have.
 MOST_VARIANTS, USUAL_VARIANTS = 1 << 23, 1 << 20
 CHUNK = 1 << 16
+NAMELESS = 1 << 62
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
@@ -82,7 +83,7 @@ def leading_bits(n: int, half: int) -> int:
     return min(32, max(4, (n * ball(64, half) // USUAL_VARIANTS).bit_length()))
 
 
-ROUTED = "depth int, key long, fp long, used int"
+ROUTED = "depth int, key long, fp long, used int, node long"
 
 
 def route(rows: DataFrame, bits: int, half: int) -> DataFrame:
@@ -91,7 +92,7 @@ def route(rows: DataFrame, bits: int, half: int) -> DataFrame:
     def run(batches):
         table = masks(bits, half)
         for b in batches:
-            depth, key, fp, used = (np.asarray(b.column(i)) for i in range(4))
+            depth, key, fp, used, node = (np.asarray(b.column(i)) for i in range(5))
             if not len(b):
                 continue
             begin = int(depth[0])
@@ -106,7 +107,7 @@ def route(rows: DataFrame, bits: int, half: int) -> DataFrame:
                 if go.any():
                     keys = (key[go].view(np.uint64) << np.uint64(n)) | (own[go] ^ np.uint64(mask))
                     count = int(go.sum())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(count, begin + n, np.int32)), pa.array(keys.view(np.int64)), pa.array(fp[go]), pa.array((used[go] + flips).astype(np.int32))], names=["depth", "key", "fp", "used"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(count, begin + n, np.int32)), pa.array(keys.view(np.int64)), pa.array(fp[go]), pa.array((used[go] + flips).astype(np.int32)), pa.array(node[go])], names=["depth", "key", "fp", "used", "node"])
 
     return rows.mapInArrow(run, ROUTED)
 
@@ -130,8 +131,9 @@ def linker(radius: int, half: int):
     def link(group: pa.Table) -> pa.Table:
         begin = group["depth"][0].as_py()
         fp, used = np.asarray(group["fp"]).view(np.uint64), np.asarray(group["used"])
-        order = np.argsort(fp, kind="stable")
-        fp, used = fp[order], used[order]
+        node = np.asarray(group["node"])
+        order = np.argsort(node, kind="stable")
+        fp, used, node = fp[order], used[order], node[order]
         rest = 64 - begin
         low = fp & np.uint64((1 << rest) - 1)
         variants, owners = [], []
@@ -148,16 +150,18 @@ def linker(radius: int, half: int):
         near = np.bitwise_count(fp[a] ^ fp[b]) <= radius  # sharing a variant implies it
         root = forest(len(fp), a[near], b[near])
         far = np.flatnonzero(root != np.arange(len(fp)))
-        return pa.table([pa.array(fp[far].view(np.int64)), pa.array(fp[root[far]].view(np.int64))], names=["u", "v"])
+        return pa.table([pa.array(node[far]), pa.array(node[root[far]])], names=["u", "v"])
 
     return link
 
 
 def links(fps: DataFrame, n: int, radius: int = 4) -> DataFrame:
-    """Edges (u, v) that connect just the fingerprints which chains of links connect."""
+    """Edges (u, v) between nodes that connect just those whose fingerprints chains of links connect.
+
+    fps: (fp, node), each once; an edge goes to the smaller node."""
     half = radius // 2
     cost = {(d, u): ball(64 - d, half - u) for d in range(65) for u in range(half + 1)}
-    start = fps.select(F.lit(0).alias("depth"), F.lit(0).cast("long").alias("key"), "fp", F.lit(0).alias("used"))
+    start = fps.select(F.lit(0).alias("depth"), F.lit(0).cast("long").alias("key"), "fp", F.lit(0).alias("used"), "node")
     depth, out = leading_bits(n, half), []
     rows = route(start, depth, half)
     while True:
@@ -182,12 +186,12 @@ def classes(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id, the least doc_id reachable."""
     prints = fingerprints(docs, width)
     marked = cut(fewer(prints, prints.rdd.getNumPartitions(), 8))
-    distinct = cut(fewer(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), shuffled(docs.sparkSession), 32))
-    n = distinct.count()
-    roots = components(links(distinct.select("fp"), n, radius)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
-    rooted = distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    owned = rooted.join(least, "root").select("fp", "component_id")
+    # A fingerprint's node is its least doc_id, so a component's least node is its id; without any doc_id, a number past all.
+    node = F.coalesce(F.min("doc_id"), F.lit(NAMELESS) + F.pmod(F.xxhash64("fp"), F.lit(1 << 40))).alias("node")
+    distinct = cut(fewer(marked.groupBy("fp").agg(node), shuffled(docs.sparkSession), 32))
+    roots = components(links(distinct, distinct.count(), radius)).select(F.col("u").alias("node"), F.col("v").alias("root"))
+    least = F.coalesce("root", "node")
+    owned = distinct.join(roots, "node", "left").select("fp", F.when(least < NAMELESS, least).alias("component_id"))
     return marked.join(owned, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

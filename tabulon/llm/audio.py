@@ -6,7 +6,7 @@ medium is a WAV file; `store` puts a payload of bytes into one without loss, one
 `read` takes it out again, and `resample` makes PCM of another rate.
 
 Defined cases: a null text counts as an empty one; an empty one is one unit of padding; long texts
-are processed in bounded blocks of samples; equal texts give equal values; repeated rows stay
+are processed whole, in blocks of samples that hold one text at least; equal texts give equal values; repeated rows stay
 repeated; an empty table gives an empty result; other columns are passed over.
 """
 

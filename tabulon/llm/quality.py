@@ -9,7 +9,8 @@ gradient descent on hashed shape n-grams of the text, so it judges more than the
 A document is kept if the scorer and the posterior together find it good.
 
 Defined cases: a null or blank text has posterior and score 0 and is rejected; short texts make most
-labellers abstain; texts of any length are processed whole in bounded blocks; repeated rows stay
+labellers abstain; texts are processed whole, in blocks of bytes that hold one text at least, so memory
+grows with the longest text alone; repeated rows stay
 repeated; an empty table gives an empty result; further columns are not looked at.
 """
 

@@ -18,7 +18,7 @@ A byte goes if a string of LENGTH bytes that covers it also starts elsewhere, in
 4. Marks come back to the documents by the texts' hashes, once for all copies of a text.
 
 Defined cases: a null or empty text has no bytes and loses none; texts under LENGTH bytes lose none;
-a passage that overlaps itself counts; texts of any length are read in bounded blocks; repeated rows
+a passage that overlaps itself counts; texts are read whole, in blocks that hold one text at least; repeated rows
 are copies; equal or null doc_ids don't mix rows; an empty table gives an empty result; further
 columns are not looked at.
 """

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabulon.operators.search import normalised
+
 VERSION = 1
 #: Formula groups of a workbook beyond which the layer is left out.
 MOST_GROUPS = 20_000
@@ -45,6 +47,18 @@ class Corpus:
         """Values live apart, so they can be withheld or deleted alone."""
         self._write("profiles", rows.withColumn("workbook_hash", F.lit(workbook_hash)))
 
+    def put_vectors(self, workbook_hash: str, rows: DataFrame, model: str, dim: int) -> None:
+        """Unit vectors (node, embedding) of one model; another width is refused."""
+        wrong = rows.filter(F.size("embedding") != dim).limit(1).count()
+        if wrong:
+            raise ValueError(f"a vector is not of width {dim}")
+        unit = rows.withColumn("embedding", normalised(F.col("embedding")).cast("array<float>"))
+        self._write("vectors", unit.withColumns({"model": F.lit(model), "dim": F.lit(dim), "workbook_hash": F.lit(workbook_hash)}))
+
+    def vectors(self, model: str, dim: int) -> DataFrame:
+        """Vectors of this model alone; those of another are skipped."""
+        return self.get("vectors").filter((F.col("model") == model) & (F.col("dim") == dim))
+
     def entries(self) -> DataFrame:
         if not self._exists("manifest"):
             return self.spark.createDataFrame([], "path string, n_sheets long, n_cells long, groups_dropped boolean, version int, workbook_hash string")

@@ -215,6 +215,12 @@ def test_corpus(spark, tmp_path, book):
     assert corpus.resolve("abc") == "abc123" and corpus.resolve("other.xlsx") == "def"
     with pytest.raises(LookupError):
         corpus.resolve(None)
+    rows = spark.createDataFrame([("n1", [3.0, 4.0]), ("n2", [0.0, 0.0])], "node string, embedding array<float>")
+    corpus.put_vectors("abc123", rows, "m", 2)
+    assert {r.node: [round(x, 6) for x in r.embedding] for r in corpus.vectors("m", 2).collect()} == {"n1": [0.6, 0.8], "n2": [0.0, 0.0]}
+    assert corpus.vectors("other", 2).count() == 0
+    with pytest.raises(ValueError):
+        corpus.put_vectors("abc123", rows, "m", 3)
     corpus.forget("def")
     assert corpus.entries().count() == 1 and corpus.resolve(None) == "abc123"
 

@@ -12,8 +12,8 @@ from tabulon.address import MAX_COL, MAX_ROW, Range, cite, parse_a1
 from tabulon.functions.evaluate import Err, Value
 from tabulon.functions.text import formula_cells, references_of
 from tabulon.operators import graph, retrieve, search, structure, trace
-from tabulon.operators.profile import tally
-from tabulon.operators.query import Query, Refused, Table, query
+from tabulon.operators.profile import profile, tally
+from tabulon.operators.query import Query, Refused, Table, groups_not_listed, query, scan_counts
 from tabulon.sources.tables import cells_in, pivoted, used_range
 from tabulon.values import ERRORS
 
@@ -170,6 +170,24 @@ class Workbook:
     def query_table(self, citation: str, q: Query) -> DataFrame:
         return query(self.table(citation), q)
 
+    def answer(self, citation: str, q: Query) -> dict:
+        """Groups with what they stand on: the range, row counts, groups a limit left out; on no match, the values there are."""
+        t = self.table(citation)
+        out = {"groups": query(t, q), "over": t.name} | scan_counts(t, q.filters).first().asDict()
+        if q.limit is not None:
+            out["groups_not_listed"] = groups_not_listed(t, q).first()[0]
+        if not out["rows_matched"] and q.filters:
+            columns = list(dict.fromkeys(t.resolve(f.column) for f in q.filters))
+            kept = profile(Table(t.df.select(*columns))).select("name", "values").collect()
+            out["unmatched"] = {r["name"]: [v["value"] for v in r["values"]] if r["values"] is not None else None for r in kept}
+        return out
+
+    def schema_hint(self, citation: str) -> DataFrame:
+        """Lookups whose keys are in the table: columns that name rows of another one."""
+        sheet, where = self.locate(citation)
+        inside = (F.col("key_left") >= where.left) & (F.col("key_left") <= where.right) & (F.col("key_top") <= where.bottom) & (F.col("key_bottom") >= where.top)
+        return self.schema().filter((F.col("sheet_id") == sheet) & inside & ~F.col("approximate"))
+
     def table_columns(self, citation: str) -> DataFrame:
         return tally(self.table(citation))
 

@@ -83,6 +83,15 @@ def test_query_table(book):
         assert e.value.reason == reason
 
 
+def test_answers_say_what_they_stand_on(book):
+    a = book.answer("Debtors!A3", Query((Filter("Balance", "above", 20),), ("Type",), (Aggregate("count"),), 1, ("n",)))
+    assert (a["over"], a["rows_scanned"], a["rows_matched"], a["rows_with_errors"], a["groups_not_listed"]) == ("Debtors!A3:E6", 4, 3, 0, 1)
+    none = book.answer("Debtors!A3", Query((Filter("Type", "is", "Retial"),), (), (Aggregate("count"),)))
+    assert none["groups"].count() == 0 and none["unmatched"] == {"Type": ["Retail", "Business", "Other"]}
+    assert [r.table_sheet for r in book.schema_hint("Debtors!A1:E6").collect()] == ["Rates"]
+    assert [(r.position, r["name"], r.kind, r.populated) for r in book.table_columns("Debtors!A3").collect()][:3] == [(0, "Account", "text", 4), (1, "Type", "text", 4), (2, "Balance", "number", 4)]
+
+
 def test_recompute_and_check(book):
     out = {(r.sheet_id, r.row, r.col): (r.outcome, r.reason) for r in trace.recompute(book.cells, SHEETS, book.names).collect()}
     assert out[0, 2, 3] == ("agrees", None) and out[2, 1, 1] == ("agrees", None) and out[2, 2, 1] == ("agrees", None)

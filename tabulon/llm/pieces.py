@@ -28,7 +28,9 @@ from __future__ import annotations
 import heapq
 import math
 import re
+from bisect import bisect_left, insort
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabulon.llm.common import shuffled
+
 SAMPLES = 3
 TEMPERATURE = 3.0
 OFFSET = 100
@@ -63,16 +67,19 @@ class Pieces:
         self.bytes = {int(self.text[i][3:5], 16): i for i in range(self.size) if model.is_byte(i)}
         self.value = {i: b for b, i in self.bytes.items()}
         self.ids = {self.text[i]: i for i in range(self.size) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))}
-        self.longest = max(map(len, self.ids))
+        #: Every prefix of a piece, with the piece's id or -1.
+        self.prefixes = {t[:n]: -1 for t in self.ids for n in range(1, len(t))} | self.ids
         self.weight = [-math.log(i + OFFSET) / temperature for i in range(self.size)]
         self.words: dict[str, Lattice] = {}
+        self.older: dict[str, Lattice] = {}
 
     def lattice(self, word: str) -> Lattice:
         found = self.words.get(word)
         if found is None:
-            if len(self.words) >= MOST_WORDS:
-                self.words.clear()
-            found = self.words[word] = Lattice(self, word)
+            if len(self.words) >= MOST_WORDS // 2:
+                self.words, self.older = {}, self.words
+            # a word of the older half that is met again moves to the newer one
+            found = self.words[word] = self.older.get(word) or Lattice(self, word)
         return found
 
     def decode(self, ids: list[int]) -> str:
@@ -82,28 +89,44 @@ class Pieces:
 
 
 class Lattice:
-    """Edges of one word by where they end, and the log sum of the ways to each place."""
+    """Edges of one word by where they end, and what a random walk from a place back needs of them."""
 
-    __slots__ = ("into", "log", "size")
+    __slots__ = ("log", "size", "steps")
 
     def __init__(self, pieces: Pieces, word: str):
         n = self.size = len(word)
-        self.into: list[list[tuple[int, tuple[int, ...], float]]] = [[] for _ in range(n + 1)]
-        self.log = [-math.inf] * (n + 1)
-        self.log[0] = 0.0
+        log = self.log = [-math.inf] * (n + 1)
+        log[0] = 0.0
         shown = word.replace(MARK, "\0").replace(" ", MARK)
-        ids, weight = pieces.ids, pieces.weight
+        table, weight = pieces.prefixes, pieces.weight
+        into: list[list] = [[] for _ in range(n + 1)]
+        for start in range(n):
+            for end in range(start + 1, n + 1):
+                i = table.get(shown[start:end])
+                if i is None:
+                    break
+                if i >= 0:
+                    into[end].append((start, (i,), weight[i]))
+            if table.get(shown[start], -1) < 0:
+                spelt = tuple(pieces.bytes[b] for b in word[start].encode("utf-8", "surrogatepass"))
+                into[start + 1].append((start, spelt, sum([weight[i] for i in spelt])))
+        #: Of each place: the edges into it, their log chances, the sums of their chances, log(1 - chance).
+        self.steps: list[tuple] = [([], [], [], [])]
         for end in range(1, n + 1):
-            edges = []
-            for start in range(max(0, end - pieces.longest), end):
-                i = ids.get(shown[start:end])
-                if i is not None:
-                    edges.append((start, (i,), weight[i]))
-            if shown[end - 1] not in ids:
-                spelt = tuple(pieces.bytes[b] for b in word[end - 1].encode("utf-8", "surrogatepass"))
-                edges.append((end - 1, spelt, sum(weight[i] for i in spelt)))
-            self.into[end] = edges
-            self.log[end] = logsum([self.log[s] + w for s, _, w in edges])
+            edges = into[end]
+            if len(edges) == 1:
+                log[end] = log[edges[0][0]] + edges[0][2]
+                self.steps.append((edges, ZERO, ONE, NEVER))
+                continue
+            values = [log[s] + w for s, _, w in edges]
+            m = max(values)
+            parts = [math.exp(v - m) for v in values]
+            total = sum(parts)
+            log[end] = whole = m + math.log(total)
+            self.steps.append((edges, [v - whole for v in values], [x / total for x in accumulate(parts)], [math.log(max(1e-300, (total - x) / total)) for x in parts]))
+
+
+ZERO, ONE, NEVER = [0.0], [1.0], [-math.inf]
 
 
 def logsum(values: list[float]) -> float:
@@ -113,11 +136,6 @@ def logsum(values: list[float]) -> float:
     return m + math.log(sum([math.exp(v - m) for v in values])) if m > -math.inf else m
 
 
-def log1mexp(x: float) -> float:
-    """log(1 - exp(x)) for x <= 0."""
-    return -math.inf if x >= 0 else math.log(-math.expm1(x)) if x > -0.693 else math.log1p(-math.exp(x))
-
-
 class Random:
     """Uniform numbers in (0, 1) in blocks, from a row's key."""
 
@@ -152,51 +170,51 @@ def sample(pieces: Pieces, text: str | None, k: int, seed: int) -> list[tuple[li
     if not text:
         return [([], 0.0, 0.0, 1.0)]
     words = [pieces.lattice(w) for w in WORD.findall(" " + text)]
-    total = sum(w.log[w.size] for w in words)
     rng = Random(seed)
-    # A node: the steps that lead to it (a linked list from the text's end), its state, its chance,
-    # and the edges there that are still to be handed out.
-    top = rng.gumbel_below(0.0, math.inf)
-    heap = [(-top, 0, None, len(words) - 1, words[-1].size, 0.0, words[-1].into[words[-1].size])]
+    below_of = rng.gumbel_below
+    # A node: the steps that lead to it (a linked list from the text's end), its state, its log chance,
+    # and the edges there that are handed out already.
+    top = below_of(0.0, math.inf)
+    heap = [(-top, 0, None, len(words) - 1, words[-1].size, 0.0, ())]
+    bounds = [-top]  # of the nodes in the heap, best first
     ties, out, threshold = 1, [], -math.inf
     while heap:
-        bound, _, steps, w, place, log, edges = heapq.heappop(heap)
+        bound, _, steps, w, place, log, gone = heapq.heappop(heap)
+        del bounds[bisect_left(bounds, bound)]
         if len(out) == k:
             threshold = -bound
             break
-        value = -bound
+        value, need = -bound, k - len(out)
         while True:
             # One edge takes the node's maximum; the others keep what stays below it.
-            lattice = words[w]
-            here = lattice.log
-            if len(edges) == 1:
-                start, ids, weight = edges[0]
+            edges, chances, sums, rests = words[w].steps[place]
+            if len(edges) - len(gone) == 1:
+                pick = 0 if not gone else next(i for i in range(len(edges)) if i not in gone)
+                # the last way on has all the chance that the node has left
             else:
-                chances = [here[s] + x for s, _, x in edges]
-                whole = logsum(chances)
-                u, pick = rng(), len(edges) - 1
-                for i, c in enumerate(chances):
-                    u -= math.exp(c - whole)
-                    if u <= 0:
-                        pick = i
-                        break
-                start, ids, weight = edges[pick]
-                rest = edges[:pick] + edges[pick + 1 :]
-                location = log + logsum(chances[:pick] + chances[pick + 1 :]) - here[place]
-                below = rng.gumbel_below(location, value)
-                if len(heap) < k + 1 - len(out) or below > worst(heap, k + 1 - len(out)):
-                    heapq.heappush(heap, (-below, ties, steps, w, place, log, rest))
+                if gone:
+                    open_edges = [i for i in range(len(edges)) if i not in gone]
+                    left = list(accumulate(math.exp(chances[i]) for i in open_edges))
+                    pick = open_edges[min(bisect_left(left, rng() * left[-1]), len(open_edges) - 1)]
+                    location = log + logsum([chances[i] for i in open_edges if i != pick])
+                else:
+                    pick = min(bisect_left(sums, rng()), len(edges) - 1)
+                    location = log + rests[pick]
+                below = below_of(location, value)
+                # nodes under the best that can still be handed out, and the one after, don't matter
+                if len(bounds) < need or -below < bounds[need - 1]:
+                    heapq.heappush(heap, (-below, ties, steps, w, place, log, (*gone, pick)))
+                    insort(bounds, -below)
                     ties += 1
-            log += here[start] + weight - here[place]
+            gone = ()
+            log += chances[pick]
+            place, ids, _ = edges[pick]
             steps = (ids, steps)
-            place = start
             while not place and w:
                 w -= 1
                 place = words[w].size
             if not place:
                 break
-            lattice = words[w]
-            edges = lattice.into[place]
         path: list[int] = []
         while steps:
             path += steps[0]
@@ -206,15 +224,6 @@ def sample(pieces: Pieces, text: str | None, k: int, seed: int) -> list[tuple[li
     return [(ids, log, value, score(log)) for ids, log, value in out]
 
 
-def worst(heap: list[tuple], k: int) -> float:
-    """The k-th largest bound; nodes below it can never be handed out."""
-    if len(heap) > 64 + 4 * k:
-        kept = heapq.nsmallest(k, heap)
-        heap[:] = kept
-        heapq.heapify(heap)
-    return -heapq.nsmallest(k, heap)[-1][0]
-
-
 @lru_cache(maxsize=2)
 def loaded(path: str, temperature: float) -> Pieces:
     return Pieces(path, temperature)
@@ -244,4 +253,6 @@ def segment(rows: DataFrame, k: int = SAMPLES, path: str | None = None, temperat
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(map(list, zip(*rows, strict=True)), kinds, strict=True)], names=names)
 
-    return rows.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    # A search costs far more than moving its text: rows are dealt out, so file sizes don't set the number of tasks.
+    dealt = rows.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("text").cast("string")).repartition(shuffled(rows.sparkSession), "conv_id", "turn", "text")
+    return dealt.mapInArrow(run, SCHEMA)

@@ -20,17 +20,15 @@ from tabulon.address import MAX_COL, MAX_ROW, column_of
 SHEET = r"(?:'(?:[^']|'')+'|\[[^\]]+\][^\W\d][\w.]*|[^\W\d][\w.]*(?::[^\W\d][\w.]*)?)!"
 CELL = r"\$?[A-Za-z]{1,3}\$?[0-9]{1,7}"
 AXIS = r"\$?[A-Za-z]{1,3}:\$?[A-Za-z]{1,3}|\$?[0-9]{1,7}:\$?[0-9]{1,7}"
-TOKEN = re.compile(
-    rf"""(?P<text>"(?:[^"]|"")*")
+_WORDS = rf"""(?P<text>"(?:[^"]|"")*")
     |(?P<error>\#(?:NULL!|DIV/0!|VALUE!|REF!|NAME\?|NUM!|N/A|GETTING_DATA|SPILL!|CALC!))
     |(?P<call>[^\W\d][\w.]*(?=\())
     |(?P<ref>(?P<sheet>{SHEET})?(?:(?P<axis>{AXIS})(?![\w.(])|(?P<first>{CELL})(?![\w.(])(?::(?P<second>{CELL})(?![\w.(]))?))
     |(?P<number>[0-9]+\.?[0-9]*(?:[eE][+-]?[0-9]+)?|\.[0-9]+(?:[eE][+-]?[0-9]+)?)
-    |(?P<name>(?:{SHEET})?[^\W\d][\w.\\?]*)
-    |(?P<space>\s+)
-    |(?P<sign><>|<=|>=|.)""",
-    re.X | re.S,
-)
+    |(?P<name>(?:{SHEET})?[^\W\d][\w.\\?]*)"""
+TOKEN = re.compile(_WORDS + r"|(?P<space>\s+)|(?P<sign><>|<=|>=|.)", re.X | re.S)
+#: The same without signs and spaces, which a search passes over: the fast way where they don't matter.
+WALK = re.compile(_WORDS, re.X | re.S)
 
 
 @dataclass(frozen=True)
@@ -88,74 +86,73 @@ def qualifier(text: str | None) -> tuple[str | None, str | None, str | None]:
     return first, last if colon else None, book
 
 
+CORNER = re.compile(r"(\$?)([A-Za-z]{1,3})(\$?)([0-9]{1,7})$")
+
+
 def corner(text: str) -> tuple[int, int, bool, bool] | None:
-    m = re.match(r"(\$?)([A-Za-z]{1,3})(\$?)([0-9]{1,7})$", text)
+    m = CORNER.match(text)
     col, row = column_of(m[2]), int(m[4]) - 1
     return (row, col, bool(m[3]), bool(m[1])) if col is not None and 0 <= row <= MAX_ROW else None
 
 
-def reference(t: Token) -> Reference | None:
-    m = t.match
+def reference(m: re.Match) -> Reference | None:
+    """The reference that a token is; None if its corners lie outside a sheet."""
     sheet, last, book = qualifier(m["sheet"])
     if m["axis"]:
         a, b = m["axis"].split(":")
         fixed, a, b = (a[0] == "$", b[0] == "$"), a.strip("$"), b.strip("$")
         if a.isdigit():
             r1, r2 = sorted((int(a) - 1, int(b) - 1))
-            return Reference(t.text, sheet, last, book, r1, 0, r2, MAX_COL, (fixed[0], True, fixed[1], True), "rows") if 0 <= r1 and r2 <= MAX_ROW else None
+            return Reference(m[0], sheet, last, book, r1, 0, r2, MAX_COL, (fixed[0], True, fixed[1], True), "rows") if 0 <= r1 and r2 <= MAX_ROW else None
         c1, c2 = column_of(a), column_of(b)
-        return None if c1 is None or c2 is None else Reference(t.text, sheet, last, book, 0, min(c1, c2), MAX_ROW, max(c1, c2), (True, fixed[0], True, fixed[1]), "cols")
+        return None if c1 is None or c2 is None else Reference(m[0], sheet, last, book, 0, min(c1, c2), MAX_ROW, max(c1, c2), (True, fixed[0], True, fixed[1]), "cols")
     a = corner(m["first"])
     b = corner(m["second"]) if m["second"] else a
     if a is None or b is None:
         return None
-    return Reference(t.text, sheet, last, book, min(a[0], b[0]), min(a[1], b[1]), max(a[0], b[0]), max(a[1], b[1]), (a[2], a[3], b[2], b[3]), None)
+    return Reference(m[0], sheet, last, book, min(a[0], b[0]), min(a[1], b[1]), max(a[0], b[0]), max(a[1], b[1]), (a[2], a[3], b[2], b[3]), None)
 
 
 def scan_references(formula: str | None) -> list[Reference]:
-    return [r for t in tokens(formula or "") if kind_of(t) == "ref" and (r := reference(t))]
+    return [r for m in WALK.finditer(formula or "") if m["ref"] is not None and (r := reference(m))]
 
 
 def scan_names(formula: str | None) -> list[str]:
     """Identifiers that are neither references nor calls nor TRUE and FALSE; a sheet qualifier stays."""
-    return [t.text for t in tokens(formula or "") if kind_of(t) == "name" and t.text.upper() not in ("TRUE", "FALSE")]
-
-
-def _relative(text: str, row: int, col: int) -> str:
-    r, c, row_fixed, col_fixed = corner(text)
-    down = f"R{r + 1}" if row_fixed else "R" if r == row else f"R[{r - row}]"
-    over = f"C{c + 1}" if col_fixed else "C" if c == col else f"C[{c - col}]"
-    return down + over
+    return [m[0] for m in WALK.finditer(formula or "") if m["name"] is not None and m[0].upper() not in ("TRUE", "FALSE")]
 
 
 def shape(formula: str | None, row: int, col: int) -> str | None:
     """The formula with its references relative to its cell; everything else byte for byte."""
     if formula is None:
         return None
-    out = []
-    for t in tokens(formula):
-        if kind_of(t) != "ref" or reference(t) is None:
-            out.append(t.text)
-            continue
-        m = t.match
+
+    def spot(text: str) -> str:
+        r, c, row_fixed, col_fixed = corner(text)
+        down = f"R{r + 1}" if row_fixed else "R" if r == row else f"R[{r - row}]"
+        return down + (f"C{c + 1}" if col_fixed else "C" if c == col else f"C[{c - col}]")
+
+    def line(part: str) -> str:
+        body, fixed = part.lstrip("$"), part.startswith("$")
+        at, own, sign = (int(body) - 1, row, "R") if body.isdigit() else (column_of(body), col, "C")
+        return f"{sign}{at + 1}" if fixed else sign if at == own else f"{sign}[{at - own}]"
+
+    def put(m: re.Match) -> str:
+        if m["ref"] is None or reference(m) is None:
+            return m[0]
         head = m["sheet"] or ""
         if m["axis"]:
-            parts = []
-            for p in m["axis"].split(":"):
-                body, fixed = p.lstrip("$"), p.startswith("$")
-                at, own, sign = (int(body) - 1, row, "R") if body.isdigit() else (column_of(body), col, "C")
-                parts.append(f"{sign}{at + 1}" if fixed else sign if at == own else f"{sign}[{at - own}]")
-            out.append(head + ":".join(parts))
-        else:
-            out.append(head + _relative(m["first"], row, col) + (":" + _relative(m["second"], row, col) if m["second"] else ""))
-    return "".join(out)
+            return head + ":".join(map(line, m["axis"].split(":")))
+        return head + spot(m["first"]) + (":" + spot(m["second"]) if m["second"] else "")
+
+    return WALK.sub(put, formula)
 
 
 def redact(formula: str | None) -> str | None:
     """Numbers and texts replaced by what they are; references and sheet names stay."""
     if formula is None:
         return None
-    return "".join({"number": "<number>", "text": "<text>"}.get(kind_of(t), t.text) for t in tokens(formula))
+    return WALK.sub(lambda m: "<number>" if m["number"] is not None else "<text>" if m["text"] is not None else m[0], formula)
 
 
 # Aggregate calls that make a formula a total.

@@ -104,13 +104,14 @@ def lifting_ratio(edges: DataFrame) -> DataFrame:
 
 def reachable(edges: DataFrame, seeds: DataFrame, hops: int | None = None, limit: int = 1000, cut=None) -> DataFrame:
     """(node, hops) from the seeds (node): a level a round, each an anti-join with what is known."""
+    edges = edges.select("src", "dst").distinct().persist()  # every level reads them
     known = seeds.select("node", F.lit(0).alias("hops")).distinct()
     level = 0
     while hops is None or level < hops:
         frontier = known.filter(F.col("hops") == level).select(F.col("node").alias("src"))
         fresh = edges.join(frontier, "src", "left_semi").select(F.col("dst").alias("node")).distinct().join(known, "node", "left_anti")
         known = known.unionByName(fresh.select("node", F.lit(level + 1).alias("hops")))
-        known = cut(known) if cut else known
+        known = cut(known) if cut else known.persist()
         level += 1
         if hops is None and (known.filter(F.col("hops") == level).isEmpty() or level >= limit):
             break

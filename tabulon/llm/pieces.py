@@ -38,12 +38,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import shuffled
+from tabulon.llm.common import parts, shuffled, small_batches
 
 SAMPLES = 3
 TEMPERATURE = 3.0
 OFFSET = 100
 MARK = "▁"
+CHUNK = 1 << 20
 #: Words that a task remembers, and the longest part of a run without spaces that is one word.
 MOST_WORDS, LONGEST = 60_000, 48
 WORD = re.compile(f" *[^ ]{{1,{LONGEST}}}| +")
@@ -229,23 +230,24 @@ def loaded(path: str, temperature: float) -> Pieces:
     return Pieces(path, temperature)
 
 
-SCHEMA = "conv_id long, turn long, sample int, n_pieces int, ids array<int>, log_p double, perturbed double, inclusion double, decoded boolean"
+SCHEMA = "sample int, n_pieces int, ids array<int>, log_p double, perturbed double, inclusion double, decoded boolean"
 
 
-def segment(rows: DataFrame, k: int = SAMPLES, path: str | None = None, temperature: float = TEMPERATURE) -> DataFrame:
-    """k distinct segmentations of each turn's text, and whether each decodes to the text."""
+def segment(rows: DataFrame, k: int = SAMPLES, path: str | None = None, temperature: float = TEMPERATURE, key: tuple[str, ...] = ("conv_id", "turn")) -> DataFrame:
+    """k distinct segmentations of each row's text, and whether each decodes to the text. The columns of `key` are longs."""
+    schema = ", ".join([*(f"{c} long" for c in key), SCHEMA])
 
     def run(batches):
         pieces = loaded(path or model_path(), temperature)
-        names = [x.split()[0] for x in SCHEMA.split(", ")]
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.float64(), pa.float64(), pa.float64(), pa.bool_())
-        for b in batches:
+        names = [x.split()[0] for x in schema.split(", ")]
+        kinds = (*[pa.int64()] * len(key), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.float64(), pa.float64(), pa.float64(), pa.bool_())
+        for b in parts(batches, len(key), CHUNK):
             rows: list[tuple] = []
             held = 0
-            for conv, turn, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                seed = xxhash.xxh64_intdigest(f"{conv}/{turn}")
+            for *own, text in zip(*(b.column(i).to_pylist() for i in range(len(key) + 1)), strict=True):
+                seed = xxhash.xxh64_intdigest("/".join(map(str, own)))
                 for i, (ids, log, value, score) in enumerate(sample(pieces, text, k, seed)):
-                    rows.append((conv, turn, i + 1, len(ids), ids, log, value, score, pieces.decode(ids) == (text or "")))
+                    rows.append((*own, i + 1, len(ids), ids, log, value, score, pieces.decode(ids) == (text or "")))
                     held += len(ids)
                 if held > 1 << 18:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(map(list, zip(*rows, strict=True)), kinds, strict=True)], names=names)
@@ -254,5 +256,5 @@ def segment(rows: DataFrame, k: int = SAMPLES, path: str | None = None, temperat
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(map(list, zip(*rows, strict=True)), kinds, strict=True)], names=names)
 
     # A search costs far more than moving its text: rows are dealt out, so file sizes don't set the number of tasks.
-    dealt = rows.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("text").cast("string")).repartition(shuffled(rows.sparkSession), "conv_id", "turn", "text")
-    return dealt.mapInArrow(run, SCHEMA)
+    dealt = small_batches(rows).select(*[F.col(c).cast("long") for c in key], F.col("text").cast("string")).repartition(shuffled(rows.sparkSession), *key, "text")
+    return dealt.mapInArrow(run, schema)

@@ -74,7 +74,7 @@ def op8_ballhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.segment(table(spark, sf_dir, "conversations"))
+    return pieces.segment(table(spark, sf_dir, "documents"), key=("doc_id",))
 
 
 def op10_rlindex(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -295,6 +295,14 @@ def test_pieces_hard_rows(spark):
     assert pieces.segment(rows.limit(0)).count() == 0
 
 
+def test_pieces_of_every_document(spark, sf):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    out = queries.op9_pieces(spark, sf).collect()
+    assert {r["doc_id"] for r in out} == set(texts)
+    model = pieces.loaded(pieces.model_path(), pieces.TEMPERATURE)
+    assert all(r["decoded"] and model.decode(r["ids"]) == (texts[r["doc_id"]] or "") for r in out)
+
+
 # --- repeated passages -------------------------------------------------------------------------
 def brute_marks(texts, length):
     where: dict = {}

@@ -45,9 +45,9 @@ TEMPERATURE = 3.0
 OFFSET = 100
 MARK = "▁"
 CHUNK = 1 << 20
-#: Words that a task remembers, and the longest part of a run without spaces that is one word.
+#: Words that a task remembers, and the longest of them; a longer word's lattice is built each time.
 MOST_WORDS, LONGEST = 60_000, 48
-WORD = re.compile(f" *[^ ]{{1,{LONGEST}}}| +")
+WORD = re.compile(" *[^ ]+| +")
 
 
 def model_path() -> str:
@@ -75,6 +75,8 @@ class Pieces:
         self.older: dict[str, Lattice] = {}
 
     def lattice(self, word: str) -> Lattice:
+        if len(word) > LONGEST:
+            return Lattice(self, word)
         found = self.words.get(word)
         if found is None:
             if len(self.words) >= MOST_WORDS // 2:

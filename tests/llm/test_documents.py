@@ -295,6 +295,31 @@ def test_pieces_hard_rows(spark):
     assert pieces.segment(rows.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("before", [0, 44, 45, 46, 47, 95])
+def test_samples_of_a_long_run(before):
+    model = pieces.loaded(pieces.model_path(), pieces.TEMPERATURE)
+    text = "\x01" * before + "the" + "\x01" * 50
+
+    def ways(at):
+        if at == len(shown):
+            yield (), 0.0
+            return
+        own = [model.bytes[b] for b in shown[at].replace(pieces.MARK, " ").encode()]
+        steps = [(end, (model.ids[shown[at:end]],)) for end in range(at + 1, len(shown) + 1) if shown[at:end] in model.ids]
+        if shown[at] not in model.ids:
+            steps.append((at + 1, tuple(own)))
+        for end, ids in steps:
+            for rest, log in ways(end):
+                yield ids + rest, log + sum(model.weight[i] for i in ids)
+
+    shown = pieces.MARK + text
+    want = dict(ways(0))
+    whole = np.log(sum(np.exp(np.array(list(want.values())) - max(want.values())))) + max(want.values())
+    got = {tuple(ids): log for ids, log, _, _ in pieces.sample(model, text, 500, 1)}
+    assert set(got) == set(want)
+    assert all(abs(got[ids] - log + whole) < 1e-9 for ids, log in want.items())
+
+
 def test_pieces_of_every_document(spark, sf):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     out = queries.op9_pieces(spark, sf).collect()

@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tabulon.llm import ballhash, langid, packing, quality, rlindex
 from tabulon.llm.common import ensure_checkpoint_dir, table
 
+#: Bytes of a repeated passage; 51 words of the documents' prose have more. op10 has a length of its own.
+PASSAGE = 250
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
@@ -29,7 +32,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that repeat in the corpus."""
-    return rlindex.trimmed(docs)
+    return rlindex.trimmed(docs, PASSAGE)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

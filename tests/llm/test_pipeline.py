@@ -61,3 +61,16 @@ def test_stages_on_an_empty_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf).count() == 0
+
+
+def test_a_repeated_passage_of_51_words_goes(spark, sf):
+    rng = np.random.default_rng(7)
+    words = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(n))
+    passage = words(51)
+    assert len(passage) < 400
+    texts = {i: f"{words(60)} {passage} {words(60)}" for i in range(2)} | {2: words(120)}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    out = as_dict(corpus_pipeline.repeated_passage_stage(spark, docs, sf))
+    assert out[2] == texts[2]
+    for i in range(2):
+        assert out[i] == texts[i].replace(f" {passage} ", "")

@@ -10,17 +10,20 @@ from tabulon.llm.common import table
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Votes, posterior, score and verdict of every document; a null or empty text is not kept."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.judge(docs, quality.learn(docs))
 
 
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from those not held out; `und` without a letter."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.learn(docs, ~langid.held_out())
     return langid.identify(docs, model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "accepted")
 
 
 def op3_urlrules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, the fitting host rule and the verdict of every page's URL; allowed where none fits."""
     return urlrules.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", F.col("host_rule").alias("rule"), "verdict")
 
 
@@ -49,10 +52,12 @@ FROM ruled
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences; a null text is one end token."""
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def op5_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests and features of every text stored as telephony audio; a null text is one unit of padding."""
     return audio.telephony(table(spark, sf_dir, "documents"))
 
 
@@ -61,23 +66,28 @@ PLANTED = [(-7, t, r, r"\### Assistant: </turn> ok") for t, r in enumerate(("use
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all conversations and the planted one, read back from their formatted text."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.digests(rows.unionByName(spark.createDataFrame(PLANTED, "conv_id long, turn long, role string, text string")))
 
 
 def op7_anisotropic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of each row whose vec_id is divisible by 20; unsound vectors take no part."""
     return anisotropic.search(table(spark, sf_dir, "embeddings"))
 
 
 def op8_ballhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; texts without a word have fingerprint zero."""
     return ballhash.classes(table(spark, sf_dir, "documents"))
 
 
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three sampled segmentations of every document's whole text; an empty one has one, of no piece."""
     return pieces.segment(table(spark, sf_dir, "documents"), key=("doc_id",))
 
 
 def op10_rlindex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document after removal, with the text that is left and the removed byte ranges."""
     return rlindex.digests(table(spark, sf_dir, "documents"))
 
 

@@ -255,19 +255,23 @@ def marked(docs: DataFrame, keep: list[str], length: int = LENGTH, hot: int = HO
     return rows.join(lists, ["k1", "k2"], "left").select(*keep, "text", "marks")
 
 
-DIGESTS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+DIGESTS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string, removed array<struct<start: long, end: long>>"
 
 
 def digests(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
+    """Of each row: bytes, bytes and runs that go, digest of those that stay, the text of whole characters that they make, and the runs."""
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", "removed"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+
     def run(batches):
         for b in parts(batches, 1, 4 * CHUNK):
             rows = []
             for doc, text, items in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 raw = utf8(text)
                 gone = removal(len(raw), items, length)
-                rows.append((doc, len(raw), sum(y - x for x, y in gone), len(gone), hashlib.sha256(left(raw, gone)).hexdigest()))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(map(list, zip(*rows, strict=True)) if rows else [[]] * 5, kinds, strict=True)], names=[x.split()[0] for x in DIGESTS.split(", ")])
+                rest = left(raw, gone) if gone else raw
+                rows.append((doc, len(raw), sum(y - x for x, y in gone), len(gone), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore"), [{"start": x, "end": y} for x, y in gone]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(map(list, zip(*rows, strict=True)) if rows else [[]] * len(kinds), kinds, strict=True)], names=names)
 
     return marked(docs.select(F.col("doc_id").cast("long"), "text"), ["doc_id"], length, hot).mapInArrow(run, DIGESTS)
 

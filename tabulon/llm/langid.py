@@ -3,10 +3,15 @@
 Subwords are the n-grams (2 to 4 bytes, lower-cased) of a word and its two borders. Each hashes to a
 row of an embedding table; a text is the mean of its rows, a linear softmax gives probabilities.
 Table and softmax are trained together by stochastic gradient descent in numpy on SAMPLE documents
-(those of the smallest hash of doc_id among the rows to learn from). A fifth of the sample sets the
-temperature that calibrates probabilities, and the score below which a prediction is rejected:
-REJECT of the correct ones fall below. For prediction, table and softmax multiply out to one row of
-logits a bucket, so a text costs a lookup a subword.
+(those of the smallest hash of doc_id among the rows to learn from) and on texts of no language made
+from them: letters dealt anew within the text, and letters of random scripts. Those are a class of
+their own, which is never predicted but takes chance from the languages.
+
+A fifth of the sample calibrates: the temperature is that of the least log loss; the score below
+which a prediction is rejected lies half-way (in log odds) between the score that all but REJECT of
+the correct predictions reach, of each language, and the one that all but REJECT of the texts of no
+language stay under; where these overlap, it is the former. For prediction, table and softmax
+multiply out to one row of logits a bucket, so a text costs a lookup a subword.
 
 Only text and lang of rows to learn from are used, never doc_id or source as an input.
 
@@ -23,6 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +37,9 @@ from tabulon.llm.common import blocks, joined, parts, small_batches, utf8
 SAMPLE = 3000
 BUCKETS = 1 << 15
 WIDTH = 12
-REJECT = 0.001
+#: Shares of the sample that calibration may get wrong; bytes of a text of no language.
+REJECT = 0.005
+NOISE = 2000
 CHUNK = 1 << 20
 UNKNOWN = "und"
 SIZES = (2, 3, 4)
@@ -74,16 +82,35 @@ def framed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return plain(data), offsets
 
 
+def pieces_of(data: np.ndarray):
+    """(start, bucket) arrays of a buffer from `plain`, in blocks that overlap so that no n-gram is lost."""
+    for lo in range(0, len(data), CHUNK):
+        for start, bucket in subwords(data[lo : lo + CHUNK + max(SIZES) - 1]):
+            own = np.searchsorted(start, CHUNK)
+            yield start[:own] + lo, bucket[:own]
+
+
 def counts(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     total = np.zeros(BUCKETS, np.int64)
-    data = plain(np.frombuffer(b" " + raw + b" ", np.uint8))
-    for lo in range(0, len(data), CHUNK):
-        for n, (_, bucket) in zip(SIZES, subwords(data[lo : lo + CHUNK + 1]), strict=False):
-            total += np.bincount(bucket, minlength=BUCKETS)
+    for _, bucket in pieces_of(plain(np.frombuffer(b" " + raw + b" ", np.uint8))):
+        total += np.bincount(bucket, minlength=BUCKETS)
     found = np.flatnonzero(total)
     return found, total[found]
 
 
+def no_language(text: str, seed: int) -> str:
+    """A text of no language, of about NOISE bytes at most: letters of the text dealt anew, or those of random scripts in their places."""
+    rng = np.random.default_rng(seed)
+    code = np.frombuffer(text[:NOISE].encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+    letter = np.flatnonzero(np.array([chr(c).isalpha() for c in code.tolist()], bool))
+    if seed % 2:
+        code[letter] = code[rng.permutation(letter)] if rng.random() < 0.5 else rng.integers(97, 123, len(letter))
+    else:
+        low = int(rng.integers(0x0370, 0xD000))
+        code[letter] = rng.integers(low, low + int(rng.integers(30, 2000)), len(letter))
+    return "".join(map(chr, code.tolist()))
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -98,18 +125,18 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train(samples: list[tuple[np.ndarray, np.ndarray]], labels: list[str], epochs: int = 4, rate: float = 0.5) -> Model:
-    languages = sorted(set(labels))
+def train(samples: list[tuple[np.ndarray, np.ndarray]], labels: list[str | None], epochs: int = 4, rate: float = 0.5) -> Model:
+    """Fit on the samples; None labels those of no language, the last class."""
+    languages = sorted({x for x in labels if x is not None})
     if not languages:
-        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 1.0)
-    target = np.array([languages.index(x) for x in labels])
+        return Model([], np.zeros((BUCKETS, 1), np.float32), np.zeros(1), 1.0, 1.0)
+    classes = len(languages) + 1
+    target = np.array([classes - 1 if x is None else languages.index(x) for x in labels])
     rng = np.random.default_rng(0)
     table = rng.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH))
-    weights, bias = np.zeros((WIDTH, len(languages))), np.zeros(len(languages))
+    weights, bias = np.zeros((WIDTH, classes)), np.zeros(classes)
     order = rng.permutation(len(samples))
     held, used = order[: len(order) // 5], order[len(order) // 5 :]
-    if not len(used):
-        held, used = order, order
     steps, done = epochs * len(used), 0
     for _ in range(epochs):
         for i in rng.permutation(used):
@@ -128,22 +155,28 @@ def train(samples: list[tuple[np.ndarray, np.ndarray]], labels: list[str], epoch
             table[bucket] -= step * np.outer(np.minimum(share * 20, 1.0), back)
             done += 1
     logits = table @ weights
-    z = np.array([(samples[i][1] / max(1, samples[i][1].sum())) @ logits[samples[i][0]] + bias for i in held]) if len(held) else np.zeros((0, len(languages)))
+    z = np.array([(samples[i][1] / max(1, samples[i][1].sum())) @ logits[samples[i][0]] + bias for i in held]) if len(held) else np.zeros((0, classes))
     temperature, threshold = calibrate(z, target[held])
     return Model(languages, logits.astype(np.float32), bias, temperature, threshold)
 
 
 def calibrate(z: np.ndarray, target: np.ndarray) -> tuple[float, float]:
-    """The temperature of least log loss, and the score that all but REJECT of the correct ones reach."""
-    if not len(z):
+    """The temperature of least log loss, and the score below which a prediction is rejected."""
+    none = z.shape[1] - 1
+    if not (target < none).any():
         return 1.0, 0.0
-    grid = np.geomspace(0.02, 5, 60)
+    grid = np.geomspace(0.0005, 20, 200)
     loss = [-np.log(softmax(z / t)[np.arange(len(z)), target] + 1e-12).mean() for t in grid]
     t = float(grid[int(np.argmin(loss))])
-    p = softmax(z / t)
-    right = p.max(axis=1)[p.argmax(axis=1) == target]
-    chance = 1 / z.shape[1]
-    return t, float(min(0.5, max(chance, np.quantile(right, REJECT) / 2))) if len(right) else chance
+    p = softmax(z / t)[:, :none]
+    best, score = p.argmax(axis=1), p.max(axis=1)
+    right = [np.quantile(score[(target == c) & (best == c)], REJECT, method="lower") for c in range(none) if ((target == c) & (best == c)).any()]
+    low = float(min(right, default=0.0))
+    high = float(np.quantile(score[target == none], 1 - REJECT, method="higher")) if (target == none).any() else low
+    if high >= low:
+        return t, low
+    odds = np.log(np.clip([low, high], 1e-9, 1 - 1e-9)) - np.log1p(-np.clip([low, high], 1e-9, 1 - 1e-9))
+    return t, float(1 / (1 + np.exp(-odds.mean())))
 
 
 def learn(docs: DataFrame, learnable: Column, sample: int = SAMPLE, seed: int = 7) -> Model:
@@ -154,11 +187,15 @@ def learn(docs: DataFrame, learnable: Column, sample: int = SAMPLE, seed: int =
 
     def count(batches):
         for b in parts(batches, 2, CHUNK):
-            found = [counts(utf8(t)) for t in b.column(2).to_pylist()]
-            columns = [pa.array([f[i].astype(np.int32) for f in found], pa.list_(pa.int32())) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=["doc_id", "lang", "bucket", "times"])
-
-    got = chosen.mapInArrow(count, "doc_id long, lang string, bucket array<int>, times array<int>").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "lang").limit(sample).toArrow() if ids else None
+            ids, texts = b.column(0).to_pylist(), b.column(2).to_pylist()
+            # every row has a text, every other one a text of no language beside it
+            rows = [(i, lang, counts(utf8(t))) for i, lang, t in zip(ids, b.column(1).to_pylist(), texts, strict=True)]
+            seeds = [xxhash.xxh64_intdigest(f"{i}/{len(t)}") for i, t in zip(ids, texts, strict=True)]
+            rows += [(i, None, counts(utf8(no_language(t, s >> 1)))) for i, t, s in zip(ids, texts, seeds, strict=True) if s & 1 and has_letter(t)]
+            columns = [pa.array([r[2][i].astype(np.int32) for r in rows], pa.list_(pa.int32())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), *columns], names=["doc_id", "lang", "bucket", "times"])
+
+    got = chosen.mapInArrow(count, "doc_id long, lang string, bucket array<int>, times array<int>").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "lang", F.size("bucket")).limit(2 * sample).toArrow() if ids else None
     if got is None:
         return train([], [])
     pairs = [(np.asarray(b.values), np.asarray(t.values)) for b, t in zip(got["bucket"], got["times"], strict=True)]
@@ -175,24 +212,20 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarra
     """The language and its calibrated probability of each text."""
     raw = [utf8(t) for t in texts]
     best, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-    n = len(model.languages)
+    n = len(model.languages)  # the class of no language comes after them
     for lo, hi in blocks([len(r) + 2 for r in raw], CHUNK):
         data, offsets = framed(raw[lo:hi])
-        total, size = np.zeros((hi - lo, n)), np.zeros(hi - lo)
-        for a in range(0, len(data), CHUNK):
-            for _, (start, bucket) in zip(SIZES, subwords(data[a : a + CHUNK + 1]), strict=False):
-                if not len(start):
-                    continue
-                doc = np.searchsorted(offsets, start + a, side="right") - 1
-                cuts = np.flatnonzero(np.diff(doc, prepend=-1))
-                total[doc[cuts]] += np.add.reduceat(model.logits[bucket], cuts, axis=0)
-                size[doc[cuts]] += np.diff(cuts, append=len(doc))
+        total, size = np.zeros((hi - lo, model.logits.shape[1])), np.zeros(hi - lo)
+        for start, bucket in pieces_of(data):
+            if not len(start):
+                continue
+            doc = np.searchsorted(offsets, start, side="right") - 1
+            cuts = np.flatnonzero(np.diff(doc, prepend=-1))
+            total[doc[cuts]] += np.add.reduceat(model.logits[bucket], cuts, axis=0)
+            size[doc[cuts]] += np.diff(cuts, append=len(doc))
         for i in range(hi - lo):
-            if n and size[i] and has_letter(texts[lo + i]):
-                p = softmax((total[i] / size[i] + model.bias) / model.temperature)
-                best[lo + i], score[lo + i] = model.languages[int(p.argmax())], p.max()
-            elif n and has_letter(texts[lo + i]):
-                p = softmax(model.bias / model.temperature)
+            if n and has_letter(texts[lo + i]):
+                p = softmax((total[i] / max(1, size[i]) + model.bias) / model.temperature)[:n]
                 best[lo + i], score[lo + i] = model.languages[int(p.argmax())], p.max()
     return best, score
 

@@ -15,8 +15,8 @@ all pairs. Components come from alternating stars over checkpointed edges.
 
 Defined cases: A-Z are lower-cased; fewer than `width` words are one shingle, none (null, empty or
 blank text) gives fingerprint zero, which links like any other; texts of any length are hashed in
-bounded chunks; repeated rows and copies share a fingerprint; an empty table gives an empty result;
-further columns are not looked at.
+bounded chunks; repeated rows and copies share a fingerprint; unlike rows under one doc_id are one
+node of the links; an empty table gives an empty result; further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import cut, fewer, parts, shuffled, small_batches, utf8
+from tabulon.llm.common import ascii_lower, cut, fewer, parts, saved, shuffled, small_batches, utf8
 from tabulon.llm.components import components
 
 SEED = 42
@@ -41,6 +41,7 @@ NAMELESS = 1 << 62
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
+    """The bits that more than half of the shingles' hashes have set; zero without a word."""
     words = utf8(text).lower().split()
     if not words:
         return 0
@@ -184,8 +185,7 @@ def links(fps: DataFrame, n: int, radius: int = 4) -> DataFrame:
 
 def classes(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id, the least doc_id reachable."""
-    prints = fingerprints(docs, width)
-    marked = cut(fewer(prints, prints.rdd.getNumPartitions(), 8))
+    marked = saved(fingerprints(docs, width))  # hashed in as many tasks as the texts have; small files are read together
     # A fingerprint's node is its least doc_id, so a component's least node is its id; without any doc_id, a number past all.
     node = F.coalesce(F.min("doc_id"), F.lit(NAMELESS) + F.pmod(F.xxhash64("fp"), F.lit(1 << 40))).alias("node")
     distinct = cut(fewer(marked.groupBy("fp").agg(node), shuffled(docs.sparkSession), 32))
@@ -196,8 +196,13 @@ def classes(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
 
 
 def representatives(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
-    """One row of each component, that of the least doc_id; rows without a doc_id stay."""
+    """One row of each component, that of the least doc_id; rows without a doc_id stay.
+
+    Rows of one doc_id whose words differ are documents of their own: if their id is the least, each stays."""
+    columns = docs.columns
     owned = classes(docs.filter(F.col("doc_id").isNotNull()), width, radius)
-    least = owned.filter("doc_id = component_id").select(F.col("doc_id").alias("least_id")).distinct()
-    kept = docs.join(least, F.col("doc_id") == F.col("least_id"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
+    least = owned.filter("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
+    words = F.trim(F.regexp_replace(ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), "[\\x20\\x09-\\x0D]+", " "))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(words).alias("h1"), F.hash(words).alias("h2"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
+    kept = rows.filter("id is not null").join(least, "id", "left_semi").dropDuplicates(["id", "h1", "h2"])
+    return kept.unionByName(rows.filter("id is null")).select(*[F.col(f"row.`{c}`").alias(c) for c in columns])

@@ -2,10 +2,12 @@
 
 G.711 mu-law and A-law bytes expand by lookup tables of 256 entries that the companding formulas
 give. IMA ADPCM blocks decode with numpy across blocks: step k of every block at once. A stored
-medium is a WAV file; `store` puts a payload of bytes into one without loss, one byte a sample,
-`read` takes it out again, and `resample` makes PCM of another rate.
+medium is a WAV file: `wav` puts a payload of bytes into one without loss, one byte a sample, `unwav`
+takes it out again. `resample` makes PCM of another rate, which is stored as a WAV file too
+(`pcm_column`; the query reads such a file back for its features and returns the file's digest).
 
-Defined cases: a null text counts as an empty one; an empty one is one unit of padding; long texts
+Defined cases: a null text counts as an empty one; an empty one is one unit of padding; a null
+medium has a null PCM; long texts
 are processed whole, in blocks of samples that hold one text at least; equal texts give equal values; repeated rows stay
 repeated; an empty table gives an empty result; other columns are passed over.
 """
@@ -92,9 +94,15 @@ def encode_adpcm(pcm: np.ndarray, width: int) -> np.ndarray:
 
 
 def resample(pcm: np.ndarray, up: int, down: int) -> np.ndarray:
-    """Linear interpolation between samples, in whole numbers: sample k is at k * down / up."""
+    """Linear interpolation between samples, in whole numbers: sample k is at k * down / up.
+
+    For a lower rate the binomial kernel 1 4 6 4 1 takes off what that rate can't carry, before."""
     if not len(pcm):
         return pcm
+    if up < down:
+        wide = np.pad(pcm.astype(np.int32), 2, mode="edge")
+        n = len(pcm)
+        pcm = ((wide[:n] + wide[4 : 4 + n] + 4 * (wide[1 : 1 + n] + wide[3 : 3 + n]) + 6 * wide[2 : 2 + n] + 8) >> 4).astype(np.int16)
     at = np.arange((len(pcm) * up + down - 1) // down, dtype=np.int64) * down
     whole, part = at // up, at % up
     a, b = pcm[whole].astype(np.int64), pcm[np.minimum(whole + 1, len(pcm) - 1)].astype(np.int64)
@@ -128,8 +136,14 @@ def payload_of(raw: bytes, unit: int = UNIT) -> bytes:
     return raw + b"\xff" * (-len(raw) % unit if raw else unit)
 
 
-def features(payloads: list[bytes]) -> list[str]:
-    """Of each payload: level, crossings and peak as mu-law, level as A-law, level as ADPCM blocks, and the checksum of its PCM at 6 kHz."""
+def resampled(mu: np.ndarray, rate: int) -> bytes:
+    """A WAV file of the PCM at another rate."""
+    return wav(resample(mu, rate, RATE).astype("<i2").tobytes(), PCM, rate)
+
+
+def features(payloads: list[bytes], rate: int = 6000) -> list[tuple[str, int, str]]:
+    """Of each payload: the feature (level, crossings and peak as mu-law, level as A-law, level as ADPCM blocks, level of
+    the stored PCM of another rate), and the bytes and digest of that stored PCM."""
     if not payloads:
         return []
     data = np.frombuffer(b"".join(payloads), np.uint8)
@@ -145,15 +159,18 @@ def features(payloads: list[bytes]) -> list[str]:
     ad = np.add.reduceat(each, starts // UNIT)
     per = blocks_pcm.shape[1]
     peak = np.maximum.reduceat(np.abs(mu.astype(np.int32)), starts)
+    mus, als, crossings = power(mu, starts), power(a, starts), np.add.reduceat(turn, starts)
     out = []
     for i, (s, n) in enumerate(zip(starts.tolist(), sizes.tolist(), strict=True)):
-        low = zlib.crc32(resample(mu[s : s + n], 3, 4).tobytes())
-        out.append((s, n, low))
-    mus, als, crossings = power(mu, starts), power(a, starts), np.add.reduceat(turn, starts)
-    return [f"mu_rms={int((mus[i] // n) ** 0.5)};mu_zc={crossings[i]};mu_peak={peak[i]};a_rms={int((als[i] // n) ** 0.5)};adpcm_rms={int((ad[i] // (n // UNIT * per)) ** 0.5)};pcm6k={low:08x}" for i, (_, n, low) in enumerate(out)]
+        stored = resampled(mu[s : s + n], rate)
+        back = np.frombuffer(unwav(stored)[2], "<i2").astype(np.int64)
+        low = int((int((back**2).sum()) // len(back)) ** 0.5)
+        feature = f"mu_rms={int((mus[i] // n) ** 0.5)};mu_zc={crossings[i]};mu_peak={peak[i]};a_rms={int((als[i] // n) ** 0.5)};adpcm_rms={int((ad[i] // (n // UNIT * per)) ** 0.5)};pcm_rms={low}"
+        out.append((feature, len(stored), hashlib.sha256(stored).hexdigest()))
+    return out
 
 
-SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long, pcm_sha256 string"
 
 
 def digests(batches):
@@ -164,9 +181,9 @@ def digests(batches):
             media = [wav(payload_of(r)) for r in raw[lo:hi]]
             back = [unwav(m)[2] for m in media]
             for r, m, p, f in zip(raw[lo:hi], media, back, features(back), strict=True):
-                rows.append((len(r), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(m), hashlib.sha256(m).hexdigest(), f))
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        columns = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 7, kinds, strict=True)]
+                rows.append((len(r), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(m), hashlib.sha256(m).hexdigest(), *f))
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
+        columns = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * len(kinds), kinds, strict=True)]
         yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), *columns], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
 
@@ -179,23 +196,25 @@ def media_column(docs: DataFrame, law: int = MULAW) -> DataFrame:
     """doc_id and the WAV file itself, as a binary column."""
 
     def make(batches):
-        for b in batches:
+        for b in parts(batches, 1, CHUNK):
             files = pa.array([wav(payload_of(utf8(t)), law) for t in b.column(1).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), files], names=["doc_id", "media"])
+            yield pa.RecordBatch.from_arrays([b.column(0), files], names=["doc_id", "media"])
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(make, "doc_id long, media binary")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(make, "doc_id long, media binary")
 
 
 def pcm_column(media: DataFrame, rate: int = 16000) -> DataFrame:
-    """doc_id and the file expanded to PCM of another rate, again a WAV file."""
+    """doc_id and the file expanded to PCM of another rate, again a WAV file; null for null."""
+
+    def one(m: bytes | None) -> bytes | None:
+        if m is None:
+            return None
+        law, was, data = unwav(m)
+        pcm = np.frombuffer(data, "<i2") if law == PCM else expand(np.frombuffer(data, np.uint8), law)
+        return wav(resample(pcm, rate, was).astype("<i2").tobytes(), PCM, rate)
 
     def make(batches):
-        for b in batches:
-            files = []
-            for m in b.column(1).to_pylist():
-                law, was, data = unwav(m)
-                pcm = np.frombuffer(data, "<i2") if law == PCM else expand(np.frombuffer(data, np.uint8), law)
-                files.append(wav(resample(pcm, rate, was).astype("<i2").tobytes(), PCM, rate))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(files, pa.binary())], names=["doc_id", "media"])
-
-    return media.select("doc_id", "media").mapInArrow(make, "doc_id long, media binary")
+        for b in parts(batches, 1, CHUNK):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(one, b.column(1).to_pylist())), pa.binary())], names=["doc_id", "media"])
+
+    return small_batches(media).select(F.col("doc_id").cast("long"), F.col("media").cast("binary")).mapInArrow(make, "doc_id long, media binary")

@@ -2,9 +2,10 @@
 
 A vector is cut into pairs of components; each pair is coded by one of 16 centroids, so four bits.
 Codes and centroids minimise a loss that weighs the residual parallel to the vector `eta` times as
-much as the rest, as that part moves large inner products. A query's table of 16 inner products a
-pair scans the codes (two pairs a byte), and the best `rerank` of each block are scored exactly in
-double precision.
+much as the rest, as that part moves large inner products. Coded is a vector's direction; its length
+stays as it is. A query's table of 16 inner products a pair scans the codes (two pairs a byte), the
+sums are multiplied by the lengths, and the best `rerank` of each block are scored exactly in double
+precision, on the vectors as they are stored.
 
 Equal vectors are one class with its k + 1 smallest ids (no query needs more of them), found by a
 ranking that is limited before the shuffle. Classes are dealt to blocks of about BLOCK by hash,
@@ -134,10 +135,22 @@ def matrix(column, dim: int) -> np.ndarray:
     return np.asarray(c.flatten()).reshape(-1, dim)
 
 
+def directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors in single precision and the lengths in double; no component overflows on the way."""
+    x = x.astype(np.float64)
+    most = np.abs(x).max(axis=1)
+    scaled = x / most[:, None]
+    length = np.sqrt((scaled**2).sum(axis=1))
+    with np.errstate(over="ignore"):
+        return (scaled / length[:, None]).astype(np.float32), most * length
+
+
 def valid(rows: DataFrame) -> DataFrame:
+    """Rows that take part, their vectors as they are stored: of floats if they are floats, else of doubles."""
     e = F.col("embedding")
     sound = e.isNotNull() & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(e, lambda x: x != 0)
-    return rows.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>")).filter(sound & F.col("vec_id").isNotNull())
+    kind = "array<float>" if rows.schema["embedding"].dataType.elementType.typeName() == "float" else "array<double>"
+    return rows.select(F.col("vec_id").cast("long"), e.cast(kind)).filter(sound & F.col("vec_id").isNotNull())
 
 
 RESULT = "query_id long, vec_id long, score double"
@@ -152,17 +165,18 @@ def search(rows: DataFrame, every: int = 20, k: int = 20, rerank: int = 96) -> D
     dim, n = sizes[0]["dim"], sizes[0]["count"]
     good = good.filter(F.size("embedding") == dim)
     sample = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toArrow()
-    codec = fit(matrix(sample.column(0), dim))
+    codec = fit(directions(matrix(sample.column(0), dim))[0])
+    kind = good.schema["embedding"].dataType.simpleString()
     n_blocks, n_groups = -(-n // BLOCK), -(-n // (every * QUERIES))
     order = Window.partitionBy("embedding").orderBy("vec_id")
     classes = good.withColumn("place", F.dense_rank().over(order)).filter(F.col("place") <= k + 1).groupBy("embedding").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))
 
     def index(batches):
         for b in batches:
-            codes = codec.encode(matrix(b.column(1), dim)) if len(b) else np.empty((0, 2), np.uint8)
+            codes = codec.encode(directions(matrix(b.column(1), dim))[0]) if len(b) else np.empty((0, 2), np.uint8)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c.tobytes() for c in codes], pa.binary())], names=["ids", "embedding", "codes"])
 
-    coded = classes.select("ids", "embedding").mapInArrow(index, "ids array<long>, embedding array<float>, codes binary")
+    coded = classes.select("ids", "embedding").mapInArrow(index, f"ids array<bigint>, embedding {kind}, codes binary")
     coded = coded.withColumn("block", F.pmod(F.xxhash64("embedding"), F.lit(n_blocks)).cast("int")).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
     queries = good.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     queries = queries.withColumn("group", F.pmod(F.xxhash64("vec_id"), F.lit(n_groups)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
@@ -173,11 +187,12 @@ def search(rows: DataFrame, every: int = 20, k: int = 20, rerank: int = 96) -> D
             x, q = matrix(left["embedding"], dim), matrix(right["embedding"], dim)
             ids = left["ids"].combine_chunks()
             starts, flat = np.asarray(ids.offsets), np.asarray(ids.values)
+            length, aim = directions(x)[1], directions(q)[0]
             codes = packed(np.frombuffer(b"".join(left["codes"].to_pylist()), np.uint8).reshape(len(x), -1))
-            for vec, own in zip(q, right["vec_id"].to_pylist(), strict=True):
+            for vec, unit, own in zip(q, aim, right["vec_id"].to_pylist(), strict=True):
                 best = np.arange(len(x))
                 if len(x) > rerank:
-                    best = np.argpartition(scan(codec.tables(vec), codes), -rerank)[-rerank:]
+                    best = np.argpartition(scan(codec.tables(unit), codes) * length, -rerank)[-rerank:]
                 score = exact(x[best], vec)
                 reps = starts[best + 1] - starts[best]
                 at = np.repeat(starts[best] - np.cumsum(reps) + reps, reps) + np.arange(reps.sum())

@@ -20,10 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a folder of this machine only where that is unset."""
+    """The shared folder of spark.checkpoint.dir. Where that is unset, a temporary folder of this machine if it runs all tasks, else an error."""
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not where and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is unset; it must name a folder that all executors share")
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="checkpoint-"))
     return where or sc._jsc.sc().getCheckpointDir().get()
 

@@ -9,13 +9,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabulon.functions.stem import stem
+
 # Field weights, the words of a question that carry no content.
 FIELDS = {"label": 4.0, "context": 1.5, "body": 1.0, "values": 0.8, "path": 0.3}
 FRAME = frozenset(
-    "a an and are as at be by can did do does for from give has have how i in is it its list me much many my of on or our please show tell that the their there these this those to us was we were what when where which who why will with you your find all any each".split()
+    """
+    a about all an and any are as at be by can do does each for from has have how i in into is it its many me much my of on or
+    show so some that the their then there these this to up was we were what when where which who why will with would you your
+    """.split()
 )
 K1, B = 1.2, 0.75
 RRF, LEXICAL, DEPTH = 60, 2.0, 50
+#: Hits that a probe of one word looks at.
+PROBE = 200
 
 RUN = re.compile(r"[^\W_]+")
 PART = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[^\W\dA-Z_]+|[A-Z]+|\d+")
@@ -30,27 +37,6 @@ def words(text: str | None) -> list[str]:
     return [w for w in out if len(w.encode()) <= 40]
 
 
-VOWEL = re.compile("[aeiouy]")
-
-
-def stem(word: str) -> str:
-    """A light English stemmer: plurals, -ed, -ing, -ly and doubled consonants; short and non-ASCII words stay."""
-    if len(word) < 4 or not word.isascii() or not word.isalpha():
-        return word
-    for end, put in (("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("us", "us"), ("s", "")):
-        if word.endswith(end):
-            word = word[: len(word) - len(end)] + put
-            break
-    for end in ("ingly", "edly", "ing", "ed", "ly"):
-        head = word.removesuffix(end)
-        if head != word and VOWEL.search(head) and len(head) > 2:
-            word = head
-            if end != "ly":
-                word = word + "e" if word.endswith(("at", "bl", "iz")) else word[:-1] if word[-1] == word[-2] and word[-1] not in "lsz" else word
-            break
-    return word[:-1] + "i" if word.endswith("y") and len(word) > 3 and word[-2] not in "aeiou" else word
-
-
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def analysed(text: pd.Series) -> pd.Series:
     return text.map(lambda t: [stem(w) for w in words(t)])
@@ -85,16 +71,47 @@ def bm25(docs: DataFrame, terms: list[str], field: str = "text", tokens: Column
     return counted.filter(some > 0).crossJoin(F.broadcast(stats)).select("doc", (score * boost).alias("score"))
 
 
+def term_scores(docs: DataFrame, terms: list[str], fields: dict[str, float] = FIELDS) -> DataFrame:
+    """doc, the size weight and s0, s1, .. of each term: boosted BM25 scores summed over the fields.
+
+    One scan counts the terms in every field and one row of sums goes to the scoring."""
+    fields = {f: b for f, b in fields.items() if f in docs.columns}
+    cells = F.coalesce(F.col("cells"), F.lit(0)).cast("double") if "cells" in docs.columns else F.lit(0.0)
+    kept = docs.select("doc", (1 + F.log10(1 + cells) / 4).alias("weight"), *[analysed(F.concat_ws(" ", f) if docs.schema[f].dataType.typeName() == "array" else f).alias(f) for f in fields])
+    times = lambda f, w: F.size(F.filter(f, lambda x: x == w))
+    counted = kept.select("doc", "weight", *[F.size(f).alias(f"{f}_length") for f in fields], *[times(f, w).alias(f"{f}_{i}") for f in fields for i, w in enumerate(terms)])
+    sums = [F.count(F.when(F.col(f"{f}_{i}") > 0, 1)).alias(f"{f}_df{i}") for f in fields for i in range(len(terms))]
+    stats = counted.agg(F.count("*").alias("n"), *[F.avg(f"{f}_length").alias(f"{f}_mean") for f in fields], *sums)
+    c, scores = F.col, []
+    for i in range(len(terms)):
+        score = F.lit(0.0)
+        for f, boost in fields.items():
+            idf = F.log(1 + (c("n") - c(f"{f}_df{i}") + 0.5) / (c(f"{f}_df{i}") + 0.5))
+            part = idf * c(f"{f}_{i}") * (K1 + 1) / (c(f"{f}_{i}") + K1 * (1 - B + B * c(f"{f}_length") / c(f"{f}_mean")))
+            score = score + F.when(c(f"{f}_{i}") > 0, part * boost).otherwise(0.0)
+        scores.append(score.alias(f"s{i}"))
+    return counted.crossJoin(F.broadcast(stats)).select("doc", "weight", *scores)  # stats is one row
+
+
+def terms_of(text: str) -> list[str]:
+    return list(dict.fromkeys(stem(w) for w in words(text)))
+
+
+def filtered(docs: DataFrame, kinds: list[str] | None = None, workbook: str | None = None, sheet: str | None = None) -> DataFrame:
+    """The documents of these kinds, of this workbook hash, and of exactly this sheet."""
+    for test in ([F.col("kind").isin(kinds)] if kinds else []) + ([F.col("workbook_hash") == workbook] if workbook else []) + ([F.col("sheet") == sheet] if sheet else []):
+        docs = docs.filter(test)
+    return docs
+
+
 def lexical(docs: DataFrame, question: str, k: int = 10, fields: dict[str, float] = FIELDS) -> DataFrame:
-    """Multi-field scores with the size weight, best first; ties by document, cut after the order is complete."""
-    terms = [stem(w) for w in words(question)]
-    parts = [bm25(docs, terms, f, boost=b) for f, b in fields.items() if f in docs.columns]
-    total = parts[0]
-    for p in parts[1:]:
-        total = total.unionByName(p)
-    scored = total.groupBy("doc").agg(F.sum("score").alias("score")).join(docs, "doc")
-    weight = 1 + F.log10(1 + F.coalesce(F.col("cells"), F.lit(0)).cast("double")) / 4 if "cells" in docs.columns else F.lit(1.0)
-    return scored.withColumn("score", F.col("score") * weight).orderBy(F.desc("score"), "doc").limit(k)
+    """Documents with their multi-field score times the size weight, best first; ties by document."""
+    terms = terms_of(question)
+    if not terms:
+        return docs.withColumn("score", F.lit(0.0)).limit(0)
+    total = sum((F.col(f"s{i}") for i in range(1, len(terms))), F.col("s0"))
+    scored = term_scores(docs, terms, fields).select("doc", (total * F.col("weight")).alias("score"))
+    return scored.filter("score > 0").orderBy(F.desc("score"), "doc").limit(k).join(docs, "doc").orderBy(F.desc("score"), "doc")
 
 
 def content_words(question: str) -> list[str]:
@@ -102,13 +119,18 @@ def content_words(question: str) -> list[str]:
     return [w for w in dict.fromkeys(re.split(r"[^\w]+|_", question.lower())) if w and w not in FRAME]
 
 
-def term_hits(docs: DataFrame, question: str, k: int = 200, fields: dict[str, float] = FIELDS) -> DataFrame:
-    """(word, doc): the top hits of each content word."""
-    out = None
-    for w in content_words(question):
-        hits = lexical(docs, w, k, fields).select(F.lit(w).alias("word"), "doc")
-        out = hits if out is None else out.unionByName(hits)
-    return out if out is not None else docs.select(F.lit("").alias("word"), "doc").limit(0)
+def term_hits(docs: DataFrame, question: str, k: int = PROBE, fields: dict[str, float] = FIELDS) -> DataFrame:
+    """(word, doc): the top hits of each content word, of one scan for all of them."""
+    content = content_words(question)
+    each = {w: terms_of(w) for w in content}
+    terms = list(dict.fromkeys(t for ts in each.values() for t in ts))
+    if not terms:
+        return docs.select(F.lit("").alias("word"), "doc").limit(0)
+    total = lambda w: sum((F.col(f"s{terms.index(t)}") for t in each[w]), F.lit(0.0))
+    probes = F.array(*[F.struct(F.lit(w).alias("word"), (total(w) * F.col("weight")).alias("score")) for w in content])
+    hits = term_scores(docs, terms, fields).select("doc", F.explode(probes).alias("p")).filter("p.score > 0").select("doc", "p.word", "p.score")
+    rank = F.row_number().over(Window.partitionBy("word").orderBy(F.desc("score"), "doc"))
+    return hits.withColumn("rank", rank).filter(F.col("rank") <= k).select("word", "doc")
 
 
 def coverage(question: str, probes: DataFrame, top: str | None) -> dict:
@@ -118,7 +140,7 @@ def coverage(question: str, probes: DataFrame, top: str | None) -> dict:
     hits = {r["word"]: (bool(r["here"]), r["n"]) for r in rows}
     covered = [w for w in content if hits.get(w, (False, 0))[0]]
     unmatched = [w for w in content if w not in hits]
-    uncertain = [w for w in content if w in hits and not hits[w][0] and hits[w][1] >= 200]
+    uncertain = [w for w in content if w in hits and not hits[w][0] and hits[w][1] >= PROBE]
     if not content:
         verdict = "NoContentWords"
     elif len(unmatched) == len(content):
@@ -149,15 +171,51 @@ def nearest(vectors: DataFrame, query: list[float], k: int = 10, key: str = "vec
     return vectors.select(key, dot(F.col("embedding"), q).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
-def fuse(lists: list[tuple[DataFrame, float]], key: str, k: int = 10) -> DataFrame:
-    """Reciprocal rank fusion: the sum of weight / (60 + rank + 1), ranks from 0 in the best DEPTH."""
+def fuse(lists: list[tuple[DataFrame, float]], key: str, k: int = 10, depth: int = DEPTH) -> DataFrame:
+    """Reciprocal rank fusion: the sum of weight / (60 + rank + 1), ranks from 0 in the best `depth` of each list."""
     out = None
     for hits, weight in lists:
-        top = hits.orderBy(F.desc("score"), key).limit(DEPTH)
-        rank = F.row_number().over(Window.orderBy(F.desc("score"), key)) - 1
-        part = top.select(key, (F.lit(weight) / (RRF + rank + 1)).alias("score"))
+        top = hits.orderBy(F.desc("score"), key).limit(depth)
+        rank = F.row_number().over(Window.orderBy(F.desc("score"), key)) - 1  # of `depth` rows at most
+        part = top.select(key, (F.lit(weight) / (RRF + rank + 1)).alias("score"), F.lit(1).alias("lists"))
         out = part if out is None else out.unionByName(part)
-    return out.groupBy(key).agg(F.sum("score").alias("score")).orderBy(F.desc("score"), key).limit(k)
+    return out.groupBy(key).agg(F.sum("score").alias("score"), F.sum("lists").alias("lists")).orderBy(F.desc("score"), key).limit(k).select(key, "score", "lists")
+
+
+def semantic(docs: DataFrame, question: str, embed, k: int = DEPTH) -> DataFrame:
+    """(doc, score): the documents whose text is nearest the question's; those with no likeness are left out."""
+    from tabulon.operators.layers import embeddable, embedding_text
+
+    spark = docs.sparkSession
+    asked = spark.createDataFrame([(question,)], "text string").select(embed("text").alias("v")).first()["v"]
+    texts = embeddable(docs).withColumn("text", embedding_text(docs)).withColumn("size", F.length("text"))
+    # texts of one length go together, as a model pads a batch to its longest
+    vectors = texts.repartitionByRange("size").sortWithinPartitions("size").select("doc", embed("text").alias("embedding"))
+    return nearest(vectors, asked, k, "doc").filter("score > 0")
+
+
+def find(docs: DataFrame, question: str, k: int = 10, embed=None, fields: dict[str, float] = FIELDS, kinds: list[str] | None = None, workbook: str | None = None, sheet: str | None = None) -> tuple[DataFrame, dict]:
+    """Hits (doc, score, ..) and how far they carry the question. With an embedder both halves are fused, else words alone.
+
+    No content word, no search; a semantic half that finds nothing or fails leaves the words alone."""
+    docs = filtered(docs, kinds, workbook, sheet)
+    none = {"content": [], "covered": [], "unmatched": [], "uncertain": [], "verdict": "NoContentWords", "both_halves": False, "corroborated": 0}
+    if not content_words(question):
+        return docs.withColumn("score", F.lit(0.0)).limit(0), none
+    words_half = lexical(docs, question, max(k, DEPTH) if embed else k, fields)
+    hits, both, seen = words_half.limit(k), False, 0
+    if embed:
+        try:
+            near = semantic(docs, question, embed, max(k, DEPTH)).persist()
+            both = not near.isEmpty()
+        except Exception:  # noqa: BLE001  an embedder that fails, whatever the cause, leaves the lexical half
+            both = False
+        if both:
+            fused = fuse([(words_half.select("doc", "score"), LEXICAL), (near, 1.0)], "doc", k, max(k, DEPTH)).join(docs, "doc").orderBy(F.desc("score"), "label", "doc").persist()
+            hits, seen = fused, fused.filter("lists = 2").count()
+    top = hits.first()
+    cover = coverage(question, term_hits(docs, question, PROBE, fields), top.doc if top else None)
+    return hits, cover | {"both_halves": both, "corroborated": seen}
 
 
 def hashing_embedder(dim: int = 64):

@@ -131,7 +131,7 @@ def test_profile_limits(spark):
 
 def test_words_and_stems():
     assert search.words("HTTPServer isPaid2024 Äpfel x") == ["httpserver", "http", "server", "ispaid2024", "is", "paid", "2024", "äpfel", "x"]
-    assert [search.stem(w) for w in ("balances", "rated", "parties", "stopping", "bus")] == ["balance", "rate", "parti", "stop", "bus"]
+    assert [search.stem(w) for w in ("balances", "rated", "parties", "stopping", "bus")] == ["balanc", "rate", "parti", "stop", "bus"]
     assert search.content_words("What is the total of Total-Due?") == ["total", "due"]
 
 

@@ -1,8 +1,8 @@
 """The dependency graph: regions, columns and formula groups as nodes, cell references as edges.
 
 References are scanned once per distinct formula, resolved by joins, and lifted to the regions
-they touch; an edge's weight is its count of references. Lists of regions are bounded by layout
-(hundreds), the references are the large side, and they meet by sheet and rectangle.
+they touch; an edge's weight is its count of references. References and regions meet by sheet and
+band of rows, an equality join whose smaller side Spark broadcasts only if it is small.
 """
 
 from __future__ import annotations
@@ -28,31 +28,79 @@ def resolved(refs: DataFrame, sheets: DataFrame) -> DataFrame:
     return j.withColumn("outcome", outcome).withColumn("target", F.explode_outer(span)).drop("first_id", "first_key", "last_id", "last_key")
 
 
+#: Rows of a band in which rectangles meet; a whole column lies in 64.
+BAND = 16_384
+
+
+def boxes_of(regions: DataFrame) -> DataFrame:
+    """Regions by band of rows: rs, region, rt, rl, rb, rr, band."""
+    r = regions.select(F.col("sheet_id").alias("rs"), F.col("block").alias("region"), F.col("top").alias("rt"), F.col("left").alias("rl"), F.col("bottom").alias("rb"), F.col("right").alias("rr"))
+    return r.withColumn("band", F.explode(F.sequence(F.floor(F.col("rt") / BAND), F.floor(F.col("rb") / BAND))))
+
+
+def contained(cells: DataFrame, regions: DataFrame, how: str = "left") -> DataFrame:
+    """Cells with the region they are in, as rs, region, rt, rl, rb, rr: a cell meets the boxes of its band."""
+    c = F.col
+    inside = (c("cell.sheet_id") == c("box.rs")) & (F.floor(c("cell.row") / BAND) == c("box.band")) & c("cell.row").between(c("box.rt"), c("box.rb")) & c("cell.col").between(c("box.rl"), c("box.rr"))
+    return cells.alias("cell").join(boxes_of(regions).alias("box"), inside, how).select("cell.*", *[f"box.{x}" for x in ("rs", "region", "rt", "rl", "rb", "rr")])
+
+
+def touched(refs: DataFrame, regions: DataFrame, sheet: str = "target", how: str = "inner") -> DataFrame:
+    """Rectangles with each region they touch; a pair meets in the first band that both have."""
+    c = F.col
+    first, last = F.floor(c("top") / BAND), F.floor(c("bottom") / BAND)
+    by_band = refs.withColumn("ref_band", F.explode(F.sequence(first, last)))
+    meet = (c(f"ref.{sheet}") == c("box.rs")) & (c("ref.ref_band") == c("box.band")) & (c("box.band") == F.greatest(F.floor(c("ref.top") / BAND), F.floor(c("box.rt") / BAND)))
+    over = (c("ref.top") <= c("box.rb")) & (c("box.rt") <= c("ref.bottom")) & (c("ref.left") <= c("box.rr")) & (c("box.rl") <= c("ref.right"))
+    return by_band.alias("ref").join(boxes_of(regions).alias("box"), meet & over, how).select("ref.*", *[f"box.{x}" for x in ("rs", "region", "rt", "rl", "rb", "rr")]).drop("ref_band")
+
+
+def region_node(sheet: Column, block: Column) -> Column:
+    return F.concat_ws("#", F.concat(F.lit("region "), sheet.cast("string")), block)
+
+
+def sheet_node(sheet: Column) -> Column:
+    return F.concat(F.lit("sheet "), sheet.cast("string"))
+
+
+def sourced(cells: DataFrame, regions: DataFrame) -> DataFrame:
+    """Formula cells with `source`, the node of the region that owns them, else of their sheet."""
+    own = contained(cells.filter(F.col("formula").isNotNull()), regions)
+    source = F.when(F.col("region").isNull(), sheet_node(F.col("sheet_id"))).otherwise(region_node(F.col("sheet_id"), F.col("region")))
+    return own.withColumn("source", source).withColumn("owned", F.col("region").isNotNull()).drop("rs", "region", "rt", "rl", "rb", "rr")
+
+
 def lifted(cells: DataFrame, sheets: DataFrame, regions: DataFrame) -> DataFrame:
     """(src, dst, kind, weight): edges between regions, a sheet standing in where no region owns the cell.
 
     A reference to the cell's own region makes no edge. kind: DEPENDS_ON on one sheet, CROSS_SHEET_REF."""
-    r = F.broadcast(regions.select(F.col("sheet_id").alias("rs"), F.col("block").alias("region"), F.col("top").alias("rt"), F.col("left").alias("rl"), F.col("bottom").alias("rb"), F.col("right").alias("rr")))
-    own = r.select(F.col("rs").alias("os"), F.col("region").alias("own"), F.col("rt").alias("ot"), F.col("rl").alias("ol"), F.col("rb").alias("ob"), F.col("rr").alias("orr"))
-    refs = resolved(references_of(cells), sheets).filter("outcome = 'cells'")
-    src = refs.join(own, (F.col("sheet_id") == F.col("os")) & F.col("row").between(F.col("ot"), F.col("ob")) & F.col("col").between(F.col("ol"), F.col("orr")), "left")
-    hit = src.join(r, (F.col("target") == F.col("rs")) & (F.col("top") <= F.col("rb")) & (F.col("rt") <= F.col("bottom")) & (F.col("left") <= F.col("rr")) & (F.col("rl") <= F.col("right")))
-    node = lambda s, b: F.concat_ws("#", F.concat(F.lit("region "), s.cast("string")), b)
-    source = F.when(F.col("own").isNull(), F.concat(F.lit("sheet "), F.col("sheet_id").cast("string"))).otherwise(node(F.col("sheet_id"), F.col("own")))
-    edges = hit.select(source.alias("src"), node(F.col("target"), F.col("region")).alias("dst"), F.when(F.col("sheet_id") == F.col("target"), "DEPENDS_ON").otherwise("CROSS_SHEET_REF").alias("kind"))
-    return edges.filter("src <> dst").groupBy("src", "dst", "kind").agg(F.count("*").alias("weight"))
+    refs = resolved(references_of(cells), sheets).filter("outcome = 'cells'").select("sheet_id", "row", "col", "target", "top", "left", "bottom", "right")
+    # cells of one source with one target count once in the join with the regions
+    place = refs.withColumn("formula", F.lit(""))
+    by_source = sourced(place, regions).groupBy("sheet_id", "source", "target", "top", "left", "bottom", "right").agg(F.count("*").alias("n"))
+    hit = touched(by_source, regions)
+    kind = F.when(F.col("sheet_id") == F.col("target"), "DEPENDS_ON").otherwise("CROSS_SHEET_REF")
+    edges = hit.select(F.col("source").alias("src"), region_node(F.col("target"), F.col("region")).alias("dst"), kind.alias("kind"), "n")
+    return edges.filter("src <> dst").groupBy("src", "dst", "kind").agg(F.sum("n").alias("weight"))
+
+
+def accounted(cells: DataFrame, sheets: DataFrame, regions: DataFrame) -> DataFrame:
+    """Each reference (sheet_id, row, col, seq, text, sheet) with the one bucket it is in and whether it is lifted to another sheet."""
+    refs = resolved(references_of(cells), sheets)
+    c = F.col
+    lost = refs.filter("outcome <> 'cells'").select("sheet_id", "row", "col", "seq", "text", "sheet", "book", c("outcome").alias("bucket"), F.lit(False).alias("cross"))
+    hit = touched(refs.filter("outcome = 'cells'").select("sheet_id", "row", "col", "seq", "text", "sheet", "book", "target", "top", "left", "bottom", "right"), regions, how="left")
+    inside = (c("sheet_id") == c("rs")) & c("row").between(c("rt"), c("rb")) & c("col").between(c("rl"), c("rr"))
+    met = c("region").isNotNull()
+    keys = ["sheet_id", "row", "col", "seq", "text", "sheet", "book"]
+    each = hit.groupBy(*keys).agg(F.max(met & ~inside).alias("far"), F.max(met & inside).alias("near"), F.max(met & ~inside & (c("target") != c("sheet_id"))).alias("cross"))
+    return each.select(*keys, F.when(c("far"), "lifted").when(c("near"), "within").otherwise("unpopulated").alias("bucket"), F.coalesce("cross", F.lit(False)).alias("cross")).unionByName(lost)
 
 
 def reference_report(cells: DataFrame, sheets: DataFrame, regions: DataFrame) -> DataFrame:
     """One row: references scanned, and the one bucket each is in: lifted, within its region, external, unknown, unpopulated."""
-    refs = resolved(references_of(cells), sheets)
-    r = F.broadcast(regions.select(F.col("sheet_id").alias("rs"), F.col("block").alias("region"), F.col("top").alias("rt"), F.col("left").alias("rl"), F.col("bottom").alias("rb"), F.col("right").alias("rr")))
-    hit = refs.join(r, (F.col("target") == F.col("rs")) & (F.col("top") <= F.col("rb")) & (F.col("rt") <= F.col("bottom")) & (F.col("left") <= F.col("rr")) & (F.col("rl") <= F.col("right")), "left")
-    inside = (F.col("sheet_id") == F.col("rs")) & F.col("row").between(F.col("rt"), F.col("rb")) & F.col("col").between(F.col("rl"), F.col("rr"))
-    each = hit.groupBy("sheet_id", "row", "col", "seq").agg(F.first("outcome").alias("outcome"), F.max(F.col("region").isNotNull() & ~inside).alias("far"), F.max(F.col("region").isNotNull() & inside).alias("near"))
-    bucket = F.when(F.col("outcome") != "cells", F.col("outcome")).when(F.col("far"), "lifted").when(F.col("near"), "within").otherwise("unpopulated")
     counts = [F.count(F.when(F.col("bucket") == b, 1)).alias(b) for b in ("lifted", "within", "external", "unknown", "unpopulated")]
-    return each.withColumn("bucket", bucket).agg(F.count("*").alias("scanned"), *counts)
+    return accounted(cells, sheets, regions).agg(F.count("*").alias("scanned"), *counts)
 
 
 def check(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -103,7 +151,9 @@ def lifting_ratio(edges: DataFrame) -> DataFrame:
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, hops: int | None = None, limit: int = 1000, cut=None) -> DataFrame:
-    """(node, hops) from the seeds (node): a level a round, each an anti-join with what is known."""
+    """(node, hops) from the seeds (node): a level a round, each an anti-join with what is known.
+
+    `cut` keeps a level (a checkpoint on a cluster); without it levels are cached."""
     edges = edges.select("src", "dst").distinct().persist()  # every level reads them
     known = seeds.select("node", F.lit(0).alias("hops")).distinct()
     level = 0
@@ -115,14 +165,15 @@ def reachable(edges: DataFrame, seeds: DataFrame, hops: int | None = None, limit
         level += 1
         if hops is None and (known.filter(F.col("hops") == level).isEmpty() or level >= limit):
             break
+    if cut:
+        edges.unpersist()  # no kept level reads them again
     return known
 
 
 def fit(query: DataFrame, regions: DataFrame) -> DataFrame:
     """Each query rectangle (q, sheet_id, top, left, bottom, right) with the best fitting region: exact, inside, overlaps, none."""
-    r = F.broadcast(regions.select(F.col("sheet_id").alias("rs"), F.col("block").alias("region"), F.col("top").alias("rt"), F.col("left").alias("rl"), F.col("bottom").alias("rb"), F.col("right").alias("rr")))
     c = F.col
-    j = query.join(r, (c("sheet_id") == c("rs")) & (c("top") <= c("rb")) & (c("rt") <= c("bottom")) & (c("left") <= c("rr")) & (c("rl") <= c("right")), "left")
+    j = touched(query, regions, "sheet_id", "left")
     exact = (c("top") == c("rt")) & (c("left") == c("rl")) & (c("bottom") == c("rb")) & (c("right") == c("rr"))
     inside = (c("top") >= c("rt")) & (c("left") >= c("rl")) & (c("bottom") <= c("rb")) & (c("right") <= c("rr"))
     place = F.when(c("rs").isNull(), 3).when(exact, 0).when(inside, 1).otherwise(2)

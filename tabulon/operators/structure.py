@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulon.functions.text import TOTALS, formula_cells
+from tabulon.operators.graph import contained
+from tabulon.plans.keep import kept
 
 W = Window
 
@@ -48,8 +50,8 @@ def column_audit(cells: DataFrame, bodies: DataFrame) -> DataFrame:
 
     bodies: (body, sheet_id, top, left, bottom, right). A column needs two formulas and more of them
     than typed values. The fill is the shape of more than half of the formulas."""
-    inside = cells.alias("c").join(F.broadcast(bodies).alias("b"), (F.col("c.sheet_id") == F.col("b.sheet_id")) & F.col("c.row").between(F.col("b.top"), F.col("b.bottom")) & F.col("c.col").between(F.col("b.left"), F.col("b.right")))
-    inside = inside.select("b.body", F.col("b.bottom").alias("last_row"), "c.*")
+    inside = contained(cells, bodies.withColumn("block", F.col("body")), "inner")
+    inside = inside.select(F.col("region").alias("body"), F.col("rb").alias("last_row"), *cells.columns)
     shaped = formula_cells(inside)
     shapes = shaped.groupBy("body", "col", "shape").agg(F.count("*").alias("n"), F.min("row").alias("first"), F.max("row").alias("last"), F.min_by("formula", "row").alias("formula"))
     sums = shapes.groupBy("body", "col").agg(F.sum("n").alias("formulas"), F.count("*").alias("shapes"), F.max(F.struct(F.col("n"), (-F.col("first")).alias("order"), F.col("shape"), F.col("first"), F.col("last"), F.col("formula"))).alias("most"))
@@ -73,30 +75,82 @@ DEPTH = 12
 SAMPLE, SCANNED, HEADERS, AGREE = 64, 256, 3, 0.5
 
 
-def _split(blocks: DataFrame, axis: str, gap: int) -> DataFrame:
-    """New block ids where the occupied lines of a block jump by more than `gap`.
-
-    Only the distinct lines of a block are ordered, a million at most in a sheet."""
-    lines = blocks.select("sheet_id", "block", axis).distinct()
-    by = W.partitionBy("sheet_id", "block").orderBy(axis)
-    jump = (F.col(axis) - F.lag(axis).over(by) > gap).cast("int")
-    parts = lines.withColumn("part", F.coalesce(jump, F.lit(0))).withColumn("part", F.sum("part").over(by))
-    return blocks.join(parts, ["sheet_id", "block", axis]).withColumn("block", F.concat_ws("/", "block", F.col("part").cast("string"))).drop("part")
-
-
-def partitioned(cells: DataFrame, row_gap: int = 1, col_gap: int = 1, cut=None) -> DataFrame:
-    """Populated cells with the id of the block that blank rows and columns, in turn, cut out."""
-    blocks = cells.filter("kind <> 'empty' or formula is not null").select("sheet_id", "row", "col").withColumn("block", F.lit("0"))
-    count, stalled = 0, 0
-    for depth in range(DEPTH):
-        axis, gap = ("row", row_gap) if depth % 2 == 0 else ("col", col_gap)
-        blocks = _split(blocks, axis, gap)
-        blocks = cut(blocks) if cut else blocks
-        now = blocks.select("sheet_id", "block").distinct().count()
-        stalled = stalled + 1 if now == count else 0
-        if stalled >= 2:
+PLACE = ["sheet_id", "row", "col"]
+
+
+def _islands(df: DataFrame, by: list[str], axis: str, gap: int) -> DataFrame:
+    """A column `island` that grows where `axis` jumps by more than `gap`."""
+    w = W.partitionBy(*by).orderBy(axis)
+    jump = (F.col(axis) - F.lag(axis).over(w) > gap).cast("int")
+    return df.withColumn("jump", F.coalesce(jump, F.lit(0))).withColumn("island", F.sum("jump").over(w)).drop("jump")
+
+
+def _blocks(top, left, bottom, right, row_gap: int, col_gap: int):
+    """The number of each rectangle's block: blank lines cut rows and columns in turn, DEPTH times at most."""
+    import numpy as np
+
+    lines = ((top, bottom, row_gap), (left, right, col_gap))
+    label, count = np.zeros(len(top), np.int64), 0
+    work = [(np.arange(len(top)), 0, 0)]
+    while work:
+        own, depth, stalled = work.pop()
+        low, high, gap = lines[depth % 2]
+        if depth == DEPTH or stalled == 2:
+            label[own] = count
+            count += 1
+            continue
+        own = own[np.argsort(low[own], kind="stable")]
+        reach = np.maximum.accumulate(high[own])
+        cuts = np.flatnonzero(low[own][1:] - reach[:-1] > gap) + 1
+        work += [(part, depth + 1, 0 if len(cuts) else stalled + 1) for part in np.split(own, cuts)]
+    return label
+
+
+def partitioned(cells: DataFrame, row_gap: int = 1, col_gap: int = 1, cut=None, declared: DataFrame | None = None) -> DataFrame:
+    """Populated cells with the id of the block that blank rows and columns, in turn, cut out.
+
+    No cut goes through a run of cells in a row, nor through equal runs in successive rows, so the cuts see
+    one rectangle for each of those: a full table is one row of their data. A sheet's rectangles (five
+    numbers each, and never more than its cells) are cut in one task. Cells of declared tables (sheet_id, name, top, left, bottom, right) are left out, and blocks are cut clear of them."""
+    cells = cells.filter("kind <> 'empty' or formula is not null").select(*PLACE)
+    if declared is not None:
+        tables = declared.withColumn("block", F.col("name"))
+        cells = contained(cells, tables).filter("region is null").select(*PLACE)
+    in_run = _islands(cells, ["sheet_id", "row"], "col", col_gap).withColumn("left", F.min("col").over(W.partitionBy("sheet_id", "row", "island"))).drop("island")
+    runs_ = in_run.groupBy("sheet_id", "row", "left").agg(F.max("col").alias("right"))
+    runs_ = _islands(runs_, ["sheet_id", "left", "right"], "row", row_gap)
+    runs_ = cut(runs_) if cut else runs_
+    key = ["sheet_id", "left", "right", "island"]
+    items = runs_.groupBy(*key).agg(F.min("row").alias("top"), F.max("row").alias("bottom"))
+
+    def cut_up(pdf):
+        label = _blocks(*(pdf[x].to_numpy() for x in ("top", "left", "bottom", "right")), row_gap, col_gap)
+        return pdf[key].assign(block=label.astype(str))
+
+    items = items.groupBy("sheet_id").applyInPandas(cut_up, "sheet_id int, left int, right int, island long, block string")
+    rows = runs_.join(items.select(*key, "block"), key).select("sheet_id", "row", "left", "block")
+    blocks = in_run.join(rows, ["sheet_id", "row", "left"]).select(*PLACE, "block")
+    return blocks if declared is None else _clear(blocks, declared, cut or kept)
+
+
+def _clear(blocks: DataFrame, declared: DataFrame, cut) -> DataFrame:
+    """Blocks whose bounds meet a declared table are cut at its edges, by rows and by columns in turn."""
+    c = F.col
+    tables = declared.select(c("sheet_id").alias("s"), *[c(x).alias("t_" + x) for x in ("name", "top", "left", "bottom", "right")])
+    blocks, stalled, axis = cut(blocks), 0, "row"
+    while stalled < 2:
+        meets = (c("sheet_id") == c("s")) & (c("t_top") <= c("bottom")) & (c("t_bottom") >= c("top")) & (c("t_left") <= c("right")) & (c("t_right") >= c("left"))
+        clash = bounds(blocks).join(tables, meets).groupBy("sheet_id", "block").agg(F.min(F.struct("t_top", "t_left", "t_bottom", "t_right")).alias("t"))
+        low, high = ("t_top", "t_bottom") if axis == "row" else ("t_left", "t_right")
+        side = F.when(c(axis) < c("t")[low], 0).when(c(axis) <= c("t")[high], 1).otherwise(2)
+        cut_up = blocks.join(clash, ["sheet_id", "block"], "left").withColumn("side", F.when(c("t").isNotNull(), side)).drop("t")
+        cut_up = cut(cut_up)
+        sides = cut_up.filter("side is not null").groupBy("sheet_id", "block").agg(F.count_distinct("side").alias("n")).agg(F.count("*").alias("clashes"), F.max("n").alias("n")).first()
+        if not sides["clashes"]:
             break
-        count = now
+        stalled = 0 if sides["n"] > 1 else stalled + 1
+        blocks = cut_up.select(*PLACE, F.concat_ws("/", "block", c("side").cast("string")).alias("block"))
+        axis = "col" if axis == "row" else "row"
     return blocks
 
 
@@ -146,13 +200,15 @@ def described(key: tuple, rows) -> list[tuple]:
     return [(sheet, block, top, left, bottom, right, cells, what, title, headers, labels, names(left + labels, right) if headers else [], names(left, left + labels - 1) if headers and labels else [])]
 
 
-def regions(cells: DataFrame, row_gap: int = 1, col_gap: int = 1, cut=None) -> DataFrame:
-    """Regions of each sheet with what their first rows say; a region's task gets those rows alone."""
+def regions(cells: DataFrame, row_gap: int = 1, col_gap: int = 1, cut=None, declared: DataFrame | None = None) -> DataFrame:
+    """Regions of each sheet with what their first rows say; a region's task gets those rows alone.
+
+    Declared tables (sheet_id, name, top, left, bottom, right, headers, header_rows, totals_rows) are regions as they stand."""
     import pandas as pd
 
     from tabulon.values import display_number
 
-    blocks = partitioned(cells, row_gap, col_gap, cut)
+    blocks = partitioned(cells, row_gap, col_gap, cut, declared)
     boxes = bounds(blocks)
     owned = blocks.join(cells, ["sheet_id", "row", "col"])
     texts = owned.groupBy("sheet_id", "block").agg(F.count(F.when(F.col("kind") == "text", 1)).alias("texts"))
@@ -164,13 +220,43 @@ def regions(cells: DataFrame, row_gap: int = 1, col_gap: int = 1, cut=None) -> D
     def run(key, pdf):
         return pd.DataFrame(described(key, pdf), columns=[x.split()[0] for x in DESCRIBED.split(", ")])
 
-    return head.groupBy(*keys).applyInPandas(run, DESCRIBED)
+    found = head.groupBy(*keys).applyInPandas(run, DESCRIBED).withColumn("declared", F.lit(False)).withColumn("totals_rows", F.lit(0))
+    if declared is None:
+        return found
+    known = declared.withColumn("block", F.concat(F.lit("table "), F.col("name")))
+    held = contained(cells.filter("kind <> 'empty' or formula is not null"), known, "inner").groupBy(F.col("rs").alias("sheet_id"), F.col("region").alias("block")).agg(F.count("*").alias("cells"))
+    stated = known.join(held, ["sheet_id", "block"], "left").select("sheet_id", "block", "top", "left", "bottom", "right", F.coalesce("cells", F.lit(0)).alias("cells"), F.lit("table").alias("kind"), F.col("name").alias("title"), "header_rows", F.lit(0).alias("header_cols"), "headers", F.array().cast("array<string>").alias("label_headers"), F.lit(True).alias("declared"), "totals_rows")
+    return found.unionByName(stated)
+
+
+def bodies(regions_: DataFrame) -> DataFrame:
+    """Regions with their body: below titles and headers, right of labels, above totals; without one, no row. A declared title costs no row."""
+    title = F.when(F.col("title").isNotNull() & ~F.col("declared"), 1).otherwise(0)
+    top = (F.col("top") + title + F.col("header_rows")).cast("int")
+    out = regions_.withColumn("body_top", top).withColumn("body_left", F.col("left") + F.col("header_cols")).withColumn("body_bottom", F.col("bottom") - F.col("totals_rows"))
+    return out.filter("body_top <= body_bottom and body_left <= right")
+
+
+def density(regions_: DataFrame) -> DataFrame:
+    """Regions with the share of their area that is populated."""
+    area = (F.col("bottom") - F.col("top") + 1).cast("double") * (F.col("right") - F.col("left") + 1)
+    return regions_.withColumn("density", F.col("cells") / area)
+
+
+def merge_at(cells: DataFrame, merges: DataFrame) -> DataFrame:
+    """Cells with the merged range (sheet_id, top, left, bottom, right) that covers them, as merge_top .. merge_right, or nulls."""
+    out = contained(cells, merges.withColumn("block", F.lit("")))
+    return out.select(*cells.columns, F.col("rt").alias("merge_top"), F.col("rl").alias("merge_left"), F.col("rb").alias("merge_bottom"), F.col("rr").alias("merge_right"))
+
+
+def formula_list(cells: DataFrame) -> DataFrame:
+    """Formula cells, column by column."""
+    return cells.filter(F.col("formula").isNotNull()).orderBy("sheet_id", "col", "row")
 
 
 def owner(cells: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Cells with the region they are in (regions of a sheet are few and never overlap)."""
-    b = F.broadcast(boxes.select(F.col("sheet_id").alias("s"), "block", "top", "left", "bottom", "right"))
-    return cells.join(b, (F.col("sheet_id") == F.col("s")) & F.col("row").between(F.col("top"), F.col("bottom")) & F.col("col").between(F.col("left"), F.col("right")), "left").drop("s", "top", "left", "bottom", "right")
+    """Cells with the region they are in (regions of a sheet never overlap)."""
+    return contained(cells, boxes).withColumnRenamed("region", "block").drop("rs", "rt", "rl", "rb", "rr")
 
 
 def kind_counts(c: Column) -> list[Column]:

@@ -21,4 +21,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from tabulon.queries import functions, sheets, tables  # noqa: F401
+    from tabulon.queries import functions, graphs, reports, sheets, tables  # noqa: F401

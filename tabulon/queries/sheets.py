@@ -18,36 +18,37 @@ from tabulon.streaming.watch import diff
 
 
 def key_cells(spark, sf_dir):
-    return long(read(spark, sf_dir, "nation").withColumn("n_nationkey", F.col("n_nationkey").cast("int")), "n_nationkey")
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("int").alias("c_custkey"), "c_name", "c_nationkey")
+    return long(c, "c_custkey")
 
 
-NATION = "(SELECT n_nationkey AS \"row\", 0 AS col, 'number' AS kind, CAST(n_nationkey AS DOUBLE) AS num, NULL AS txt FROM nation UNION ALL SELECT n_nationkey, 1, 'text', NULL, n_name FROM nation UNION ALL SELECT n_nationkey, 2, 'number', CAST(n_regionkey AS DOUBLE), NULL FROM nation) c"
+KEYED = "(SELECT CAST(c_custkey AS INT) AS \"row\", 0 AS col, 'number' AS kind, CAST(c_custkey AS DOUBLE) AS num, NULL AS txt FROM customer UNION ALL SELECT CAST(c_custkey AS INT), 1, 'text', NULL, c_name FROM customer UNION ALL SELECT CAST(c_custkey AS INT), 2, 'number', CAST(c_nationkey AS DOUBLE), NULL FROM customer) c"
 
 
-@query("cells_in", f'SELECT "row", col, kind, num, txt FROM {NATION} WHERE "row" BETWEEN 3 AND 9 AND col BETWEEN 1 AND 2')
+@query("cells_in", f'SELECT "row", col, kind, num, txt FROM {KEYED} WHERE "row" BETWEEN 3 AND 9 AND col BETWEEN 1 AND 2')
 def rectangle(spark, sf_dir):
     return cells_in(key_cells(spark, sf_dir), 0, 3, 1, 9, 2).select("row", "col", "kind", "num", "txt")
 
 
-@query("count_in", f'SELECT count(*) AS n FROM {NATION} WHERE "row" BETWEEN 3 AND 9 AND col BETWEEN 1 AND 2')
+@query("count_in", f'SELECT count(*) AS n FROM {KEYED} WHERE "row" BETWEEN 3 AND 9 AND col BETWEEN 1 AND 2')
 def count_in(spark, sf_dir):
     return cells_in(key_cells(spark, sf_dir), 0, 3, 1, 9, 2).agg(F.count("*").alias("n"))
 
 
-@query("used_range", f'SELECT 0 AS sheet_id, min("row") AS top, min(col) AS "left", max("row") AS bottom, max(col) AS "right", count(*) AS cells FROM {NATION}')
+@query("used_range", f'SELECT 0 AS sheet_id, min("row") AS top, min(col) AS "left", max("row") AS bottom, max(col) AS "right", count(*) AS cells FROM {KEYED}')
 def used(spark, sf_dir):
     return used_range(key_cells(spark, sf_dir))
 
 
-@query("find_value", f"SELECT \"row\", col FROM {NATION} WHERE kind = 'number' AND num = 3")
+@query("find_value", f"SELECT \"row\", col FROM {KEYED} WHERE kind = 'number' AND num = 3")
 def find_value(spark, sf_dir):
     return trace.find_value(key_cells(spark, sf_dir), 3.0).select("row", "col")
 
 
-@query("read_rows", "SELECT CAST(i AS INT) AS \"row\", n_name AS name, CAST(n_regionkey AS DOUBLE) AS region FROM range(0, 30) r(i) LEFT JOIN nation ON n_nationkey = i")
+@query("read_rows", "SELECT CAST(i AS INT) AS \"row\", c_name AS name, CAST(c_nationkey AS DOUBLE) AS nation FROM range(0, 200000) r(i) LEFT JOIN customer ON c_custkey = i")
 def read_rows(spark, sf_dir):
-    out = pivoted(key_cells(spark, sf_dir), 0, 29, {1: "name", 2: "region"})
-    return out.select("row", F.col("name.txt").alias("name"), F.col("region.num").alias("region"))
+    out = pivoted(key_cells(spark, sf_dir), 0, 199_999, {1: "name", 2: "nation"})
+    return out.select("row", F.col("name.txt").alias("name"), F.col("nation.num").alias("nation"))
 
 
 @query("citations", "SELECT p_partkey, CASE WHEN regexp_matches(p_brand, '^[\\p{L}\\p{N}_.]+$') AND NOT regexp_matches(p_brand, '^[0-9]') AND NOT regexp_matches(p_brand, '^[A-Za-z]{1,3}[0-9]+$') THEN p_brand ELSE '''' || replace(p_brand, '''', '''''') || '''' END || '!' || CASE WHEN c >= 702 THEN chr(CAST(65 + (c - 702) // 676 AS INT)) ELSE '' END || CASE WHEN c >= 26 THEN chr(CAST(65 + (c // 26 - 1) % 26 AS INT)) ELSE '' END || chr(CAST(65 + c % 26 AS INT)) || (p_partkey + 1) AS cite FROM (SELECT *, (p_partkey * 7) % 16384 AS c FROM part)")
@@ -116,7 +117,12 @@ def whole(spark, sf_dir):
     return n.select(F.lit("all").alias("body"), F.lit(0).alias("sheet_id"), F.lit(0).alias("top"), F.lit(0).alias("left"), F.col("n").cast("int").alias("bottom"), F.lit(3).alias("right"))
 
 
-@query("formula_audit", "SELECT 2 AS col, count(*) FILTER (WHERE o_orderkey % 89 <> 0) AS formulas, CAST(2 AS BIGINT) AS shapes, count(*) FILTER (WHERE o_orderkey % 89 <> 0 AND o_orderkey % 97 <> 0) AS fill_cells, count(*) FILTER (WHERE o_orderkey % 89 <> 0 AND o_orderkey % 97 = 0) AS deviants, count(*) FILTER (WHERE o_orderkey % 89 = 0) AS typed, true AS broken FROM orders UNION ALL SELECT 3, count(*), 1, count(*), 0, 0, false FROM orders")
+@query(
+    "formula_audit",
+    f"""WITH n AS (SELECT col, shape, count(*) AS n FROM {SHAPES} GROUP BY 1, 2), f AS (SELECT col, CAST(sum(n) AS BIGINT) AS formulas, count(*) AS shapes, max(n) AS fill_cells FROM n GROUP BY 1),
+    t AS (SELECT col, (SELECT count(*) FROM orders) - formulas AS typed FROM f)
+    SELECT col, formulas, shapes, fill_cells, formulas - fill_cells AS deviants, typed, (formulas > fill_cells OR typed > 0) AS broken FROM f JOIN t USING (col)""",
+)
 def formula_audit(spark, sf_dir):
     return structure.column_audit(sheet(spark, sf_dir), whole(spark, sf_dir)).select("col", "formulas", "shapes", "fill_cells", "deviants", "typed", "broken")
 
@@ -145,19 +151,26 @@ def dependents_of_price(spark, sf_dir):
     return trace.dependents(refs, 0, Range(100, 1, 119, 1)).select("row", "col")
 
 
-@query("whatif_level", "SELECT CAST(o_orderkey AS INT) AS \"row\", 2 AS col FROM orders WHERE o_orderkey % 1000 = 0 AND o_orderkey % 89 <> 0")
+@query("whatif_level", "SELECT CAST(o_orderkey AS INT) AS \"row\", 2 AS col FROM orders WHERE o_orderkey % 89 <> 0")
 def whatif_level(spark, sf_dir):
+    """What reads any of the prices, the first level of a change to all of them."""
     cells = sheet(spark, sf_dir)
     refs = graph.resolved(references_of(cells), spark.createDataFrame([(0, "Orders")], "sheet_id int, name string"))
-    frontier = cells.filter("col = 1 and row % 1000 = 0").select("sheet_id", "row", "col")
+    frontier = cells.filter("col = 1").select("sheet_id", "row", "col")
     return trace.dependents_of_many(refs, frontier).select("row", "col")
 
 
-@query("whatif_moved", None)
+@query(
+    "whatif_moved",
+    """WITH o AS (SELECT *, o_totalprice * CASE WHEN o_orderkey % 97 = 0 THEN 3 ELSE 2 END + CASE WHEN o_orderkey % 83 = 0 THEN 1 ELSE 0 END AS stored, 1e6 * CASE WHEN o_orderkey % 97 = 0 THEN 3 ELSE 2 END AS fresh FROM orders WHERE o_orderkey < 20 AND o_orderkey % 89 <> 0)
+    SELECT 0 AS sheet_id, CAST(o_orderkey AS INT) AS "row", 2 AS col, 1 AS level, printf('%.1f', fresh) AS "after" FROM o WHERE stored <> fresh
+    UNION ALL SELECT 0, CAST(o_orderkey AS INT), 3, 2, CASE WHEN fresh > 200000 THEN 'high' ELSE 'low' END FROM o WHERE (stored > 200000) <> (fresh > 200000)""",
+)
 def whatif_moved(spark, sf_dir):
+    """Twenty prices set to a million: the doubles move, and the words that the doubles cross a limit of."""
     cells = sheet(spark, sf_dir)
     refs = graph.resolved(references_of(cells), spark.createDataFrame([(0, "Orders")], "sheet_id int, name string"))
-    impact = trace.what_if(cells, refs, ["Orders"], {(0, r, 1): 1e6 for r in range(10)})
+    impact = trace.what_if(cells, refs, ["Orders"], {(0, r, 1): 1e6 for r in range(20)})
     rows = [(*m["cell"], m["level"], str(m["after"])) for m in impact.moved]
     return spark.createDataFrame(rows, "sheet_id int, row int, col int, level int, after string")
 
@@ -172,24 +185,35 @@ def schema_infer(spark, sf_dir):
 
 
 # --- regions -----------------------------------------------------------------------------------
-BLOCKS = """(SELECT CAST(floor((i % 1000) / 100) * 110 + i % 100 AS INT) AS "row", CAST(floor(i / 1000) * 3 + j AS INT) AS col FROM range(0, 5000) r(i), range(0, 2) s(j))"""
+#: Orders dealt to a grid of blocks: 100 rows of two columns, a blank column and ten blank rows between.
+BLOCKS = """(SELECT CAST(floor((o_orderkey % 1000) / 100) * 110 + o_orderkey % 100 AS INT) AS "row", CAST(floor(o_orderkey / 1000) * 3 + j AS INT) AS col FROM orders, range(0, 2) s(j))"""
 
 
 @query("region_partition", f'SELECT min("row") AS top, min(col) AS "left", max("row") AS bottom, max(col) AS "right", count(*) AS cells FROM {BLOCKS} GROUP BY floor("row" / 110), floor(col / 3)')
 def region_partition(spark, sf_dir):
-    i = F.col("id")
-    cells = spark.range(5000).select((F.floor(i % 1000 / 100) * 110 + i % 100).cast("int").alias("row"), F.explode(F.array(F.lit(0), F.lit(1))).alias("j"), i)
-    cells = cells.select(F.lit(0).alias("sheet_id"), "row", (F.floor(F.col("id") / 1000) * 3 + F.col("j")).cast("int").alias("col"), F.lit("number").alias("kind"), F.lit(None).cast("string").alias("formula"))
+    k = F.col("o_orderkey")
+    cells = read(spark, sf_dir, "orders").select((F.floor(k % 1000 / 100) * 110 + k % 100).cast("int").alias("row"), F.explode(F.array(F.lit(0), F.lit(1))).alias("j"), k)
+    cells = cells.select(F.lit(0).alias("sheet_id"), "row", (F.floor(k / 1000) * 3 + F.col("j")).cast("int").alias("col"), F.lit("number").alias("kind"), F.lit(None).cast("string").alias("formula"))
     return structure.bounds(structure.partitioned(cells)).select("top", "left", "bottom", "right", "cells")
 
 
-@query("region_describe", None)
+@query("region_describe", "SELECT 0 AS top, 0 AS \"left\", CAST(max(c_custkey) + 1 AS INT) AS bottom, 1 AS \"right\", 2 * count(*) + 2 AS cells, CASE WHEN bool_and(c_name IS NOT NULL) AND bool_and(c_nationkey IS NOT NULL) THEN 'table' ELSE 'block' END AS kind, 1 AS header_rows, 1 AS header_cols, 'Nation' AS headers, 2 * count(*) + 2 = 2 * (max(c_custkey) + 2) AS full FROM customer")
 def region_describe(spark, sf_dir):
-    t = read(spark, sf_dir, "nation").select((F.col("n_nationkey") + 1).cast("int").alias("row"), "n_name", "n_regionkey")
-    head = spark.createDataFrame([(0, 0, "text", None, "Nation"), (0, 1, "text", None, "Region")], "row int, col int, kind string, num double, txt string")
-    cells = long(t, "row", ["n_name", "n_regionkey"])
+    t = read(spark, sf_dir, "customer").select((F.col("c_custkey") + 1).cast("int").alias("row"), "c_name", "c_nationkey")
+    head = spark.createDataFrame([(0, 0, "text", None, "Name"), (0, 1, "text", None, "Nation")], "row int, col int, kind string, num double, txt string")
+    cells = long(t, "row", ["c_name", "c_nationkey"])
     top = head.select(F.lit(0).alias("sheet_id"), "row", "col", "kind", "num", "txt", F.lit(None).cast("boolean").alias("flag"), F.lit(None).cast("string").alias("err"), F.lit(False).alias("is_date"), F.lit(None).cast("string").alias("formula"))
-    return structure.regions(cells.unionByName(top)).select("top", "left", "bottom", "right", "cells", "kind", "header_rows", "header_cols", F.array_join("headers", ",").alias("headers"))
+    found = structure.density(structure.regions(cells.unionByName(top)))
+    return found.select("top", "left", "bottom", "right", "cells", "kind", "header_rows", "header_cols", F.array_join("headers", ",").alias("headers"), (F.col("density") == 1).alias("full"))
+
+
+@query("merged_cells", "SELECT CAST(c_custkey AS INT) AS \"row\", col, CASE WHEN col < 2 THEN CAST(c_custkey // 4 * 4 AS INT) END AS merge_top, CASE WHEN col < 2 THEN CAST(c_custkey // 4 * 4 + 3 AS INT) END AS merge_bottom FROM customer, (VALUES (0), (1), (2)) t(col)")
+def merged_cells(spark, sf_dir):
+    """Each four rows of the first two columns are merged."""
+    cells = key_cells(spark, sf_dir)
+    k = F.col("row")
+    merges = cells.filter("col = 0").filter(k % 4 == 0).select("sheet_id", k.alias("top"), F.lit(0).alias("left"), (k + 3).alias("bottom"), F.lit(1).alias("right"))
+    return structure.merge_at(cells, merges).select("row", "col", "merge_top", "merge_bottom")
 
 
 # --- the graph ---------------------------------------------------------------------------------
@@ -253,13 +277,12 @@ def graph_accounting(spark, sf_dir):
     return graph.reference_report(sheet(spark, sf_dir), names, regions)
 
 
-@query("region_fit", "SELECT CAST(n_nationkey AS INT) AS q, CASE WHEN n_nationkey < 3 THEN 'inside' WHEN n_nationkey = 3 THEN 'overlaps' WHEN n_nationkey = 4 THEN 'exact' ELSE 'none' END AS fit FROM nation WHERE n_nationkey < 8")
+@query("region_fit", "WITH q AS (SELECT c_custkey AS q, c_custkey % 40 AS top, c_custkey % 40 + c_custkey % 7 AS bottom FROM customer) SELECT CAST(q AS INT) AS q, CASE WHEN top = 0 AND bottom = 6 THEN 'exact' WHEN bottom <= 6 OR (top >= 20 AND bottom <= 30) THEN 'inside' WHEN top <= 6 OR (top <= 30 AND bottom >= 20) THEN 'overlaps' ELSE 'none' END AS fit FROM q")
 def region_fit(spark, sf_dir):
-    k = F.col("n_nationkey")
-    top = F.when(k < 3, k + 1).when(k == 3, 5).when(k == 4, 0).otherwise(100)
-    bottom = F.when(k < 3, k + 1).when(k == 3, 20).when(k == 4, 9).otherwise(101)
-    q = read(spark, sf_dir, "nation").filter("n_nationkey < 8").select(k.cast("int").alias("q"), F.lit(0).alias("sheet_id"), top.cast("int").alias("top"), F.lit(0).alias("left"), bottom.cast("int").alias("bottom"), F.lit(3).alias("right"))
-    regions = spark.createDataFrame([(0, "a", 0, 0, 9, 3)], "sheet_id int, block string, top int, left int, bottom int, right int")
+    k = F.col("c_custkey")
+    top, bottom = k % 40, k % 40 + k % 7
+    q = read(spark, sf_dir, "customer").select(k.cast("int").alias("q"), F.lit(0).alias("sheet_id"), top.cast("int").alias("top"), F.lit(0).alias("left"), bottom.cast("int").alias("bottom"), F.lit(3).alias("right"))
+    regions = spark.createDataFrame([(0, "a", 0, 0, 6, 3), (0, "b", 20, 0, 30, 3)], "sheet_id int, block string, top int, left int, bottom int, right int")
     return graph.fit(q, regions).select("q", "fit")
 
 
@@ -279,9 +302,10 @@ def call_ledger(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", F.row_number().over(w).cast("bigint").alias("nth"))
 
 
-@query("a1_addresses", "SELECT n_nationkey, chr(CAST(65 + n_nationkey AS INT)) || (n_regionkey + 1) AS a1 FROM nation")
+@query("a1_addresses", "SELECT c_custkey, CASE WHEN k >= 26 THEN chr(CAST(64 + k // 26 AS INT)) ELSE '' END || chr(CAST(65 + k % 26 AS INT)) || (c_custkey + 1) AS a1 FROM (SELECT c_custkey, c_custkey % 700 AS k FROM customer)")
 def a1_addresses(spark, sf_dir):
-    return read(spark, sf_dir, "nation").select("n_nationkey", a1_column(F.col("n_regionkey"), F.col("n_nationkey")).alias("a1"))
+    k = F.col("c_custkey")
+    return read(spark, sf_dir, "customer").select("c_custkey", a1_column(k, k % 700).alias("a1"))
 
 
 # --- the demo workbook -------------------------------------------------------------------------
@@ -332,9 +356,10 @@ def redact_values(spark, sf_dir):
     return c.select("c_custkey", report.redacted(F.lit("number"), F.col("c_acctbal").cast("string"), True).alias("balance"), report.redacted(F.lit("text"), F.col("c_name"), True).alias("name"))
 
 
-@query("canvas_context", "SELECT n_nationkey AS node FROM nation WHERE n_regionkey = 1 UNION SELECT DISTINCT 100 + r_regionkey FROM region WHERE r_regionkey = 1")
+@query("canvas_context", "SELECT CAST(c_custkey AS INT) AS node FROM customer WHERE c_nationkey = 1 UNION SELECT DISTINCT CAST(1000000000 + n_nationkey AS INT) FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE n_nationkey = 1")
 def canvas_context(spark, sf_dir):
-    n = read(spark, sf_dir, "nation")
-    nodes = n.select(F.col("n_nationkey").cast("int").alias("node"), F.lit("region").alias("kind"), F.col("n_regionkey").alias("sheet_id")).unionByName(read(spark, sf_dir, "region").select((F.col("r_regionkey") + 100).cast("int").alias("node"), F.lit("sheet").alias("kind"), F.lit(99).alias("sheet_id")))
-    edges = n.select(F.col("n_nationkey").cast("int").alias("src"), (F.col("n_regionkey") + 100).cast("int").alias("dst"), F.lit("CONTAINS").alias("kind"), F.lit(1).alias("weight"))
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("int").alias("node"), "c_nationkey")
+    sheets_ = read(spark, sf_dir, "nation").select((F.col("n_nationkey") + 1_000_000_000).cast("int").alias("node"), F.lit("sheet").alias("kind"), F.lit(99).alias("sheet_id"))
+    nodes = c.select("node", F.lit("region").alias("kind"), F.col("c_nationkey").alias("sheet_id")).unionByName(sheets_)
+    edges = c.select(F.col("node").alias("src"), (F.col("c_nationkey") + 1_000_000_000).cast("int").alias("dst"), F.lit("CONTAINS").alias("kind"), F.lit(1).alias("weight"))
     return report.canvas(nodes, edges, ["region", "sheet"], ["CONTAINS"], 1, True)[0].select("node")

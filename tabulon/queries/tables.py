@@ -297,10 +297,61 @@ def rrf(spark, sf_dir):
     return search.fuse([(near, 1.0), (label, search.LEXICAL)], "vec_id").select("vec_id", F.round("score", 12).alias("score"))
 
 
-@query("lex_find", None)
+# Words that stemming and splitting leave as they are, so that SQL needs no stemmer: brands of parts and their types.
+PARTS = "(SELECT p_partkey AS doc, list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda w: w <> '') AS label, list_filter(regexp_split_to_array(lower(p_type), '[^a-z0-9]+'), lambda w: w <> '') AS body, CAST(p_size AS BIGINT) AS cells FROM part)"
+FOUND = ("red", "ring", "small")
+
+
+def found_sql() -> str:
+    """BM25 of each term in each field, boosted, times the size weight."""
+    n = range(len(FOUND))
+    count = ", ".join(f"len(list_filter({f}, lambda w: w = '{t}')) AS {f}{i}" for f in ("label", "body") for i, t in enumerate(FOUND))
+    df = ", ".join(f"count(*) FILTER (WHERE {f}{i} > 0) AS d{f}{i}" for f in ("label", "body") for i in n)
+    part = lambda f, i, b: f"CASE WHEN {f}{i} > 0 THEN {b} * ln(1 + (n - d{f}{i} + 0.5) / (d{f}{i} + 0.5)) * {f}{i} * 2.2 / ({f}{i} + 1.2 * (0.25 + 0.75 * n{f} / m{f})) ELSE 0 END"
+    score = " + ".join(f"({part('label', i, 4.0)} + {part('body', i, 1.0)})" for i in n)
+    return f"""WITH c AS (SELECT doc, cells, len(label) AS nlabel, len(body) AS nbody, {count} FROM {PARTS} p),
+    s AS (SELECT count(*) AS n, avg(nlabel) AS mlabel, avg(nbody) AS mbody, {df} FROM c),
+    r AS (SELECT doc, ({score}) * (1 + log10(1 + cells) / 4) AS score FROM c, s)
+    SELECT doc, round(score, 6) AS score FROM r WHERE score > 0 ORDER BY r.score DESC, doc LIMIT 25"""
+
+
+def part_docs(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
+    return p.select(F.col("p_partkey").alias("doc"), F.col("p_name").alias("label"), F.col("p_type").alias("body"), F.col("p_size").cast("bigint").alias("cells"), F.lit("column").alias("kind"), F.col("p_brand").alias("sheet"))
+
+
+@query("lex_find", found_sql())
 def lex_find(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.col("text").alias("body"), F.col("source").alias("context"))
-    return search.lexical(docs, "the theory of the heation", 10).select("doc", F.round("score", 6).alias("score"))
+    return search.lexical(part_docs(spark, sf_dir), " ".join(FOUND), 25).select("doc", F.round("score", 6).alias("score"))
+
+
+@query("lex_find_on_a_sheet", found_sql().replace("FROM part)", "FROM part WHERE p_brand = 'Brand#7')"))
+def lex_find_on_a_sheet(spark, sf_dir):
+    docs = search.filtered(part_docs(spark, sf_dir), ["column"], None, "Brand#7")
+    return search.lexical(docs, " ".join(FOUND), 25).select("doc", F.round("score", 6).alias("score"))
+
+
+@query("term_probes", "SELECT word, count(*) AS hits, min(doc) AS first FROM (SELECT w AS word, doc, row_number() OVER (PARTITION BY w ORDER BY cells DESC, doc) AS r FROM (VALUES ('red'), ('ring')) t(w) JOIN " + "(SELECT p_partkey AS doc, p_name, CAST(p_size AS BIGINT) AS cells FROM part) p" + " ON list_contains(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), w)) WHERE r <= 200 GROUP BY 1")
+def term_probes(spark, sf_dir):
+    """Every name has two words, so a word's score falls with the size weight alone."""
+    docs = part_docs(spark, sf_dir).drop("body")
+    return search.term_hits(docs, "what is the red ring").groupBy("word").agg(F.count("*").alias("hits"), F.min("doc").alias("first"))
+
+
+@query(
+    "fused_find",
+    f"""WITH v AS (SELECT vec_id, row_number() OVER (ORDER BY list_dot_product(embedding::DOUBLE[], {VECTOR}) DESC, vec_id) - 1 AS r FROM embeddings QUALIFY r < 50),
+    l AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS r FROM embeddings WHERE label = (SELECT label FROM embeddings ORDER BY vec_id LIMIT 1) QUALIFY r < 50),
+    u AS (SELECT vec_id, 1.0 / (60 + r + 1) AS s FROM v UNION ALL SELECT vec_id, 2.0 / (60 + r + 1) FROM l)
+    SELECT vec_id, round(sum(s), 12) AS score, count(*) AS lists FROM u GROUP BY 1 ORDER BY sum(s) DESC, vec_id LIMIT 20""",
+)
+def fused_find(spark, sf_dir):
+    """The two halves of a search: words (here the label of the first vector) and vectors; `lists` tells the hits that both have."""
+    e = read(spark, sf_dir, "embeddings")
+    first = e.orderBy("vec_id").select("label").first()[0]
+    word = e.filter(F.col("label") == first).select("vec_id", F.lit(1.0).alias("score"))
+    near = search.nearest(e, first_vector(spark, sf_dir), 50)
+    return search.fuse([(word, search.LEXICAL), (near, 1.0)], "vec_id", 20).select("vec_id", F.round("score", 12).alias("score"), F.col("lists").cast("bigint").alias("lists"))
 
 
 @query("shown_numbers", f"SELECT l_orderkey, l_linenumber, l_extendedprice, l_discount, {shown('l_extendedprice * (1 - l_discount) / 7')} AS v FROM lineitem")

@@ -105,7 +105,9 @@ class Stats:
             value = np.full(count, n, np.uint32)
             for i in range(n):
                 value = value * np.uint32(131) + shape[i : i + count]
-            yield np.searchsorted(self.offsets, np.arange(count), side="right") - 1, ((value * np.uint32(0x9E3779B1)) >> np.uint32(18)).astype(np.int32)
+            doc = np.searchsorted(self.offsets, np.arange(count), side="right") - 1
+            own = np.flatnonzero(np.arange(n, count + n) <= self.offsets[doc + 1])  # not into the next text
+            yield doc[own], ((value[own] * np.uint32(0x9E3779B1)) >> np.uint32(18)).astype(np.int32)
         yield np.repeat(self.doc[self.again], 8), np.zeros(8 * int(self.again.sum()), np.int32)
 
 
@@ -192,6 +194,7 @@ def columns_of(docs: DataFrame) -> DataFrame:
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE, seed: int = 11) -> Model:
+    """Labellers' accuracies from all rows, and a scorer from `sample` of them at most; an empty table gives a scorer of zeros."""
     def vote(batches):
         for b in parts(batches, 1, CHUNK):
             votes = [v for _, _, s in each_block(b) for v in coded(s.votes())]

@@ -276,14 +276,21 @@ def digests(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     return marked(docs.select(F.col("doc_id").cast("long"), "text"), ["doc_id"], length, hot).mapInArrow(run, DIGESTS)
 
 
-def trimmed(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """The documents without the bytes that go; a character that loses a byte goes too. Other columns and null texts stay."""
+def passages(raw: bytes, items: list[dict] | None, length: int, words: int) -> list[tuple[int, int]]:
+    """The ranges that go which touch more than `words` words."""
+    return [(a, b) for a, b in removal(len(raw), items, length) if not words or len(raw[a:b].split()) > words]
+
+
+def trimmed(docs: DataFrame, length: int = LENGTH, hot: int = HOT, words: int = 0) -> DataFrame:
+    """The documents without the bytes that go; a character that loses a byte goes too. Other columns and null texts stay.
+
+    Of runs of repeated bytes only those of more than `words` words go, so `length` may be short."""
     packed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], F.col("text").isNull().alias("text_is_null")).alias("row"))
 
     @F.pandas_udf("string")
     def rest(text: pd.Series, items: pd.Series) -> pd.Series:
         raw = [utf8(t) for t in text]
-        return pd.Series([left(r, removal(len(r), None if m is None else list(m), length)).decode("utf-8", "ignore") for r, m in zip(raw, items, strict=True)], dtype=object)
+        return pd.Series([left(r, passages(r, None if m is None else list(m), length, words)).decode("utf-8", "ignore") for r, m in zip(raw, items, strict=True)], dtype=object)
 
     out = marked(packed, ["row"], length, hot)
     text = F.when(~F.col("row.text_is_null"), F.when(F.col("marks").isNull(), F.col("text")).otherwise(rest("text", "marks")))

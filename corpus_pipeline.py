@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tabulon.llm import ballhash, langid, packing, quality, rlindex
 from tabulon.llm.common import ensure_checkpoint_dir, table
 
-#: Bytes of a repeated passage; 51 words of the documents' prose have more. op10 has a length of its own.
-PASSAGE = 250
+#: Repeated strings of PASSAGE bytes are looked for, and runs of them of more than WORDS words go. op10 has a length of its own.
+PASSAGE, WORDS = 200, 50
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +31,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that repeat in the corpus."""
-    return rlindex.trimmed(docs, PASSAGE)
+    """Documents without the passages of more than WORDS words that repeat in the corpus."""
+    return rlindex.trimmed(docs, PASSAGE, words=WORDS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,6 +51,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of sequences that the documents which are kept make; nothing if none is."""
     ensure_checkpoint_dir(spark)
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:

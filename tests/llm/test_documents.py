@@ -41,6 +41,69 @@ def test_em_finds_accuracies():
     assert ((model.posterior(votes) > 0.5) == good)[voted].mean() > 0.9
 
 
+def plain_votes(text):
+    """The labellers' votes, one text at a time."""
+    raw = (text or "").encode()
+    words = raw.split()
+    if not words:
+        return "0" * len(quality.NAMES)
+    letter = lambda b: 65 <= b <= 90 or 97 <= b <= 122 or b >= 128
+    n, visible = len(words), sum(map(len, words))
+    share = lambda test: sum(map(test, raw)) / n
+    ascii_letters = sum(letter(b) and b < 128 for b in raw)
+    upper = sum(65 <= b <= 90 for b in raw) / max(1, ascii_letters)
+    letters, repeats = sum(map(letter, raw)) / visible, sum(a == b for a, b in zip(words, words[1:])) / n
+    short = sum(len(w) <= 3 and letter(w[0]) for w in words) / n
+    bad = [share(lambda b: chr(b) in "#$%&*+<=>@[]^_`{}~\\") > 0.5, upper > 0.5, sum(raw[i : i + 2] == b"!!" for i in range(len(raw))) / n > 0.1, share(lambda b: b == 124) > 0.15, repeats > 0.2, letters < 0.5, not 2 <= visible / n <= 20, False]
+    good = [False] * 5 + [letters > 0.7, 3 < visible / n < 12, short > 0.1 and repeats < 0.1 and n >= 8]
+    return "".join("-" if b and n >= 8 else "+" if g else "0" for b, g in zip(bad, good, strict=True))
+
+
+def plain_score(scorer, text):
+    """The scorer's chance, n-gram by n-gram."""
+    raw = (text or "").encode()
+    words = raw.split()
+    if not words:
+        return 0.0
+    shape = [65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else 32 if 9 <= b <= 13 else b for b in raw + b" "]
+    weights = [scorer.weights[0]] * 8 * sum(a == b for a, b in zip(words, words[1:]))
+    for n in (2, 4):
+        for i in range(len(shape) - n + 1):
+            value = n
+            for x in shape[i : i + n]:
+                value = (value * 131 + x) % 2**32
+            weights.append(scorer.weights[(value * 0x9E3779B1 % 2**32) >> 18])
+    z = float(np.sum(np.array(weights, float))) / max(1, len(weights)) + scorer.bias
+    return 1 / (1 + np.exp(-z))
+
+
+def test_quality_brute_force(spark, sf):
+    """The query's rows worked out one text at a time: votes, posterior by Bayes' rule, score, verdict."""
+    table = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    model = quality.learn(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
+    got = {r["doc_id"]: r for r in queries.op1_quality(spark, sf).collect()}
+    assert set(got) == {r["doc_id"] for r in table}
+    for doc, text in table:
+        r, votes = got[doc], plain_votes(text)
+        assert r["votes"] == votes
+        up, down = model.labels.prior, 1 - model.labels.prior
+        for j, v in enumerate(votes):
+            if v != "0":
+                up, down = up * model.labels.good[j, "+0-".index(v)], down * model.labels.bad[j, "+0-".index(v)]
+        posterior = up / (up + down) if (text or "").split() else 0.0
+        assert abs(r["posterior"] - posterior) < 1e-9 and abs(r["score"] - plain_score(model.scorer, text)) < 1e-5
+        if abs((posterior + r["score"]) / 2 - 0.5) > 1e-4:
+            assert r["keep"] == ((posterior + r["score"]) / 2 > 0.5)
+
+
+def test_scores_do_not_depend_on_neighbours(spark, sf):
+    model = quality.learn(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
+    raw = [b"One text, and its end", b"another!!", b"x | y", b"One text, and its end"]
+    together = [np.asarray(x) for x in quality.scores(model, raw)[1:]]
+    for i, r in enumerate(raw):
+        assert all(np.allclose(t[i], np.asarray(x)[0], atol=1e-12) for t, x in zip(together, quality.scores(model, [r])[1:], strict=True))
+
+
 def test_quality_hard_rows(spark):
     rows = docs(spark, HARD)
     out = quality.judge(rows, quality.learn(rows)).collect()
@@ -69,6 +132,53 @@ def test_language_hard_rows(spark):
     assert langid.identify(rows.limit(0), none).count() == 0
 
 
+def test_language_rejection(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.learn(docs, ~langid.held_out())
+    rows = docs.filter(langid.held_out()).select("text", "lang").collect()
+    best, score = langid.predict(model, [r["text"] for r in rows])
+    right = np.array([b == r["lang"] for b, r in zip(best, rows, strict=True)])
+    assert (score[right] >= model.threshold).mean() > 0.99
+    assert 0.0005 * 2 < model.temperature < 10  # not at an end of the grid
+    foreign = ["日本語のテキストです。これは言語の判定を試すための文章です。", "Это русский текст для проверки отказа от ответа", "xkcd qwrtp zxcvb mnbvc lkjhg fdspw qzxwv pqxz", "Ελληνικό κείμενο για έλεγχο"]
+    assert (langid.predict(model, foreign)[1] < model.threshold).all()
+    shuffled = [langid.no_language(r["text"], s) for s, r in enumerate(rows) if len(r["text"]) > 400]
+    assert (langid.predict(model, shuffled)[1] < model.threshold).mean() > 0.95
+    kept = langid.filtered(spark.createDataFrame([(i, t) for i, t in enumerate([rows[0]["text"], *foreign])], "doc_id long, text string"), model)
+    assert [r["doc_id"] for r in kept.collect()] == [0]
+
+
+def test_language_brute_force(spark, sf):
+    """The query's rows worked out subword by subword."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.learn(docs, ~langid.held_out())
+    got = {r["doc_id"]: r for r in queries.op2_langid(spark, sf).collect()}
+    for doc, text, _ in docs.collect():
+        data = langid.plain(np.frombuffer(b" " + text.encode() + b" ", np.uint8)).tobytes()
+        logits = []
+        for n in langid.SIZES:
+            for i in range(len(data) - n + 1):
+                gram = data[i : i + n]
+                if 32 in gram[1:-1] or gram[0] == gram[-1] == 32:
+                    continue
+                value = n
+                for b in gram:
+                    value = (value * 257 + b) % 2**32
+                logits.append((value * 0x9E3779B1 % 2**32) >> 17)
+        p = langid.softmax((model.logits[logits].astype(float).sum(axis=0) / max(1, len(logits)) + model.bias) / model.temperature)[:-1]
+        assert got[doc]["lang_pred"] == model.languages[int(p.argmax())] and abs(got[doc]["score"] - p.max()) < 1e-3
+        if abs(p.max() - model.threshold) > 1e-3:
+            assert got[doc]["accepted"] == (p.max() >= model.threshold)
+
+
+def test_no_subword_is_lost_between_blocks(monkeypatch):
+    raw = "wörter über die Grenze hinweg, every gram once".encode() * 3
+    whole = langid.counts(raw)
+    monkeypatch.setattr(langid, "CHUNK", 7)
+    for a, b in zip(whole, langid.counts(raw), strict=True):
+        assert (a == b).all()
+
+
 # --- url rules ---------------------------------------------------------------------------------
 def test_url_rules(spark):
     urls = [None, "", "nothing", "HTTP://A.Example.NET/en/x", "http://example.net/EN/", "http://x.net", "http://x.net/", "http://xnet/", "http://a.example.com/de/1?q", "http://b.org/fr/", "http://b.org/frx", "http://www.cheap-pills.example.com/en/4", "http://spam-farm.example.org/en/about", "http://spam-farm.example.org/en/aboutx", "http://q.org/a/casino/b", "http://net.org/x", "a://b\n.net/c#d", "x://y?://z.net/"]
@@ -80,6 +190,19 @@ def test_url_rules(spark):
     assert {e[0] for b in index for e in b} >= {"net", "de", "fr", "en", "casino"} and not loose
 
 
+def test_many_rules_are_a_table(spark, monkeypatch):
+    urls = ["http://a.example.net/en/x", "http://x.net/", "http://h17.test/p/3", "http://sub.h17.test/p/", "http://h17.test/q", "http://www.cheap-pills.example.com/en/4", None, "nothing", "http://h17.test/p/3"]
+    rows = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    hosts = (*urlrules.HOST_RULES, *((f"h{i}.test/p/", "block" if i % 2 else "allow") for i in range(2500)))
+    patterns = (*urlrules.PATTERN_RULES, "*")
+    got = {r["page_id"]: (r["host_rule"], r["verdict"]) for r in urlrules.judge(rows, "url", hosts, patterns).collect()}
+    assert got[0] == ("example.net/en/", "allow") and got[2] == got[3] == got[8] == ("h17.test/p/", "block") and got[4] == (None, "block") and len(got) == len(urls)
+    few = (*urlrules.HOST_RULES, ("h17.test/p/", "block"))
+    want = {r["page_id"]: tuple(r) for r in urlrules.judge(rows, "url", few, patterns).collect()}
+    monkeypatch.setattr(urlrules, "MOST_RULES", 1)
+    assert {r["page_id"]: tuple(r) for r in urlrules.judge(rows, "url", few, patterns).collect()} == want
+
+
 # --- packing -----------------------------------------------------------------------------------
 def check_packing(rows, texts):
     tokenizer = packing.WordTokens(packing.tokenizer_path()).tokenizer
@@ -137,10 +260,25 @@ def test_audio(spark):
         media = audio.wav(payload)
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
         assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+        assert media[44 + 2 :][: len(payload)] == payload and media[20:22] == b"\x07\0"  # mu-law, one byte a sample
+        # the features once more, sample by sample
+        mu, al = ([int(audio.TABLES[law][x]) for x in payload] for law in (audio.MULAW, audio.ALAW))
+        wide = [mu[0]] * 2 + mu + [mu[-1]] * 2
+        soft = [(wide[i] + 4 * wide[i + 1] + 6 * wide[i + 2] + 4 * wide[i + 3] + wide[i + 4] + 8) >> 4 for i in range(len(mu))]
+        at = [divmod(4 * k, 3) for k in range((3 * len(mu) + 3) // 4)]
+        low = [(soft[i] * (3 - p) + soft[min(i + 1, len(soft) - 1)] * p) // 3 for i, p in at]
+        rms = lambda x: int((sum(v * v for v in x) // len(x)) ** 0.5)
+        said = dict(x.split("=") for x in r["feature"].split(";"))
+        assert (int(said["mu_rms"]), int(said["a_rms"]), int(said["pcm_rms"])) == (rms(mu), rms(al), rms(low))
+        assert int(said["mu_zc"]) == sum((x < 0) != (y < 0) for x, y in zip(mu, mu[1:])) and int(said["mu_peak"]) == max(map(abs, mu))
+        stored = audio.wav(np.array(low, "<i2").tobytes(), audio.PCM, 6000)
+        assert (r["pcm_bytes"], r["pcm_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
     assert len({r["feature"] for r in out if r["doc_id"] in (7, 8)}) == 1
     assert audio.telephony(docs(spark, HARD).limit(0)).count() == 0
     pcm = audio.pcm_column(audio.media_column(docs(spark, HARD[3:6]))).collect()
     assert all(audio.unwav(bytes(r["media"]))[:2] == (audio.PCM, 16000) for r in pcm)
+    none = spark.createDataFrame([(1, None)], "doc_id int, media binary")
+    assert [tuple(r) for r in audio.pcm_column(none).collect()] == [(1, None)]
 
 
 def test_g711_and_adpcm():
@@ -269,6 +407,16 @@ def test_near_duplicate_hard_rows(spark):
     assert ballhash.classes(rows.limit(0)).count() == 0
 
 
+def test_representatives_of_repeated_ids(spark):
+    rows = [(1, "one text of several words", 0), (1, "Another  text, unlike the first", 1), (1, "another text, unlike the first ", 2), (2, "ONE text of several words", 3), (3, None, 4), (4, "", 5)]
+    table = spark.createDataFrame([(*r, "c", "d") for r in rows], "doc_id long, text string, least_id int, id string, row string")
+    out = ballhash.representatives(table)
+    assert out.columns == table.columns
+    kept = sorted((r["doc_id"], r["text"]) for r in out.collect() if r["text"] is not None)
+    assert kept[0][0] == 1 and len(kept) == 2 and any("several" in t for _, t in kept) and any("nlike" in t for _, t in kept)
+    assert [r["doc_id"] for r in out.collect() if not r["text"]] == [3]
+
+
 # --- pieces ------------------------------------------------------------------------------------
 def test_samples_follow_the_lattice():
     model = pieces.loaded(pieces.model_path(), pieces.TEMPERATURE)
@@ -295,6 +443,22 @@ def test_pieces_hard_rows(spark):
     assert pieces.segment(rows.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("head", [pieces.HEAD, 1])
+def test_tails_are_searched_like_heads(monkeypatch, head):
+    """With one place of its own a path's other ways come from its tail: the same segmentations, chances in the same shares."""
+    monkeypatch.setattr(pieces, "HEAD", head)
+    model = pieces.loaded(pieces.model_path(), pieces.TEMPERATURE)
+    every = {tuple(ids): np.exp(log) for ids, log, _, _ in pieces.sample(model, "in the", 500, 1)}
+    assert abs(sum(every.values()) - 1) < 1e-9 and len(every) > 10
+    n, second = 3000, {}
+    for seed in range(n):
+        a, b = pieces.sample(model, "in the", 2, seed)
+        assert a[2] >= b[2] and a[0] != b[0]
+        second[tuple(b[0])] = second.get(tuple(b[0]), 0) + 1 / n
+    for ids, p in every.items():
+        assert abs(second.get(ids, 0) - sum(q * p / (1 - q) for o, q in every.items() if o != ids)) < 0.035
+
+
 @pytest.mark.parametrize("before", [0, 44, 45, 46, 47, 95])
 def test_samples_of_a_long_run(before):
     model = pieces.loaded(pieces.model_path(), pieces.TEMPERATURE)
@@ -328,6 +492,27 @@ def test_pieces_of_every_document(spark, sf):
     assert all(r["decoded"] and model.decode(r["ids"]) == (texts[r["doc_id"]] or "") for r in out)
 
 
+def test_samples_do_not_depend_on_the_batch(monkeypatch):
+    texts = ["one two three two one", "", "two  words ", "▁ 日本 x", None, "another text of words, two of them rare: qzxv xvqz"] * 4
+    seeds = list(range(100, 100 + len(texts)))
+    model = pieces.Pieces(pieces.model_path())
+    flat = lambda found: [(ids.tolist(), *rest) for ids, *rest in found]
+    together = [flat(f) for f in pieces.samples(model, texts, 4, seeds)]
+    monkeypatch.setattr(pieces, "MOST_NODES", 30)  # words are forgotten between texts
+    alone = [flat(pieces.samples(model, [t], 4, [s])[0]) for t, s in zip(texts, seeds, strict=True)]
+    assert alone == together and len(model.first) < 500
+    assert together[0] != together[6] and [f[0] for f in together[1]] == [[]]
+
+
+def test_plain_encoding_and_decoding(spark):
+    rows = spark.createDataFrame([(1, "a text"), (2, None), (3, ""), (4, "  \n x")], "doc_id long, text string")
+    out = pieces.encoded(rows)
+    model = pieces.loaded(pieces.model_path(), pieces.TEMPERATURE).model
+    got = {r["doc_id"]: r["ids"] for r in out.collect()}
+    assert got == {1: model.encode("a text"), 2: None, 3: [], 4: model.encode("  \n x")}
+    assert {r["doc_id"]: r["text"] for r in pieces.decoded(out.drop("text")).collect()} == {1: "a text", 2: None, 3: "", 4: "  \n x"}
+
+
 # --- repeated passages -------------------------------------------------------------------------
 def brute_marks(texts, length):
     where: dict = {}
@@ -377,14 +562,17 @@ def test_repeats_brute_force(spark, hot):
     texts = repetitive(np.random.default_rng(5 + hot % 7), 120) + ["", "a" * 39, "a" * 40, "b" * 41, "q" * 300]
     rows = docs(spark, list(enumerate(texts)))
     want = brute_digest([t.encode() for t in texts], 40)
-    got = {r["doc_id"]: tuple(r)[1:] for r in rlindex.digests(rows, 40, hot).collect()}
-    assert got == dict(enumerate(want))
+    out = rlindex.digests(rows, 40, hot).collect()
+    assert {r["doc_id"]: tuple(r)[1:5] for r in out} == dict(enumerate(want))
+    for r in out:
+        raw, gone = texts[r["doc_id"]].encode(), [(x["start"], x["end"]) for x in r["removed"]]
+        assert rlindex.left(raw, gone).decode("utf-8", "ignore") == r["text"] and len(gone) == r["n_spans"]
 
 
 def test_repeats_production_length(spark, sf):
     table = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
     want = brute_digest([r["text"].encode() for r in table], 400)
-    got = {r["doc_id"]: tuple(r)[1:] for r in queries.op10_rlindex(spark, sf).collect()}
+    got = {r["doc_id"]: tuple(r)[1:5] for r in queries.op10_rlindex(spark, sf).collect()}
     assert got == {r["doc_id"]: w for r, w in zip(table, want, strict=True)}
     assert sum(w[1] for w in want) > 0
 

@@ -42,6 +42,29 @@ def test_hard_rows(spark):
     assert [tuple(r) for r in anisotropic.search(few).collect()] == [(20, 1, 3, 0.5)]
 
 
+def test_doubles_stay_doubles(spark):
+    """Values that no float can hold or tell apart."""
+    rows = [(0, [1.0, 0.0]), (1, [1e300, 1.0]), (2, [1 + 1e-12, 0.0]), (3, [1.0, 5.0]), (4, [1.0, -7.0]), (5, [1e-300, 0.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = [(r["rank"], r["vec_id"], r["score"]) for r in anisotropic.search(table, every=10).orderBy("rank").collect()]
+    assert out == [(1, 1, 1e300), (2, 2, 1 + 1e-12), (3, 3, 1.0), (4, 4, 1.0), (5, 5, 1e-300)]
+
+
+def test_lengths_of_many_sizes(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 8)) * np.exp(rng.normal(size=(3000, 1)) * 3)
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in anisotropic.search(table, every=100).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    scores = x[::100] @ x.T
+    hits = 0
+    for q, row in zip(range(0, 3000, 100), scores, strict=True):
+        row[q] = -np.inf
+        hits += len(set(np.argsort(-row)[:20].tolist()) & got[q])
+    assert hits / (20 * 30) >= 0.95
+
+
 def test_codes_lower_the_parallel_residual():
     x = np.random.default_rng(2).normal(size=(2000, 16)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)

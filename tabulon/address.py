@@ -48,6 +48,11 @@ class Range:
     def of(r1: int, c1: int, r2: int, c2: int) -> Range:
         return Range(min(r1, r2), min(c1, c2), max(r1, r2), max(c1, c2))
 
+    def offset(self, rows: int, cols: int) -> Range | None:
+        """The rectangle moved, or None where it would leave the sheet."""
+        moved = Range(self.top + rows, self.left + cols, self.bottom + rows, self.right + cols)
+        return moved if moved.top >= 0 and moved.left >= 0 and moved.bottom <= MAX_ROW and moved.right <= MAX_COL else None
+
     @property
     def cells(self) -> int:
         return (self.bottom - self.top + 1) * (self.right - self.left + 1)

@@ -30,10 +30,19 @@ class Walk:
 
 
 def expand(nodes: DataFrame, edges: DataFrame, seeds: list[str], hops: int = 2, budget: int = 40, children: int = 0, least: int = 1) -> Walk:
-    """Seeds, their ancestors (free of the budget's hops), then dependency edges both ways, strongest first."""
+    """Seeds, the parts of them that carry dependencies, ancestors (free of hops), then dependency edges both ways, strongest first.
+
+    Only what was asked about is searched for such parts. `children` of each node that is walked from come too: columns before
+    formula groups, those of most cells first, never those of the workbook itself. A containment that goes in a circle truncates."""
     known = {r.node for r in nodes.filter(F.col("node").isin(seeds)).select("node").collect()}
     walk = Walk(stale=[s for s in seeds if s not in known])
     role: dict[str, Entry] = {}
+    has = set(nodes.columns)
+    kind = F.col("kind") if "kind" in has else F.lit("").alias("kind")
+    cells = F.col("cells") if "cells" in has else F.lit(0)
+    described = nodes.select("node", kind.alias("node_kind"), cells.alias("cells"))
+    contains = edges.filter("kind = 'CONTAINS'")
+    depends = edges.filter(F.col("kind").isin(*DEPENDENCY) & (F.col("weight") >= least))
 
     def add(entry: Entry) -> bool:
         if entry.node in role:
@@ -44,30 +53,53 @@ def expand(nodes: DataFrame, edges: DataFrame, seeds: list[str], hops: int = 2,
         role[entry.node] = entry
         return True
 
-    for s in dict.fromkeys(seeds):
-        if s in known:
-            add(Entry(s, "seed", 0))
-    frontier = list(role)
-    contains = edges.filter("kind = 'CONTAINS'")
-
-    def ancestors(of: list[str]) -> None:
-        at = of
+    def ancestors(of: list[str]) -> list[str]:
+        at, steps, found = of, 0, []
         while at:
             up = contains.filter(F.col("dst").isin(at)).select("src", "dst").collect()
             at = [r.src for r in sorted(up) if add(Entry(r.src, "ancestor", role[r.dst].hops, r.dst))]
+            found += at
+            steps += 1
+            if steps > budget:
+                walk.truncated = True
+                break
+        return found
+
+    def carrying(of: list[str], hop: int) -> list[str]:
+        """Parts of these nodes, at any depth, that have a dependency edge."""
+        at, found = of, []
+        while at:
+            inside = contains.filter(F.col("src").isin(at)).select("src", F.col("dst").alias("node"))
+            ends = depends.select(F.col("src").alias("node")).unionByName(depends.select(F.col("dst").alias("node")))
+            down = sorted(inside.join(ends, "node", "left_semi").select("src", "node").distinct().collect())
+            at = [r.node for r in down if add(Entry(r.node, "child", hop, r.src))]
+            found += at
+        return found
+
+    def listed(of: list[str], hop: int) -> None:
+        inside = contains.filter(F.col("src").isin(of)).select("src", F.col("dst").alias("node")).join(described, "node")
+        parents = described.filter(F.col("node").isin(of) & (F.col("node_kind") == "workbook")).select(F.col("node").alias("src"))
+        rows = inside.join(parents, "src", "left_anti").collect()
+        for parent in of:
+            own = sorted((r.node_kind == "formula_group", -r.cells, r.node) for r in rows if r.src == parent and r.node not in role)
+            for _, _, node in own[:children]:
+                add(Entry(node, "child", hop, parent))
 
-    ancestors(frontier)
+    for s in dict.fromkeys(seeds):
+        if s in known:
+            add(Entry(s, "seed", 0))
+    asked = list(role)
+    frontier = asked + (carrying(asked, 0) if hops else [])
+    above = ancestors(frontier)
     if children:
-        down = contains.filter(F.col("src").isin(frontier)).select("src", "dst").collect()
-        for parent in frontier:
-            for r in sorted(x for x in down if x.src == parent)[:children]:
-                add(Entry(r.dst, "child", 0, parent))
-    depends = edges.filter(F.col("kind").isin(*DEPENDENCY) & (F.col("weight") >= least))
+        listed(frontier + above, 0)
     for hop in range(1, hops + 1):
         near = depends.filter(F.col("src").isin(frontier) | F.col("dst").isin(frontier)).select("src", "dst", "weight").collect()
         steps = [(-r.weight, r.dst, "input", r.src) for r in near if r.src in frontier] + [(-r.weight, r.src, "dependent", r.dst) for r in near if r.dst in frontier]
         frontier = [node for _, node, what, via in sorted(steps) if add(Entry(node, what, hop, via))]
-        ancestors(frontier)
+        above = ancestors(frontier)
+        if children:
+            listed(frontier + above, hop)
         if not frontier:
             break
     walk.entries = list(role.values())

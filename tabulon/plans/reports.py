@@ -144,7 +144,7 @@ def _ranked(hits: list[tuple[str, DataFrame]]) -> DataFrame:
 
 def retrieve_report(g: layers.Graph, seeds: list[str], **options) -> DataFrame:
     """(place, node, role, hops, via) of the walk from some seeds, in the order in which it came to them."""
-    walk = retrieve.expand(g.nodes.select("node", "kind", "sheet_id"), g.edges, seeds, **options)
+    walk = retrieve.expand(g.nodes.select("node", "kind", "cells"), g.edges, seeds, **options)
     rows = [(i, e.node, e.role, e.hops, e.via) for i, e in enumerate(walk.entries)]
     return g.nodes.sparkSession.createDataFrame(rows, "place int, node string, role string, hops int, via string").orderBy("place")
 

@@ -16,7 +16,7 @@ from tabulon.operators.profile import profile, tally
 from tabulon.operators.query import Query, Refused, Table, groups_not_listed, query, scan_counts
 from tabulon.plans.keep import kept
 from tabulon.sources.tables import cells_in, pivoted, used_range
-from tabulon.values import ERRORS
+from tabulon.values import ERRORS, display
 
 
 def literal(text: str) -> Value:
@@ -123,6 +123,14 @@ class Workbook:
     def tables(self) -> DataFrame:
         return self.regions.orderBy("sheet_id", "top", "left")
 
+    def cell(self, citation: str) -> dict | None:
+        """One cell as it is cited: kind, value as shown, formula; None if it is blank."""
+        sheet, where = self.locate(citation)
+        if where.cells > 1:
+            raise Refused("RangeAsCell", citation)
+        r = cells_in(self.cells, sheet, where.top, where.left, where.top, where.left).first()
+        return r and {"cite": cite(self.sheet_names[sheet], where), "kind": r.kind, "value": display(trace.value_of(r.kind, r.num, r.txt, r.flag, r.err)), "formula": r.formula}
+
     def read_cells(self, citation: str, limit: int = 200) -> DataFrame:
         sheet, where = self.locate(citation)
         return cells_in(self.cells, sheet, where.top, where.left, where.bottom, where.right, limit)
@@ -300,7 +308,7 @@ class Workbook:
     def context(self, question: str, **options) -> dict:
         """A cited passage around the best hits."""
         hits, cover = self.search(question, 3)
-        nodes, edges = self.graph_tables
+        nodes, edges = self.layers.nodes.select("node", "kind", "cells"), self.layers.edges
         walk = retrieve.expand(nodes, edges, [r.doc for r in hits.collect()], **options)
         near = [e.node for e in walk.entries]  # the walk's budget bounds them
         placed = self.layers.nodes.filter(F.col("node").isin(near)).select("node", "sheet_id", "top", "left", "bottom", "right", "label").collect()

@@ -29,6 +29,21 @@ FORMATS = {"xlsx": "xlsx", "xlsm": "xlsm", "xlsb": "xlsb", "xls": "xls", "ods":
 CAPABILITIES = {f: {"merges": f in ("xlsx", "xlsm", "xls"), "declared_tables": f in ("xlsx", "xlsm"), "styling": False, "writable": f == "xlsx", "external_links": False} for f in FORMATS}
 
 
+# What a reader is told of each thing that a format lacks.
+LIMITATIONS = {
+    "merges": "merged cells are not readable in this format",
+    "declared_tables": "declared Excel tables are not readable in this format",
+    "styling": "cell styling (bold/fill/borders) is not available",
+    "writable": "this format cannot be written back; edits stay in memory",
+    "external_links": "links to other workbooks are not readable; external_links is always empty",
+}
+
+
+def limitations(format_: str) -> list[str]:
+    """What a workbook of this format can't tell, in words."""
+    return [text for what, text in LIMITATIONS.items() if not CAPABILITIES[format_][what]]
+
+
 class TooLarge(ValueError):
     def __init__(self, found: int, limit: int):
         super().__init__(f"{found} cells, more than {limit}")

@@ -6,13 +6,13 @@ from test_workbook import ODS, XLSX, grid, packed
 
 from tabulon.address import Range
 from tabulon.functions.stem import stem
-from tabulon.operators import layers, search, structure, trace
+from tabulon.operators import layers, retrieve, search, structure, trace
 from tabulon.operators.query import Refused
 from tabulon.plans import reports
 from tabulon.plans.tools import Workbook, Workbooks, stored_path
 from tabulon.sources import demo
 from tabulon.sources.corpus import Corpus
-from tabulon.sources.workbook import load
+from tabulon.sources.workbook import LIMITATIONS, limitations, load
 
 assert ODS
 
@@ -178,6 +178,26 @@ def test_what_if_says_why(spark):
     assert impact.verdicts() == {"moved": 1, "unchanged": 0, "blocked": 3} and impact.reasons() == [("circular reference", 2), ("reads a blocked cell", 1)]
 
 
+def test_parts_of_what_was_asked_about(spark):
+    nodes = spark.createDataFrame([("w", "workbook", 0), ("s", "sheet", 9), ("a", "region", 4), ("b", "region", 5), ("c1", "column", 1), ("c2", "column", 3), ("g", "formula_group", 7), ("x", "region", 2)], "node string, kind string, cells long")
+    rows = [("w", "s", "CONTAINS", 1), ("s", "a", "CONTAINS", 1), ("s", "b", "CONTAINS", 1), ("a", "c1", "CONTAINS", 1), ("a", "c2", "CONTAINS", 1), ("a", "g", "CONTAINS", 1), ("a", "x", "CROSS_SHEET_REF", 2)]
+    edges = spark.createDataFrame(rows, "src string, dst string, kind string, weight long")
+    walk = retrieve.expand(nodes, edges, ["s"], hops=1)
+    assert [(e.node, e.role, e.hops, e.via) for e in walk.entries] == [("s", "seed", 0, None), ("a", "child", 0, "s"), ("w", "ancestor", 0, "s"), ("x", "input", 1, "a")]
+    assert [e.node for e in retrieve.expand(nodes, edges, ["x"], hops=0, children=5).entries] == ["x"]
+    listed = [e.node for e in retrieve.expand(nodes, edges, ["a"], hops=0, children=2).entries if e.role == "child"]
+    assert listed == ["c2", "c1", "b"]  # columns of most cells first; of the sheet its other region, of the workbook nothing
+    loop = edges.unionByName(spark.createDataFrame([("a", "w", "CONTAINS", 1)], edges.schema))
+    assert {e.node for e in retrieve.expand(nodes, loop, ["a"], hops=0).entries} == {"a", "s", "w"}
+
+
+def test_cells_moves_and_limits(debtors):
+    assert debtors.cell("Rates!A11") == {"cite": "Rates!A11", "kind": "text", "value": "Tax Rate", "formula": None} and debtors.cell("Rates!Z90") is None
+    assert debtors.cell("Debtors!G2")["formula"].startswith("VLOOKUP")
+    assert Range(0, 0, 1, 1).offset(2, 3) == Range(2, 3, 3, 4) and Range(0, 0, 0, 0).offset(-1, 0) is None and Range(0, 16_383, 0, 16_383).offset(0, 1) is None
+    assert limitations("xlsx") == [LIMITATIONS["styling"], LIMITATIONS["external_links"]] and len(limitations("ods")) == 5
+
+
 # --- many workbooks and reports ----------------------------------------------------------------
 def test_several_workbooks(spark):
     books = Workbooks({"h1": Workbook(cells_of(spark, "Name Size\na 5\nb 6"), ["S"], path="a.xlsx"), "h2": Workbook(cells_of(spark, "Name Weight\nc 5\nd 7"), ["T"], path="b.xlsx")})

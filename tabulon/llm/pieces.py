@@ -2,25 +2,30 @@
 
 A text's lattice has an edge for each vocabulary piece that matches at a place; a character that no
 piece covers is spelt by byte pieces. Pieces have the weight -log(rank + OFFSET) / temperature, so a
-segmentation's chance is a softmax over the lattice. `sample` returns k distinct segmentations drawn
-without replacement: each segmentation has a Gumbel-perturbed log chance, and a best-first (A*)
-search hands them out in falling order. A search node is a prefix of the text together with the set
-of ways to go on that are not handed out yet; its bound is the maximum of the perturbed log chances
-below it, drawn top-down from its parent's, so the search is exact and opens few nodes.
+segmentation's chance is a softmax over the lattice. `samples` returns k distinct segmentations of
+each text drawn without replacement: each segmentation has a Gumbel-perturbed log chance, and a
+best-first (A*) search hands them out in falling order. A search node is a prefix of the path
+together with the edges there that are handed out already; its bound is the maximum of the perturbed
+log chances below it, drawn top-down from its parent's, so the search is exact.
 
 Pieces do not cross the start of a word (a run of spaces and what follows it), so the lattice of a
-text is a chain of small ones, each kept per distinct word with its forward log sums.
+text is a chain of small ones, each kept per distinct word with its forward log sums. The search of
+all texts of a batch goes in rounds: a round takes the best node of each text, walks the rest of its
+path through all words of all texts at once, and bounds the ways that the walk passes by. Ways that
+leave the path after its first HEAD places are one node with their summed chance, which is parted
+into its places only if it becomes the best.
 
 A sample's inclusion score is the chance that its perturbed log chance exceeds the threshold, the
 k+1-st largest one: 1 - exp(-exp(log p - threshold)); it is 1 if there are no more than k
-segmentations. Random numbers are seeded by the row's key, so any task gives the same result.
+segmentations. Random numbers are hashes of the row's key, the round, the word's place and the step,
+so a row's samples depend on neither its task nor its batch.
 
 Decoding gives back the text exactly, whatever it holds: the word-start mark itself and characters
 outside the vocabulary are spelt in bytes.
 
-Defined cases: a null or empty text has one empty segmentation; texts of any length are processed
-whole; repeated rows get the same samples; an empty table gives an empty result; further columns
-are not looked at.
+Defined cases: a null or empty text has one empty segmentation; texts and words of any length are
+processed whole; repeated rows get the same samples; an empty table gives an empty result; further
+columns are not looked at.
 """
 
 from __future__ import annotations
@@ -28,9 +33,8 @@ from __future__ import annotations
 import heapq
 import math
 import re
-from bisect import bisect_left, insort
 from functools import lru_cache
-from itertools import accumulate
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,16 +42,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import parts, shuffled, small_batches
+from tabulon.llm.common import mix, parts, shuffled, small_batches, utf8
 
 SAMPLES = 3
 TEMPERATURE = 3.0
 OFFSET = 100
 MARK = "▁"
-CHUNK = 1 << 20
-#: Words that a task remembers, and the longest of them; a longer word's lattice is built each time.
-MOST_WORDS, LONGEST = 60_000, 48
+#: Bytes of texts that are sampled together, and nodes of word lattices that a worker remembers.
+CHUNK, MOST_NODES = 1 << 19, 2_000_000
 WORD = re.compile(" *[^ ]+| +")
+#: Bits of a code point in the keys of the vocabulary's tree.
+CODE = np.int64(21)
+#: Slots of the hash table of that tree, less one; some 90,000 are used.
+TABLE = (1 << 19) - 1
 
 
 def model_path() -> str:
@@ -56,175 +63,435 @@ def model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start[i], start[i] + 1, .. of count[i] numbers, for each i in turn."""
+    ends = np.cumsum(count)
+    return np.repeat(start - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def slots(keys: np.ndarray) -> np.ndarray:
+    return ((keys * np.int64(0x9E3779B97F4A7C15 - (1 << 64))) >> np.int64(40)) & TABLE
+
+
+def hashed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash table with linear probing, as two columns; empty slots have the key -1."""
+    held, value = np.full(TABLE + 1, -1), np.zeros(TABLE + 1, np.int32)
+    at = slots(keys)
+    while len(keys):
+        free = np.flatnonzero(held[at] < 0)
+        held[at[free]] = keys[free]  # of several for one slot one stays
+        value[at[free]] = values[free]
+        left = held[at] != keys
+        keys, values, at = keys[left], values[left], (at[left] + 1) & TABLE
+    return held, value
+
+
+class Column:
+    """An array that grows at its end."""
+
+    def __init__(self, kind: type):
+        self.data, self.size = np.empty(1 << 12, kind), 0
+
+    def append(self, new: np.ndarray) -> None:
+        if self.size + len(new) > len(self.data):
+            wider = np.empty(max(2 * len(self.data), self.size + len(new)), self.data.dtype)
+            wider[: self.size] = self.data[: self.size]
+            self.data = wider
+        self.data[self.size : self.size + len(new)] = new
+        self.size += len(new)
+
+
 class Pieces:
-    """Vocabulary, weights and the lattices of words."""
+    """Vocabulary, weights, and the lattices of the words met."""
 
     def __init__(self, path: str, temperature: float = TEMPERATURE):
         from sentencepiece import SentencePieceProcessor
 
-        model = SentencePieceProcessor(model_file=path)
+        self.model = model = SentencePieceProcessor(model_file=path)
         self.size = model.get_piece_size()
         self.text = [model.id_to_piece(i) for i in range(self.size)]
         self.bytes = {int(self.text[i][3:5], 16): i for i in range(self.size) if model.is_byte(i)}
         self.value = {i: b for b, i in self.bytes.items()}
         self.ids = {self.text[i]: i for i in range(self.size) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))}
-        #: Every prefix of a piece, with the piece's id or -1.
-        self.prefixes = {t[:n]: -1 for t in self.ids for n in range(1, len(t))} | self.ids
         self.weight = [-math.log(i + OFFSET) / temperature for i in range(self.size)]
-        self.words: dict[str, Lattice] = {}
-        self.older: dict[str, Lattice] = {}
-
-    def lattice(self, word: str) -> Lattice:
-        if len(word) > LONGEST:
-            return Lattice(self, word)
-        found = self.words.get(word)
-        if found is None:
-            if len(self.words) >= MOST_WORDS // 2:
-                self.words, self.older = {}, self.words
-            # a word of the older half that is met again moves to the newer one
-            found = self.words[word] = self.older.get(word) or Lattice(self, word)
-        return found
+        self._weights = np.array(self.weight)
+        self._byte_id = np.array([self.bytes[b] for b in range(256)])
+        # The tree of all prefixes of pieces: a hash table from (state, code point) to states, and the states' pieces.
+        states, ends = {"": 0}, {}
+        for text, i in self.ids.items():
+            for n in range(1, len(text) + 1):
+                states.setdefault(text[:n], len(states))
+            ends[states[text]] = i
+        keys = np.array([states[t[:-1]] << int(CODE) | ord(t[-1]) for t in states if t], np.int64)
+        self._keys, self._next = hashed(keys, np.arange(1, len(states)))
+        self._piece = np.array([ends.get(s, -1) for s in range(len(states))])
+        # What each piece stands for, as bytes.
+        self.raws = [bytes([self.value[i]]) if i in self.value else t.replace(MARK, " ").encode() for i, t in enumerate(self.text)]
+        self._raw = np.frombuffer(b"".join(self.raws), np.uint8)
+        self._raw_size = np.array([len(r) for r in self.raws], np.int32)
+        self._raw_at = np.cumsum(self._raw_size, dtype=np.int32) - self._raw_size
+        self.forget()
+
+    def forget(self) -> None:
+        self.words: dict[str, int] = {}
+        self.last, self.uses = np.empty(0, np.int64), np.empty(0, np.int64)  # of each word: its end's node, how often it was met
+        # Of each node: its first edge and their number (0 at a word's start). Edges: the node they come from
+        # (-1 for a word's start), the piece (or -1 - code point), log chance (0 if it is the only one), the sum of chances up to it.
+        self.nodes = {"first": Column(np.int32), "degree": Column(np.int8)}
+        self.ways = {"source": Column(np.int32), "code": Column(np.int32), "chance": Column(np.float64), "upto": Column(np.float64)}
+        self.view()
+
+    def view(self) -> None:
+        for name, column in (self.nodes | self.ways).items():
+            setattr(self, name, column.data[: column.size])
+
+    def keep_frequent(self) -> None:
+        """Drop the words that were met least often, half of all nodes at least."""
+        size = np.fromiter(map(len, self.words), np.int64, len(self.words)) + 1
+        by = np.argsort(-self.uses, kind="stable")
+        kept = np.sort(by[(np.cumsum(size[by]) <= MOST_NODES // 2) & (self.uses[by] > 1)])
+        texts = list(self.words)
+        own = spread(self.last[kept] - size[kept] + 1, size[kept])
+        number = np.zeros(len(self.first), np.int64)
+        number[own] = np.arange(len(own))
+        degree = self.degree[own].astype(np.int64)
+        way = spread(self.first[own].astype(np.int64), degree)
+        nodes = (np.cumsum(degree) - degree, degree)
+        source = self.source[way]
+        ways = (np.where(source < 0, -1, number[source]), self.code[way], self.chance[way], self.upto[way])
+        last, uses = np.cumsum(size[kept]) - 1, self.uses[kept] // 2
+        self.forget()
+        self.words, self.last, self.uses = {texts[w]: i for i, w in enumerate(kept.tolist())}, last, uses
+        self.append(nodes, ways)
+
+    def append(self, nodes: tuple, ways: tuple) -> None:
+        for columns, values in ((self.nodes, nodes), (self.ways, ways)):
+            for column, new in zip(columns.values(), values, strict=True):
+                column.append(new)
+        self.view()
+
+    def learn(self, words: list[str]) -> np.ndarray:
+        """The numbers of these words; unknown ones get their lattices."""
+        if len(self.first) > MOST_NODES:
+            self.keep_frequent()
+        known = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(known < 0)
+        if len(missing):
+            unknown = [words[i] for i in missing.tolist()]
+            fresh = list(set(unknown))
+            base = len(self.last)
+            last, nodes, ways = self.lattices(fresh, len(self.first), len(self.source))
+            self.last = np.concatenate([self.last, last])
+            self.uses = np.concatenate([self.uses, np.zeros(len(fresh), np.int64)])
+            self.append(nodes, ways)
+            self.words.update(zip(fresh, range(base, base + len(fresh)), strict=True))
+            known[missing] = np.fromiter(map(self.words.__getitem__, unknown), np.int64, len(unknown))
+        self.uses += np.bincount(known, minlength=len(self.uses))
+        return known
+
+    def rest(self, edges: np.ndarray) -> np.ndarray:
+        """Log chances that another edge than these is taken at their nodes."""
+        chance = self.chance[edges]
+        return np.where(chance == 0, -np.inf, np.log(np.maximum(-np.expm1(chance), 1e-300)))
+
+    def edges(self, words: list[str]):
+        """(from, to, code, weight) of all edges, in places of the words' characters joined, and where each word begins."""
+        letters = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        shown = np.where(letters == ord(MARK), 0, np.where(letters == 32, ord(MARK), letters))
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.repeat(np.cumsum(sizes), sizes)
+        start, state, n = np.arange(len(letters)), np.zeros(len(letters), np.int64), 0
+        single = np.zeros(len(letters), bool)
+        found = []
+        while len(start):
+            key = state << CODE | shown[start + n]
+            at = slots(key)
+            held = self._keys[at]
+            moved = np.flatnonzero((held != key) & (held >= 0))
+            while len(moved):
+                at[moved] = (at[moved] + 1) & TABLE
+                held[moved] = other = self._keys[at[moved]]
+                moved = moved[(other != key[moved]) & (other >= 0)]
+            go = np.flatnonzero(held == key)
+            start, state, n = start[go], self._next[at[go]], n + 1
+            piece = self._piece[state]
+            full = piece >= 0
+            if n == 1:
+                single[start[full]] = True
+            found.append((start[full], start[full] + n, piece[full], self._weights[piece[full]]))
+            more = start + n < ends[start]
+            start, state = start[more], state[more]
+        spelt = np.flatnonzero(~single)
+        values, which = np.unique(letters[spelt], return_inverse=True)
+        cost = np.array([sum(self.weight[i] for i in self.spell(int(c))) for c in values])
+        found.append((spelt, spelt + 1, -1 - letters[spelt], cost[which] if len(values) else np.empty(0)))
+        return [np.concatenate(c) for c in zip(*found, strict=True)], sizes
+
+    def spell(self, letter: int) -> list[int]:
+        return [self.bytes[b] for b in chr(letter).encode("utf-8", "surrogatepass")]
+
+    def lattices(self, words: list[str], node: int, edge: int):
+        """Ends of words, and the columns of nodes and of edges, numbered from `node` and `edge` on."""
+        (start, end, code, weight), sizes = self.edges(words)
+        begin = np.cumsum(sizes) - sizes
+        owner = np.repeat(np.arange(len(words)), sizes)
+        place = end - begin[owner[start]]
+        # Word w has the nodes begin[w] + w + 0 .. size; edges go by place, so that all words advance together.
+        by = np.argsort((place << np.int64(36)) + (end << np.int64(5)) - (end - start))
+        start, end, code, weight, place = start[by], end[by], code[by], weight[by], place[by]
+        here, source = end + owner[start], start + owner[start]
+        nodes = int(sizes.sum()) + len(words)
+        log = np.zeros(nodes)
+        new = np.flatnonzero(np.diff(here, prepend=-1))  # first edges of nodes, as nodes' edges stand together
+        count = np.diff(new, append=len(here))
+        chance, share = np.empty(len(here)), np.empty(len(here))
+        levels = np.flatnonzero(np.diff(place[new], prepend=0)).tolist() + [len(new)]
+        heads, tops = new.tolist(), here[new]
+        for a, b in zip(levels[:-1], levels[1:], strict=True):
+            lo, hi = heads[a], heads[b] if b < len(heads) else len(here)
+            value = log[source[lo:hi]] + weight[lo:hi]
+            cut = new[a:b] - lo
+            most = np.maximum.reduceat(value, cut)
+            part = np.exp(value - np.repeat(most, count[a:b]))
+            total = np.add.reduceat(part, cut)
+            log[tops[a:b]] = whole = most + np.log(total)
+            chance[lo:hi] = value - np.repeat(whole, count[a:b])
+            share[lo:hi] = part / np.repeat(total, count[a:b])
+        only = np.repeat(count == 1, count)
+        chance = np.where(only, 0.0, np.minimum(chance, -1e-300))
+        share[only] = 1.0
+        # Sums of shares within a node, by their place in it: a node has as many edges as pieces have lengths at most.
+        upto = share.copy()
+        for i in range(1, int(count.max(initial=0))):
+            at = new[count > i] + i
+            upto[at] += upto[at - 1]
+        upto[new + count - 1] = 2.0  # the last edge takes what rounding leaves
+        first, degree = np.zeros(nodes, np.int64), np.zeros(nodes, np.int64)
+        first[here[new]], degree[here[new]] = new + edge, count
+        last = begin + np.arange(len(words)) + sizes + node
+        return last, (first, degree), (np.where(degree[source] == 0, -1, source + node), code, chance, upto)
+
+    def spelling(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of edges in turn, and their number by edge."""
+        count = np.ones(len(codes), np.int64)
+        odd = np.flatnonzero(codes < 0)
+        if not len(odd):
+            return codes, count
+        letters, which = np.unique(-1 - codes[odd], return_inverse=True)
+        spelt = [self.spell(int(c)) for c in letters]
+        size = np.array([len(s) for s in spelt])
+        count[odd] = size[which]
+        flat = np.concatenate([np.array(s) for s in spelt])
+        out = np.repeat(codes, count)
+        begin = np.cumsum(count) - count
+        out[spread(begin[odd], count[odd])] = flat[spread((np.cumsum(size) - size)[which], size[which])]
+        return out, count
+
+    def raw(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes that these pieces stand for."""
+        size = self._raw_size[ids]
+        shift = self._raw_at[ids] - (np.cumsum(size, dtype=np.int32) - size)
+        at = np.repeat(shift, size)
+        at += np.arange(len(at), dtype=np.int32)
+        return self._raw[at]
 
     def decode(self, ids: list[int]) -> str:
         """The text of a segmentation, without the space that encoding puts in front."""
-        raw = b"".join(bytes([self.value[i]]) if i in self.value else self.text[i].replace(MARK, " ").encode() for i in ids)
-        return raw.decode("utf-8", "surrogatepass")[1:]
-
-
-class Lattice:
-    """Edges of one word by where they end, and what a random walk from a place back needs of them."""
-
-    __slots__ = ("log", "size", "steps")
-
-    def __init__(self, pieces: Pieces, word: str):
-        n = self.size = len(word)
-        log = self.log = [-math.inf] * (n + 1)
-        log[0] = 0.0
-        shown = word.replace(MARK, "\0").replace(" ", MARK)
-        table, weight = pieces.prefixes, pieces.weight
-        into: list[list] = [[] for _ in range(n + 1)]
-        for start in range(n):
-            for end in range(start + 1, n + 1):
-                i = table.get(shown[start:end])
-                if i is None:
-                    break
-                if i >= 0:
-                    into[end].append((start, (i,), weight[i]))
-            if table.get(shown[start], -1) < 0:
-                spelt = tuple(pieces.bytes[b] for b in word[start].encode("utf-8", "surrogatepass"))
-                into[start + 1].append((start, spelt, sum([weight[i] for i in spelt])))
-        #: Of each place: the edges into it, their log chances, the sums of their chances, log(1 - chance).
-        self.steps: list[tuple] = [([], [], [], [])]
-        for end in range(1, n + 1):
-            edges = into[end]
-            if len(edges) == 1:
-                log[end] = log[edges[0][0]] + edges[0][2]
-                self.steps.append((edges, ZERO, ONE, NEVER))
-                continue
-            values = [log[s] + w for s, _, w in edges]
-            m = max(values)
-            parts = [math.exp(v - m) for v in values]
-            total = sum(parts)
-            log[end] = whole = m + math.log(total)
-            self.steps.append((edges, [v - whole for v in values], [x / total for x in accumulate(parts)], [math.log(max(1e-300, (total - x) / total)) for x in parts]))
-
-
-ZERO, ONE, NEVER = [0.0], [1.0], [-math.inf]
-
-
-def logsum(values: list[float]) -> float:
-    if len(values) == 1:
-        return values[0]
-    m = max(values)
-    return m + math.log(sum([math.exp(v - m) for v in values])) if m > -math.inf else m
-
-
-class Random:
-    """Uniform numbers in (0, 1) in blocks, from a row's key."""
-
-    def __init__(self, seed: int):
-        self.source, self.block, self.size = np.random.Generator(np.random.SFC64(seed)), iter(()), 64
-
-    def __call__(self) -> float:
-        for u in self.block:
-            return u
-        self.size = min(8192, 4 * self.size)
-        self.block = iter(np.maximum(self.source.random(self.size), 1e-300).tolist())
-        return next(self.block)
-
-    def gumbel_below(self, location: float, top: float) -> float:
-        """A Gumbel number of this location, given that it is below `top`."""
-        if location == -math.inf:
-            return location
-        e = -math.log(self())
-        if top == math.inf:
-            return location - math.log(e)
-        # -log(exp(-(top - location)) + e), shifted by the location
-        a = location - top
-        return top - math.log1p(e * math.exp(-a)) if a > -700 and e * math.exp(-a) < 1e300 else location - math.log(e)
+        return b"".join(map(self.raws.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
+
+    # --- walks ---------------------------------------------------------------------------------
+    def walk(self, nodes: np.ndarray, seeds: np.ndarray):
+        """From each node back to its word's start: the edges, in the order of nodes, and the steps by node."""
+        active, t, taken = np.arange(len(nodes)), 0, []
+        here = nodes
+        while len(active):
+            u = uniform((seeds[active] if t else seeds) + np.uint64((t * STEP) & MASK))
+            pick = self.first[here]
+            open_ = np.flatnonzero(u > self.upto[pick])
+            while len(open_):
+                pick[open_] += 1
+                open_ = open_[u[open_] > self.upto[pick[open_]]]
+            taken.append((active, pick))
+            here = self.source[pick]
+            go = np.flatnonzero(here >= 0)
+            active, here, t = active[go], here[go], t + 1
+        steps = np.zeros(len(nodes), np.int64)
+        for a, _ in taken:
+            steps[a] += 1
+        begin = np.cumsum(steps) - steps
+        edges = np.empty(int(steps.sum()), np.int64)
+        for t, (a, p) in enumerate(taken):
+            edges[begin[a] + t] = p
+        return edges, steps
+
+
+#: Places of a path, from the text's end, that have bounds of their own; those after it share one until it is the best.
+HEAD = 64
+NONE = np.empty(0, np.int64)
+STEP, ITEM, MASK = 0xD1342543DE82EF95, 0x9E3779B97F4A7C15, (1 << 64) - 1
+
+
+def uniform(x: np.ndarray) -> np.ndarray:
+    """Numbers in (0, 1) of hashed words."""
+    bits = mix(x)
+    bits >>= np.uint64(11)
+    out = bits.astype(np.float64)
+    out += 0.5
+    out *= 2.0**-53
+    return out
+
+
+def below(location: np.ndarray, top, u: np.ndarray) -> np.ndarray:
+    """Gumbel numbers of these locations, given that they are below `top`."""
+    e = -np.log(u)
+    with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+        shifted = e * np.exp(np.minimum(top - location, 700.0))
+        out = np.where((top - location < 700) & (shifted < 1e300), top - np.log1p(shifted), location - np.log(e))
+    return np.where(location == -np.inf, -np.inf, out)
+
+
+class Search:
+    """The search of one text: its words' ends from the last to the first, its paths and its frontier."""
+
+    __slots__ = ("frontier", "lasts", "out", "paths", "seed", "ties")
+
+    def __init__(self, lasts: np.ndarray, seed: int):
+        # A path is (edges up to where it left an older one, its own edges, their log sums, its first word, where its words end).
+        self.lasts, self.seed, self.frontier, self.out, self.paths, self.ties = lasts, seed, [], [], [], 0
+
+    def push(self, bound: float, path: int, place: int, gone: tuple) -> None:
+        if bound > -math.inf:
+            heapq.heappush(self.frontier, (-bound, self.ties, path, place, gone))
+            self.ties += 1
+
+    def pop(self, pieces: Pieces, need: int) -> tuple:
+        """The best node, (bound, path, place, edges gone); a node of a whole tail is first parted into those of its places."""
+        while True:
+            value, _, path, place, gone = heapq.heappop(self.frontier)
+            if place >= 0:
+                return -value, path, place, gone
+            _, edges, logs, _, _ = self.paths[path]
+            at = logs[HEAD:] - pieces.chance[edges[HEAD:]] + pieces.rest(edges[HEAD:])
+            u = uniform(mix(np.array([self.seed], np.uint64)) + np.arange(1, len(at) + 2, dtype=np.uint64) * np.uint64(STEP) + np.uint64(path * ITEM & MASK))
+            share = np.cumsum(np.exp(at - at.max()))
+            best = min(int(np.searchsorted(share, u[-1] * share[-1])), len(at) - 1)
+            bounds = below(at, -value, u[:-1])
+            bounds[best] = -value
+            for j in np.argsort(-bounds, kind="stable")[: need + 1].tolist():
+                self.push(float(bounds[j]), path, HEAD + j, (int(edges[HEAD + j]),))
+
+
+def round_of(pieces: Pieces, searches: list[Search], number: int, k: int) -> None:
+    """One more segmentation of each text, from the best node of its frontier."""
+    need = k - number
+    own = mix(np.array([s.seed for s in searches], np.uint64) + np.uint64((number + 1) * ITEM & MASK))
+    begun: list[tuple] = []  # of each text: bound, log chance of the prefix, prefix, first word
+    if not number:
+        begun = [(top, 0.0, NONE, 0) for top in (-np.log(-np.log(uniform(own)))).tolist()]
+        nodes = [s.lasts for s in searches]
+    else:
+        nodes = []
+        chances = uniform(own[:, None] + np.arange(1, 3, dtype=np.uint64) * np.uint64(STEP))
+        for s, u in zip(searches, chances, strict=True):
+            top, path, place, gone = s.pop(pieces, need)
+            before, edges, logs, word, ends = s.paths[path]
+            old = int(edges[place])
+            log = float(logs[place]) - float(pieces.chance[old])
+            # Of the edges that are left at the node one takes its maximum, by chance; the others stay.
+            low = high = old
+            while low and pieces.upto[low - 1] < 1.5:
+                low -= 1
+            while pieces.upto[high] < 1.5:
+                high += 1
+            left = [e for e in range(low, high + 1) if e not in gone]
+            share = np.exp(pieces.chance[left])
+            pick = left[min(int(np.searchsorted(np.cumsum(share), u[0] * share.sum())), len(left) - 1)]
+            if len(left) > 1:
+                others = float(sum(x for e, x in zip(left, share.tolist(), strict=True) if e != pick))
+                s.push(float(below(np.array([log + math.log(max(others, 1e-300))]), top, u[1:])[0]), path, place, (*gone, pick))
+            word += int(np.searchsorted(ends, place, side="right"))
+            at = int(pieces.source[pick])
+            partial = at >= 0
+            nodes.append(np.concatenate([[at], s.lasts[word + 1 :]]) if partial else s.lasts[word + 1 :])
+            begun.append((top, log + float(pieces.chance[pick]), np.concatenate([before, edges[:place], [pick]]), word if partial else word + 1))
+    sizes = np.fromiter(map(len, nodes), np.int64, len(nodes))
+    turn = spread(np.ones(len(nodes), np.int64), sizes).astype(np.uint64)
+    seeds = mix(np.repeat(own, sizes) + turn * np.uint64(ITEM))
+    edges, steps = pieces.walk(np.concatenate(nodes), seeds)
+    chance = pieces.chance[edges]
+    ends = np.cumsum(steps)
+    item = np.concatenate([[0], np.cumsum(sizes)])
+    at = np.concatenate([[0], ends])[item]
+    logs = np.empty(len(edges))
+    for (_, log, _, _), a, b in zip(begun, at[:-1].tolist(), at[1:].tolist(), strict=True):
+        if b > a:
+            np.cumsum(chance[a:b], out=logs[a:b])
+            logs[a:b] += log
+    # Bounds of the ways that leave the path at its first HEAD places, and of all that leave it later.
+    count = np.minimum(np.diff(at), HEAD)
+    near = spread(at[:-1], count)
+    tops, offset = np.array([b[0] for b in begun]), np.concatenate([[0], np.cumsum(count)])
+    place = near - np.repeat(at[:-1], count)
+    bounds = below(logs[near] - chance[near] + pieces.rest(edges[near]), np.repeat(tops, count), uniform(np.repeat(own, count) + (place + 3).astype(np.uint64) * np.uint64(STEP)))
+    long_ = np.flatnonzero(np.diff(at) > HEAD)
+    last, bend = logs[at[1:][long_] - 1], logs[at[:-1][long_] + HEAD - 1]
+    with np.errstate(divide="ignore"):
+        later = below(bend + np.log(-np.expm1(last - bend)), tops[long_], uniform(own[long_] + np.uint64((HEAD + 4) * STEP & MASK)))
+    tails = dict(zip(long_.tolist(), later.tolist(), strict=True))
+    for i, (s, (top, log, prefix, word)) in enumerate(zip(searches, begun, strict=True)):
+        a, b, lo = int(at[i]), int(at[i + 1]), int(offset[i])
+        path = len(s.paths)
+        s.paths.append((prefix, edges[a:b], logs[a:b], word, ends[item[i] : item[i + 1]] - a))
+        s.out.append((path, float(logs[b - 1]) if b > a else log, top))
+        mine = bounds[lo : int(offset[i + 1])]
+        for j in np.argsort(-mine)[:need].tolist():
+            s.push(float(mine[j]), path, j, (int(edges[a + j]),))
+        if i in tails:
+            s.push(tails[i], path, -1, ())
+
+
+def words_of(text: str) -> list[str]:
+    """The words of the text with a space in front, each with its spaces."""
+    if "  " in text or text[0] == " " or text[-1] == " ":
+        return WORD.findall(" " + text)
+    return [" " + w for w in text.split(" ")]
+
+
+def samples(pieces: Pieces, texts: list[str | None], k: int, seeds: list[int]):
+    """Of each text a list of k segmentations at most, best first: (ids, log chance, perturbed log chance, inclusion score)."""
+    out: list[list] = [[(np.empty(0, np.int64), 0.0, 0.0, 1.0)] for _ in texts]
+    full = [i for i, t in enumerate(texts) if t]
+    words = [words_of(texts[i])[::-1] for i in full]
+    if not full:
+        return out
+    size = np.cumsum([0, *map(len, words)])
+    known = pieces.learn([w for own in words for w in own])
+    lasts = pieces.last[known]
+    searches = [Search(lasts[size[j] : size[j + 1]], seeds[i]) for j, i in enumerate(full)]
+    for number in range(k):
+        going = [s for s in searches if not number or s.frontier]
+        if not going:
+            break
+        round_of(pieces, going, number, k)
+    paths = [np.concatenate(s.paths[path][:2])[::-1] for s in searches for path, _, _ in s.out]
+    ids, count = pieces.spelling(pieces.code[np.concatenate(paths)])
+    at = np.concatenate([[0], np.cumsum(count)])[np.cumsum([0, *map(len, paths)])]
+    n = 0
+    for s, i in zip(searches, full, strict=True):
+        while s.frontier and s.frontier[0][3] < 0 and len(s.out) == k:
+            bound, path, place, gone = s.pop(pieces, 1)
+            s.push(bound, path, place, gone)
+        threshold = -s.frontier[0][0] if s.frontier else -math.inf
+        out[i] = []
+        for _, log, value in s.out:
+            score = 1.0 if threshold == -math.inf else -math.expm1(-math.exp(min(700.0, log - threshold)))
+            out[i].append((ids[at[n] : at[n + 1]], log, value, score))
+            n += 1
+    return out
 
 
 def sample(pieces: Pieces, text: str | None, k: int, seed: int) -> list[tuple[list[int], float, float, float]]:
-    """(ids, log chance, perturbed log chance, inclusion score) of k segmentations at most, best first.
-
-    A state is (word, place in it), read from the text's end: a path is picked from the last word to
-    the first and from each word's end to its start, since forward sums then give each step's chance.
-    """
-    if not text:
-        return [([], 0.0, 0.0, 1.0)]
-    words = [pieces.lattice(w) for w in WORD.findall(" " + text)]
-    rng = Random(seed)
-    below_of = rng.gumbel_below
-    # A node: the steps that lead to it (a linked list from the text's end), its state, its log chance,
-    # and the edges there that are handed out already.
-    top = below_of(0.0, math.inf)
-    heap = [(-top, 0, None, len(words) - 1, words[-1].size, 0.0, ())]
-    bounds = [-top]  # of the nodes in the heap, best first
-    ties, out, threshold = 1, [], -math.inf
-    while heap:
-        bound, _, steps, w, place, log, gone = heapq.heappop(heap)
-        del bounds[bisect_left(bounds, bound)]
-        if len(out) == k:
-            threshold = -bound
-            break
-        value, need = -bound, k - len(out)
-        while True:
-            # One edge takes the node's maximum; the others keep what stays below it.
-            edges, chances, sums, rests = words[w].steps[place]
-            if len(edges) - len(gone) == 1:
-                pick = 0 if not gone else next(i for i in range(len(edges)) if i not in gone)
-                # the last way on has all the chance that the node has left
-            else:
-                if gone:
-                    open_edges = [i for i in range(len(edges)) if i not in gone]
-                    left = list(accumulate(math.exp(chances[i]) for i in open_edges))
-                    pick = open_edges[min(bisect_left(left, rng() * left[-1]), len(open_edges) - 1)]
-                    location = log + logsum([chances[i] for i in open_edges if i != pick])
-                else:
-                    pick = min(bisect_left(sums, rng()), len(edges) - 1)
-                    location = log + rests[pick]
-                below = below_of(location, value)
-                # nodes under the best that can still be handed out, and the one after, don't matter
-                if len(bounds) < need or -below < bounds[need - 1]:
-                    heapq.heappush(heap, (-below, ties, steps, w, place, log, (*gone, pick)))
-                    insort(bounds, -below)
-                    ties += 1
-            gone = ()
-            log += chances[pick]
-            place, ids, _ = edges[pick]
-            steps = (ids, steps)
-            while not place and w:
-                w -= 1
-                place = words[w].size
-            if not place:
-                break
-        path: list[int] = []
-        while steps:
-            path += steps[0]
-            steps = steps[1]
-        out.append((path, log, value))
-    score = lambda log: 1.0 if threshold == -math.inf else -math.expm1(-math.exp(min(700.0, log - threshold)))
-    return [(ids, log, value, score(log)) for ids, log, value in out]
+    return [(ids.tolist(), *rest) for ids, *rest in samples(pieces, [text], k, [seed])[0]]
 
 
 @lru_cache(maxsize=2)
@@ -235,28 +502,58 @@ def loaded(path: str, temperature: float) -> Pieces:
 SCHEMA = "sample int, n_pieces int, ids array<int>, log_p double, perturbed double, inclusion double, decoded boolean"
 
 
+def returns(pieces: Pieces, flat: np.ndarray, offsets: np.ndarray, want: list[bytes]) -> np.ndarray:
+    """Whether each segmentation, ids offsets[i] to offsets[i + 1], decodes to the bytes wanted."""
+    sizes = np.concatenate([[0], np.cumsum(pieces._raw_size[flat])])[offsets].tolist()
+    raw = pieces.raw(flat).tobytes()
+    return np.array([raw[a:b] == w for a, b, w in zip(sizes[:-1], sizes[1:], want, strict=True)], bool)
+
+
 def segment(rows: DataFrame, k: int = SAMPLES, path: str | None = None, temperature: float = TEMPERATURE, key: tuple[str, ...] = ("conv_id", "turn")) -> DataFrame:
     """k distinct segmentations of each row's text, and whether each decodes to the text. The columns of `key` are longs."""
     schema = ", ".join([*(f"{c} long" for c in key), SCHEMA])
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
         pieces = loaded(path or model_path(), temperature)
-        names = [x.split()[0] for x in schema.split(", ")]
-        kinds = (*[pa.int64()] * len(key), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.float64(), pa.float64(), pa.float64(), pa.bool_())
         for b in parts(batches, len(key), CHUNK):
-            rows: list[tuple] = []
-            held = 0
-            for *own, text in zip(*(b.column(i).to_pylist() for i in range(len(key) + 1)), strict=True):
-                seed = xxhash.xxh64_intdigest("/".join(map(str, own)))
-                for i, (ids, log, value, score) in enumerate(sample(pieces, text, k, seed)):
-                    rows.append((*own, i + 1, len(ids), ids, log, value, score, pieces.decode(ids) == (text or "")))
-                    held += len(ids)
-                if held > 1 << 18:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(map(list, zip(*rows, strict=True)), kinds, strict=True)], names=names)
-                    rows, held = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(map(list, zip(*rows, strict=True)), kinds, strict=True)], names=names)
+            own = [b.column(i).to_pylist() for i in range(len(key))]
+            texts = b.column(len(key)).to_pylist()
+            seeds = [xxhash.xxh64_intdigest("/".join(map(str, x))) for x in zip(*own, strict=True)]
+            found = samples(pieces, texts, k, seeds)
+            row = np.repeat(np.arange(len(b)), [len(f) for f in found])
+            each = [x for f in found for x in f]
+            ids = np.concatenate([x[0] for x in each])
+            offsets = np.cumsum([0, *(len(x[0]) for x in each)])
+            want = [b" " + utf8(t) if t else b"" for t in texts]
+            columns = [
+                pa.array([i for f in found for i in range(1, len(f) + 1)], pa.int32()), pa.array(np.diff(offsets), pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32())),
+                *(pa.array([x[i] for x in each], pa.float64()) for i in (1, 2, 3)), pa.array(returns(pieces, ids, offsets, [want[i] for i in row.tolist()])),
+            ]
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(pa.array(row)) for i in range(len(key))), *columns], names=names)
 
     # A search costs far more than moving its text: rows are dealt out, so file sizes don't set the number of tasks.
     dealt = small_batches(rows).select(*[F.col(c).cast("long") for c in key], F.col("text").cast("string")).repartition(shuffled(rows.sparkSession), *key, "text")
     return dealt.mapInArrow(run, schema)
+
+
+def encoded(rows: DataFrame, path: str | None = None) -> DataFrame:
+    """The rows with a column `ids`, the model's own segmentation of their texts (null for null), in place of one of that name."""
+
+    @F.pandas_udf("array<int>")
+    def ids(text):
+        model = loaded(path or model_path(), TEMPERATURE).model
+        return text.map(lambda t: None if t is None else model.encode(t))
+
+    return small_batches(rows).withColumn("ids", ids(F.col("text").cast("string")))
+
+
+def decoded(rows: DataFrame, path: str | None = None) -> DataFrame:
+    """The rows with a column `text` that their `ids` stand for (null for null), in place of one of that name."""
+
+    @F.pandas_udf("string")
+    def text(ids):
+        pieces = loaded(path or model_path(), TEMPERATURE)
+        return ids.map(lambda x: None if x is None else pieces.decode(x))
+
+    return rows.withColumn("text", text(F.col("ids").cast("array<int>")))

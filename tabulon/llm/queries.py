@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import anisotropic, audio, ballhash, chat, langid, packing, pieces, quality, rlindex, urlrules
+from tabulon.llm import anisotropic, audio, ballhash, bpe, chat, collocate, langid, packing, pieces, quality, rlindex, urlrules, whiten
 from tabulon.llm.common import table
 
 
@@ -91,10 +91,60 @@ def op10_rlindex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rlindex.digests(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight whitened components of every embedding, fitted on all; unsound vectors take no part."""
+    return whiten.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best phrases of two to four words of each language, counted over all documents."""
+    return collocate.mine(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT lang, [w FOR w IN regexp_split_to_array(piece, '[\x20\x09]+') IF w <> ''] AS ws, count(*) AS m
+  FROM (SELECT coalesce(lang, 'und') AS lang,
+               unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents)
+  GROUP BY lang, piece
+), total AS (
+  SELECT lang, CAST(sum(m * len(ws)) AS BIGINT) AS n FROM pieces GROUP BY lang
+), frequent AS (
+  SELECT lang, size, phrase, CAST(sum(m) AS BIGINT) AS f
+  FROM (SELECT lang, m, size, unnest([array_to_string(ws[i : i + size - 1], ' ') FOR i IN generate_series(1, len(ws) - size + 1)]) AS phrase
+        FROM pieces, (VALUES (1), (2), (3), (4)) AS s(size))
+  GROUP BY lang, size, phrase HAVING sum(m) >= 30
+), cuts AS (
+  SELECT c.lang, c.phrase, c.f AS a, k, x.f AS l, y.f AS r, CAST(2000000::HUGEINT * c.f // (x.f + y.f) AS BIGINT) AS score
+  FROM frequent c, (VALUES (1), (2), (3)) AS t(k), frequent x, frequent y
+  WHERE k < c.size AND x.lang = c.lang AND y.lang = c.lang
+    AND x.phrase = array_to_string(string_split(c.phrase, ' ')[1 : k], ' ') AND y.phrase = array_to_string(string_split(c.phrase, ' ')[k + 1 : c.size], ' ')
+), lowest AS (
+  SELECT lang, phrase, a, l, r, score FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inner_ones AS (
+  SELECT lang, phrase, max(f) AS around
+  FROM (SELECT lang, f, unnest([array_to_string(string_split(phrase, ' ')[i : i + n - 1], ' ') FOR i IN generate_series(1, size - n + 1)]) AS phrase
+        FROM frequent, (VALUES (2), (3)) AS s(n) WHERE n < size)
+  GROUP BY lang, phrase
+), ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score
+  FROM lowest LEFT JOIN inner_ones USING (lang, phrase)
+  WHERE around IS NULL OR 100::HUGEINT * around < 80::HUGEINT * a
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every document's ids and of what they decode to; a null text is empty."""
+    return bpe.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    own = (op1_quality, op2_langid, op3_urlrules, op4_packing, op5_audio, op6_chat, op7_anisotropic, op8_ballhash, op9_pieces, op10_rlindex)
+    own = (op1_quality, op2_langid, op3_urlrules, op4_packing, op5_audio, op6_chat, op7_anisotropic, op8_ballhash, op9_pieces, op10_rlindex, op11_whitening, op12_collocations, op13_bpe)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_urlrules": OP3_SQL}
+    return {"op3_urlrules": OP3_SQL, "op12_collocations": OP12_SQL}

@@ -6,6 +6,7 @@ The formula sheet is made of orders: row = o_orderkey, from 0; column A the key,
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tabulon.address import a1_column, cite_column
@@ -142,6 +143,64 @@ def recompute_values(spark, sf_dir):
     return trace.recompute(sheet(spark, sf_dir), ["Orders"]).filter("outcome = 'differs'").select("row", F.round("num", 6).alias("num"))
 
 
+#: Customers as a lookup table: key in A, nation in B; the last rows of a sheet are left blank.
+LOOKED_UP = "Customers!$A$1:$B$1048576"
+
+
+def lookup_sheets(spark, sf_dir):
+    """Sheet 0, Orders: A the customer's key, B its nation looked up (wrong by one on every 83rd key). Sheet 1, Customers."""
+    o, c = read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer")
+    k = F.col("o_orderkey")
+    none = F.lit(None)
+    number = lambda col, v, f: F.struct(F.lit(col).alias("col"), v.cast("double").alias("num"), f.cast("string").alias("formula"))
+    line = F.concat(F.lit("VLOOKUP(A"), (k + 1).cast("string"), F.lit(f",{LOOKED_UP},2,FALSE)"))
+    joined = o.join(c, F.col("o_custkey") == F.col("c_custkey"), "left")
+    stored = F.col("c_nationkey") + F.when(k % 83 == 0, 1).otherwise(0)
+    one = joined.select(F.lit(0).alias("sheet_id"), k.cast("int").alias("row"), F.explode(F.array(number(0, F.col("o_custkey"), none), number(1, stored, line))).alias("c"))
+    two = c.select(F.lit(1).alias("sheet_id"), F.col("c_custkey").cast("int").alias("row"), F.explode(F.array(number(0, F.col("c_custkey"), none), number(1, F.col("c_nationkey"), none))).alias("c"))
+    text = lambda n: F.lit(None).cast("string").alias(n)
+    return one.unionByName(two).select("sheet_id", "row", "c.col", F.when(F.col("c.num").isNull(), "empty").otherwise("number").alias("kind"), "c.num", text("txt"), F.lit(None).cast("boolean").alias("flag"), text("err"), F.lit(False).alias("is_date"), "c.formula")
+
+
+@query(
+    "recompute_lookups",
+    """SELECT CASE WHEN c_custkey IS NULL OR o_orderkey % 83 = 0 THEN 'differs' ELSE 'agrees' END AS outcome, CASE WHEN c_custkey IS NULL THEN 'error' ELSE 'number' END AS kind, count(*) AS cells, CAST(sum(c_nationkey) AS DOUBLE) AS total
+    FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2""",
+)
+def recompute_lookups(spark, sf_dir):
+    """A lookup filled down all orders, into a table of all customers."""
+    found = trace.recompute(lookup_sheets(spark, sf_dir), ["Orders", "Customers"])
+    return found.groupBy("outcome", "kind").agg(F.count("*").alias("cells"), F.sum("num").alias("total"))
+
+
+def running_sheet(spark, sf_dir):
+    """B whole prices, C their running sum from the first row (wrong by one on every 83rd key)."""
+    o = read(spark, sf_dir, "orders")
+    k, whole_price = F.col("o_orderkey"), F.floor("o_totalprice").cast("double")
+    # Blocks of keys are summed first, so no task holds all rows.
+    block = F.floor(k / 1024)
+    before = o.groupBy(block.alias("block")).agg(F.sum(whole_price).alias("total"))
+    before = before.select("block", F.coalesce(F.sum("total").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("before"))
+    so_far = F.sum(whole_price).over(Window.partitionBy("block").orderBy("o_orderkey")) + F.col("before")
+    stored = o.withColumn("block", block).join(before, "block").select("o_orderkey", whole_price.alias("price"), (so_far + F.when(k % 83 == 0, 1).otherwise(0)).alias("total"))
+    number = lambda col, v, f: F.struct(F.lit(col).alias("col"), v.alias("num"), f.cast("string").alias("formula"))
+    line = F.concat(F.lit("SUM(B$1:B"), (k + 1).cast("string"), F.lit(")"))
+    cells = stored.select(k.cast("int").alias("row"), F.explode(F.array(number(1, F.col("price"), F.lit(None)), number(2, F.col("total"), line))).alias("c"))
+    text = lambda n: F.lit(None).cast("string").alias(n)
+    return cells.select(F.lit(0).alias("sheet_id"), "row", "c.col", F.lit("number").alias("kind"), "c.num", text("txt"), F.lit(None).cast("boolean").alias("flag"), text("err"), F.lit(False).alias("is_date"), "c.formula")
+
+
+@query(
+    "recompute_running_sums",
+    """SELECT outcome, count(*) AS cells, sum(so_far) AS total FROM (
+      SELECT CASE WHEN o_orderkey % 83 = 0 THEN 'differs' ELSE 'agrees' END AS outcome, sum(floor(o_totalprice)) OVER (ORDER BY o_orderkey) AS so_far FROM orders) GROUP BY 1""",
+)
+def recompute_running_sums(spark, sf_dir):
+    """A running sum filled down all orders."""
+    found = trace.recompute(running_sheet(spark, sf_dir), ["Orders"])
+    return found.groupBy("outcome").agg(F.count("*").alias("cells"), F.sum("num").alias("total"))
+
+
 @query("dependents_of_price", "SELECT CAST(o_orderkey AS INT) AS \"row\", 2 AS col FROM orders WHERE o_orderkey BETWEEN 100 AND 119 AND o_orderkey % 89 <> 0")
 def dependents_of_price(spark, sf_dir):
     from tabulon.address import Range

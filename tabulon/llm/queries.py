@@ -102,7 +102,7 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP12_SQL = r"""
-WITH pieces AS (
+WITH pieces AS MATERIALIZED (
   SELECT lang, [w FOR w IN regexp_split_to_array(piece, '[\x20\x09]+') IF w <> ''] AS ws, count(*) AS m
   FROM (SELECT coalesce(lang, 'und') AS lang,
                unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
@@ -110,16 +110,20 @@ WITH pieces AS (
   GROUP BY lang, piece
 ), total AS (
   SELECT lang, CAST(sum(m * len(ws)) AS BIGINT) AS n FROM pieces GROUP BY lang
-), frequent AS (
+), frequent AS MATERIALIZED (
   SELECT lang, size, phrase, CAST(sum(m) AS BIGINT) AS f
   FROM (SELECT lang, m, size, unnest([array_to_string(ws[i : i + size - 1], ' ') FOR i IN generate_series(1, len(ws) - size + 1)]) AS phrase
         FROM pieces, (VALUES (1), (2), (3), (4)) AS s(size))
   GROUP BY lang, size, phrase HAVING sum(m) >= 30
+), requests AS (
+  SELECT lang, phrase, f AS a, k, lang || chr(9) || array_to_string(words[1 : k], ' ') AS head, lang || chr(9) || array_to_string(words[k + 1 : size], ' ') AS rest
+  FROM (SELECT *, string_split(phrase, ' ') AS words FROM frequent), (VALUES (1), (2), (3)) AS t(k)
+  WHERE k < size
+), counts AS (
+  SELECT lang || chr(9) || phrase AS part, f FROM frequent
 ), cuts AS (
-  SELECT c.lang, c.phrase, c.f AS a, k, x.f AS l, y.f AS r, CAST(2000000::HUGEINT * c.f // (x.f + y.f) AS BIGINT) AS score
-  FROM frequent c, (VALUES (1), (2), (3)) AS t(k), frequent x, frequent y
-  WHERE k < c.size AND x.lang = c.lang AND y.lang = c.lang
-    AND x.phrase = array_to_string(string_split(c.phrase, ' ')[1 : k], ' ') AND y.phrase = array_to_string(string_split(c.phrase, ' ')[k + 1 : c.size], ' ')
+  SELECT lang, phrase, a, k, x.f AS l, y.f AS r, CAST(2000000::HUGEINT * a // (x.f + y.f) AS BIGINT) AS score
+  FROM requests JOIN counts x ON x.part = head JOIN counts y ON y.part = rest
 ), lowest AS (
   SELECT lang, phrase, a, l, r, score FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
 ), inner_ones AS (

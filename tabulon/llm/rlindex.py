@@ -285,7 +285,9 @@ def trimmed(docs: DataFrame, length: int = LENGTH, hot: int = HOT, words: int =
     """The documents without the bytes that go; a character that loses a byte goes too. Other columns and null texts stay.
 
     Of runs of repeated bytes only those of more than `words` words go, so `length` may be short."""
-    packed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], F.col("text").isNull().alias("text_is_null")).alias("row"))
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    # A struct of its own around them, so that no input column can have the flag's name.
+    packed = docs.select("doc_id", "text", F.struct(others.alias("others"), F.col("text").isNull().alias("text_is_null")).alias("row"))
 
     @F.pandas_udf("string")
     def rest(text: pd.Series, items: pd.Series) -> pd.Series:
@@ -294,4 +296,4 @@ def trimmed(docs: DataFrame, length: int = LENGTH, hot: int = HOT, words: int =
 
     out = marked(packed, ["row"], length, hot)
     text = F.when(~F.col("row.text_is_null"), F.when(F.col("marks").isNull(), F.col("text")).otherwise(rest("text", "marks")))
-    return out.select(*[(text if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    return out.select(*[(text if c == "text" else F.col(f"row.others.`{c}`")).alias(c) for c in docs.columns])

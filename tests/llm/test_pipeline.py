@@ -87,3 +87,25 @@ def test_a_repeated_passage_of_51_words_goes(spark, sf):
     assert all(out[i] == texts[i] for i in (2, 3, 4))  # 49 words, and what is left of their neighbours, stay
     for i in range(2):
         assert out[i] == texts[i].replace(f" {passage} ", "")
+
+
+def test_stages_on_hard_rows(spark, sf):
+    """Null ids and texts, repeated rows, a very long text, and columns with the names that stages use inside."""
+    rng = np.random.default_rng(11)
+    words = ["the", "river", "house", "old", "garden", "of", "and", "quiet", "morning", "in", "a", "slow", "light"]
+    prose = lambda n: " ".join(rng.choice(words, n)) + "."
+    rows = [(i, prose(80)) for i in range(30)] + [(None, prose(80)), (None, None), (40, None), (41, ""), (42, " \n"), (43, prose(250_000)), (3, "x"), (44, "same " + prose(90))]
+    rows += [(45, rows[-1][1])] * 3
+    extra = ["text_is_null", "others", "row", "k1", "k2", "marks", "h1", "h2", "fp", "score", "id", "count", "votes", "keep"]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), *[f"{c}-{i}" for c in extra]) for i, t in rows], kind)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert all(r[c] == f"{c}-{r['doc_id']}" for r in got for c in extra), name
+        assert name == "quality classifier" or len(got) > 0
+        docs = spark.createDataFrame(got, kind) if name != "quality classifier" else docs  # its scorer has no labels to learn from here
+    trimmed = corpus_pipeline.repeated_passage_stage(spark, spark.createDataFrame([(1, None, "a"), (2, "b", "c")], "doc_id long, text string, text_is_null string"), sf)
+    assert {tuple(r) for r in trimmed.collect()} == {(1, None, "a"), (2, "b", "c")}
+    assert {r["doc_id"] for r in corpus_pipeline.packing_stage(spark, docs, sf).collect()} == {r["doc_id"] for r in docs.collect()}

@@ -181,14 +181,5 @@ def fit(query: DataFrame, regions: DataFrame) -> DataFrame:
     return best.select("q", F.element_at(F.array(*[F.lit(x) for x in ("exact", "inside", "overlaps", "none")]), c("best.place") + 1).alias("fit"), c("best.region").alias("region"))
 
 
-def bucketed(refs: DataFrame, band: int = 64) -> DataFrame:
-    """References by (target, column, band of rows) for overlap joins; tall ones keep band -1 and are joined by column.
-
-    A reference of up to 16 bands is copied to each, so a cell meets only references near it."""
-    first, last = F.floor(F.col("top") / band).cast("int"), F.floor(F.col("bottom") / band).cast("int")
-    bands = F.when(last - first <= 16, F.sequence(first, last)).otherwise(F.array(F.lit(-1)))
-    return refs.withColumn("band", F.explode(bands))
-
-
 def edge_weight_filter(edges: DataFrame, least: int) -> Column:
     return F.col("weight") >= least

@@ -221,17 +221,43 @@ def whatif_level(spark, sf_dir):
 
 @query(
     "whatif_moved",
-    """WITH o AS (SELECT *, o_totalprice * CASE WHEN o_orderkey % 97 = 0 THEN 3 ELSE 2 END + CASE WHEN o_orderkey % 83 = 0 THEN 1 ELSE 0 END AS stored, 1e6 * CASE WHEN o_orderkey % 97 = 0 THEN 3 ELSE 2 END AS fresh FROM orders WHERE o_orderkey < 20 AND o_orderkey % 89 <> 0)
-    SELECT 0 AS sheet_id, CAST(o_orderkey AS INT) AS "row", 2 AS col, 1 AS level, printf('%.1f', fresh) AS "after" FROM o WHERE stored <> fresh
-    UNION ALL SELECT 0, CAST(o_orderkey AS INT), 3, 2, CASE WHEN fresh > 200000 THEN 'high' ELSE 'low' END FROM o WHERE (stored > 200000) <> (fresh > 200000)""",
+    """WITH o AS (SELECT *, o_totalprice * CASE WHEN o_orderkey % 97 = 0 THEN 3 ELSE 2 END + CASE WHEN o_orderkey % 83 = 0 THEN 1 ELSE 0 END AS stored, 1e6 * CASE WHEN o_orderkey % 97 = 0 THEN 3 ELSE 2 END AS fresh FROM orders WHERE o_orderkey % 89 <> 0)
+    SELECT CAST(o_orderkey AS INT) AS "row", 2 AS col, 1 AS level, o_orderkey % 83 = 0 AS was_stale, fresh AS num, NULL AS txt FROM o WHERE stored <> fresh
+    UNION ALL SELECT CAST(o_orderkey AS INT), 3, 2, false, NULL, CASE WHEN fresh > 200000 THEN 'high' ELSE 'low' END FROM o WHERE (stored > 200000) <> (fresh > 200000)""",
 )
 def whatif_moved(spark, sf_dir):
-    """Twenty prices set to a million: the doubles move, and the words that the doubles cross a limit of."""
+    """All prices set to a million: the doubles move, and the words that the doubles cross a limit of."""
     cells = sheet(spark, sf_dir)
     refs = graph.resolved(references_of(cells), spark.createDataFrame([(0, "Orders")], "sheet_id int, name string"))
-    impact = trace.what_if(cells, refs, ["Orders"], {(0, r, 1): 1e6 for r in range(20)})
-    rows = [(*m["cell"], m["level"], str(m["after"])) for m in impact.moved]
-    return spark.createDataFrame(rows, "sheet_id int, row int, col int, level int, after string")
+    changed = cells.filter("col = 1").select("sheet_id", "row", "col", "kind", F.lit(1e6).alias("num"), "txt", "flag", "err")
+    moved, _ = trace.what_if_cells(cells, refs, ["Orders"], changed, max_cells=1 << 40)
+    return moved.filter("verdict = 'moved'").select("row", "col", "level", "was_stale", "after.num", "after.txt")
+
+
+def circles(spark, sf_dir):
+    """B the price, C and D that read each other on every tenth key (else D reads C alone), E that reads D."""
+    o = read(spark, sf_dir, "orders")
+    k, line = F.col("o_orderkey"), (F.col("o_orderkey") + 1).cast("string")
+    put = lambda col, f: F.struct(F.lit(col).alias("col"), F.col("o_totalprice").alias("num"), f.alias("formula"))
+    c = F.when(k % 10 == 0, F.concat(F.lit("B"), line, F.lit("+D"), line)).otherwise(F.concat(F.lit("B"), line, F.lit("+0")))
+    cells = o.select(k.cast("int").alias("row"), F.explode(F.array(put(1, F.lit(None).cast("string")), put(2, c), put(3, F.concat(F.lit("C"), line)), put(4, F.concat(F.lit("D"), line, F.lit("*1"))))).alias("c"))
+    text = lambda n: F.lit(None).cast("string").alias(n)
+    return cells.select(F.lit(0).alias("sheet_id"), "row", "c.col", F.lit("number").alias("kind"), "c.num", text("txt"), F.lit(None).cast("boolean").alias("flag"), text("err"), F.lit(False).alias("is_date"), "c.formula")
+
+
+@query(
+    "whatif_cycle",
+    """SELECT col, CASE WHEN o_orderkey % 10 = 0 THEN 'blocked' WHEN o_totalprice = 5 THEN 'unchanged' ELSE 'moved' END AS verdict,
+           CASE WHEN o_orderkey % 10 <> 0 THEN NULL WHEN col = 4 THEN 'reads a blocked cell' ELSE 'circular reference' END AS reason, count(*) AS cells, min(col - 1) AS level
+    FROM orders, (VALUES (2), (3), (4)) AS t(col) GROUP BY 1, 2, 3""",
+)
+def whatif_cycle(spark, sf_dir):
+    """All prices set to five; circles of two are blocked, and so is what reads them."""
+    cells = circles(spark, sf_dir)
+    refs = graph.resolved(references_of(cells), spark.createDataFrame([(0, "Orders")], "sheet_id int, name string"))
+    changed = cells.filter("col = 1").select("sheet_id", "row", "col", "kind", F.lit(5.0).alias("num"), "txt", "flag", "err")
+    told, _ = trace.what_if_cells(cells, refs, ["Orders"], changed, max_cells=1 << 40)
+    return told.groupBy("col", "verdict", "reason").agg(F.count("*").alias("cells"), F.min("level").alias("level"))
 
 
 @query("schema_infer", "SELECT 0 AS key_left, 'Part' AS table_sheet, 2 AS column, false AS approximate, count(*) AS cells FROM orders")

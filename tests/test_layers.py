@@ -169,7 +169,7 @@ def test_several_large_ranges_in_one_formula(spark):
     w = Workbook(cells, ["S"])
     impact = w.what_if("A5000=0")
     assert {m["cell"][1]: m["after"] for m in impact.moved} == {0: 3 * total - 4999, 2: 4998.0} or {m["cell"][1] for m in impact.moved} == {0, 1, 2}
-    assert w.what_if("A5000=0", max_inputs=100).stopped == "inputs"
+    assert impact.verdicts() == {"moved": 3, "unchanged": 0, "blocked": 0} and impact.stopped == "done"
 
 
 def test_what_if_says_why(spark):

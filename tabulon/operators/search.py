@@ -104,14 +104,18 @@ def filtered(docs: DataFrame, kinds: list[str] | None = None, workbook: str | No
     return docs
 
 
-def lexical(docs: DataFrame, question: str, k: int = 10, fields: dict[str, float] = FIELDS) -> DataFrame:
-    """Documents with their multi-field score times the size weight, best first; ties by document."""
+def lexical(docs: DataFrame, question: str, k: int = 10, fields: dict[str, float] = FIELDS, scores=None) -> DataFrame:
+    """Documents with their multi-field score times the size weight, best first; ties by document.
+
+    `scores` gives the rows of term_scores for a list of terms; a stored index has its own."""
     terms = terms_of(question)
     if not terms:
         return docs.withColumn("score", F.lit(0.0)).limit(0)
     total = sum((F.col(f"s{i}") for i in range(1, len(terms))), F.col("s0"))
-    scored = term_scores(docs, terms, fields).select("doc", (total * F.col("weight")).alias("score"))
-    return scored.filter("score > 0").orderBy(F.desc("score"), "doc").limit(k).join(docs, "doc").orderBy(F.desc("score"), "doc")
+    found = term_scores(docs, terms, fields) if scores is None else scores(terms)
+    key = [c for c in ("workbook_hash", "doc") if c in found.columns]
+    best = found.select(*key, (total * F.col("weight")).alias("score")).filter("score > 0").orderBy(F.desc("score"), *key[::-1]).limit(k)
+    return docs.join(F.broadcast(best), key).orderBy(F.desc("score"), *key[::-1])  # k rows
 
 
 def content_words(question: str) -> list[str]:
@@ -119,7 +123,7 @@ def content_words(question: str) -> list[str]:
     return [w for w in dict.fromkeys(re.split(r"[^\w]+|_", question.lower())) if w and w not in FRAME]
 
 
-def term_hits(docs: DataFrame, question: str, k: int = PROBE, fields: dict[str, float] = FIELDS) -> DataFrame:
+def term_hits(docs: DataFrame, question: str, k: int = PROBE, fields: dict[str, float] = FIELDS, scores=None) -> DataFrame:
     """(word, doc): the top hits of each content word, of one scan for all of them."""
     content = content_words(question)
     each = {w: terms_of(w) for w in content}
@@ -128,7 +132,7 @@ def term_hits(docs: DataFrame, question: str, k: int = PROBE, fields: dict[str,
         return docs.select(F.lit("").alias("word"), "doc").limit(0)
     total = lambda w: sum((F.col(f"s{terms.index(t)}") for t in each[w]), F.lit(0.0))
     probes = F.array(*[F.struct(F.lit(w).alias("word"), (total(w) * F.col("weight")).alias("score")) for w in content])
-    hits = term_scores(docs, terms, fields).select("doc", F.explode(probes).alias("p")).filter("p.score > 0").select("doc", "p.word", "p.score")
+    hits = (term_scores(docs, terms, fields) if scores is None else scores(terms)).select("doc", F.explode(probes).alias("p")).filter("p.score > 0").select("doc", "p.word", "p.score")
     rank = F.row_number().over(Window.partitionBy("word").orderBy(F.desc("score"), "doc"))
     return hits.withColumn("rank", rank).filter(F.col("rank") <= k).select("word", "doc")
 
@@ -197,25 +201,45 @@ def semantic(docs: DataFrame, question: str, embed, k: int = DEPTH) -> DataFrame
 def find(docs: DataFrame, question: str, k: int = 10, embed=None, fields: dict[str, float] = FIELDS, kinds: list[str] | None = None, workbook: str | None = None, sheet: str | None = None) -> tuple[DataFrame, dict]:
     """Hits (doc, score, ..) and how far they carry the question. With an embedder both halves are fused, else words alone.
 
-    No content word, no search; a semantic half that finds nothing or fails leaves the words alone."""
+    No content word, no search; a semantic half that finds nothing or fails leaves the words alone, and `warning` says so."""
     docs = filtered(docs, kinds, workbook, sheet)
-    none = {"content": [], "covered": [], "unmatched": [], "uncertain": [], "verdict": "NoContentWords", "both_halves": False, "corroborated": 0}
+    return answered(docs, question, k, None, (lambda depth: semantic(docs, question, embed, depth)) if embed else None, fields)
+
+
+def find_stored(index, question: str, k: int = 10, embed=None, model: str | None = None, fields: dict[str, float] = FIELDS, kinds: list[str] | None = None, workbook: str | None = None, sheet: str | None = None) -> tuple[DataFrame, dict]:
+    """`find` over a stored index (sources/index.py): only postings of the question's terms, stored vectors and the hits are read."""
+    where = {"kinds": kinds, "workbook": workbook, "sheet": sheet}
+    near = (lambda depth: index.nearest(question, embed, model, depth, **where)) if embed else None
+    return answered(index.documents(**where), question, k, lambda terms: index.scores(terms, fields, **where), near, fields)
+
+
+def answered(docs: DataFrame, question: str, k: int, scores, near, fields: dict[str, float]) -> tuple[DataFrame, dict]:
+    """Words, and what `near` finds for a depth if there is one, fused."""
+    none = {"content": [], "covered": [], "unmatched": [], "uncertain": [], "verdict": "NoContentWords", "both_halves": False, "corroborated": 0, "warning": None}
     if not content_words(question):
         return docs.withColumn("score", F.lit(0.0)).limit(0), none
-    words_half = lexical(docs, question, max(k, DEPTH) if embed else k, fields)
-    hits, both, seen = words_half.limit(k), False, 0
-    if embed:
+    depth = max(k, DEPTH)
+    words_half = lexical(docs, question, depth if near else k, fields, scores)
+    hits, both, seen, warning = words_half.limit(k), False, 0, None
+    if near:
         try:
-            near = semantic(docs, question, embed, max(k, DEPTH)).persist()
-            both = not near.isEmpty()
-        except Exception:  # noqa: BLE001  an embedder that fails, whatever the cause, leaves the lexical half
-            both = False
+            found = near(depth)
+            close = [tuple(r) for r in found.collect()]  # `depth` rows at most
+            both, warning = bool(close), None if close else "no vector is like the question"
+        except Exception as e:  # noqa: BLE001  whatever an embedder fails of, words are left, and the answer says why
+            warning = f"the semantic half failed: {str(e).strip().splitlines()[0] if str(e).strip() else type(e).__name__}"
         if both:
-            fused = fuse([(words_half.select("doc", "score"), LEXICAL), (near, 1.0)], "doc", k, max(k, DEPTH)).join(docs, "doc").orderBy(F.desc("score"), "label", "doc").persist()
-            hits, seen = fused, fused.filter("lists = 2").count()
+            key = [c for c in found.columns if c != "score"]
+            one = F.struct(*key).alias("key")
+            spark = docs.sparkSession
+            halves = [(words_half.select(one, "score"), LEXICAL), (spark.createDataFrame(close, found.schema).select(one, "score"), 1.0)]
+            fused = [(*r["key"], r["score"], r["lists"]) for r in fuse(halves, "key", k, depth).collect()]
+            kind = found.select(*key).schema.add("score", T.DoubleType()).add("lists", T.IntegerType())
+            hits = docs.join(F.broadcast(spark.createDataFrame(fused, kind)), key).orderBy(F.desc("score"), *[c for c in ("label",) if c in docs.columns], *key[::-1])
+            seen = sum(r[-1] == 2 for r in fused)
     top = hits.first()
-    cover = coverage(question, term_hits(docs, question, PROBE, fields), top.doc if top else None)
-    return hits, cover | {"both_halves": both, "corroborated": seen}
+    cover = coverage(question, term_hits(docs, question, PROBE, fields, scores), top.doc if top else None)
+    return hits, cover | {"both_halves": both, "corroborated": seen, "warning": warning}
 
 
 def hashing_embedder(dim: int = 64):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,9 @@ from tabulon.operators.profile import profile, tally
 from tabulon.operators.query import Aggregate as A
 from tabulon.operators.query import Filter, Query, matching, scan_counts
 from tabulon.operators.query import query as ask
+from tabulon.plans.keep import folder
 from tabulon.queries import query
+from tabulon.sources.index import Index
 from tabulon.sources.tables import read, wide
 from tabulon.values import cell, error, shown_column
 
@@ -325,6 +329,47 @@ def lex_find(spark, sf_dir):
     return search.lexical(part_docs(spark, sf_dir), " ".join(FOUND), 25).select("doc", F.round("score", 6).alias("score"))
 
 
+def part_index(spark, sf_dir, embed=None):
+    """The parts as one stored workbook."""
+    index = Index(spark, f"{folder(spark)}/index/{uuid4().hex}")
+    index.put("parts", part_docs(spark, sf_dir).withColumns({"context": F.lit(""), "values": F.array().cast("array<string>"), "categorical": F.lit(False)}), embed, "letters")
+    return index
+
+
+@query("lex_find_stored", found_sql())
+def lex_find_stored(spark, sf_dir):
+    """The same through stored postings."""
+    index = part_index(spark, sf_dir)
+    return search.lexical(index.documents(), " ".join(FOUND), 25, scores=index.scores).select("doc", F.round("score", 6).alias("score"))
+
+
+def letters(text):
+    """A stand-in for an embedding model that SQL can state: how often each of some letters occurs."""
+    return F.array(*[(F.length(text) - F.length(F.replace(text, F.lit(x), F.lit("")))).cast("double") for x in LETTERS])
+
+
+LETTERS = "aeinorst"
+
+
+def letters_sql(text: str) -> str:
+    return "[" + ", ".join(f"CAST(len({text}) - len(replace({text}, '{x}', '')) AS DOUBLE)" for x in LETTERS) + "]"
+
+
+@query(
+    "fused_find_stored",
+    f"""WITH w AS ({found_sql().replace("round(score, 6)", "r.score").replace("LIMIT 25", "LIMIT 50")}), l AS (SELECT doc, row_number() OVER (ORDER BY score DESC, doc) - 1 AS rank FROM w),
+    t AS (SELECT p_partkey AS doc, {letters_sql("concat('column ', p_name, ': ', p_type)")} AS v, {letters_sql("'" + " ".join(FOUND) + "'")} AS q FROM part),
+    d AS (SELECT doc, list_transform(v, lambda x: CAST(x / sqrt(list_dot_product(v, v)) AS FLOAT)) AS v, list_transform(q, lambda x: x / sqrt(list_dot_product(q, q))) AS q FROM t),
+    n AS (SELECT doc, row_number() OVER (ORDER BY {" + ".join(f"CAST(v[{i}] AS DOUBLE) * q[{i}]" for i in range(1, len(LETTERS) + 1))} DESC, doc) - 1 AS rank FROM d QUALIFY rank < 50),
+    u AS (SELECT doc, 2.0 / (60 + rank + 1) AS s FROM l UNION ALL SELECT doc, 1.0 / (60 + rank + 1) FROM n)
+    SELECT doc, round(sum(s), 12) AS score, count(*) AS lists FROM u GROUP BY 1 ORDER BY sum(s) DESC, doc LIMIT 20""",
+)
+def fused_find_stored(spark, sf_dir):
+    """`find` with an embedder, words and vectors both stored."""
+    hits, _ = search.find_stored(part_index(spark, sf_dir, letters), " ".join(FOUND), 20, letters, "letters")
+    return hits.select("doc", F.round("score", 12).alias("score"), F.col("lists").cast("bigint").alias("lists"))
+
+
 @query("lex_find_on_a_sheet", found_sql().replace("FROM part)", "FROM part WHERE p_brand = 'Brand#7')"))
 def lex_find_on_a_sheet(spark, sf_dir):
     docs = search.filtered(part_docs(spark, sf_dir), ["column"], None, "Brand#7")

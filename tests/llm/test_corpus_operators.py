@@ -123,7 +123,7 @@ def check_whitening(rows, got, k=8):
         mine = np.array([table[i][c + 1]["whitened"] for i, _ in rows])
         theirs = plain[:, c] / np.sqrt(values[c])
         assert min(np.abs(mine - theirs).max(), np.abs(mine + theirs).max()) < 1e-6
-        assert abs(table[rows[0][0]][c + 1]["explained"] / (values[c] / np.trace(cov)) - 1) < 1e-9
+        assert abs(table[rows[0][0]][c + 1]["explained"] / (values[c] / np.trace(cov)) - 1) < 1e-7  # the other solver's small eigenvalues are this sure
     for (i, _), d in zip(rows, deviation, strict=True):
         assert all(r["deviation"] == d and r["n"] == n and r["identity_error"] < 1e-4 for r in table[i].values())
     assert len({r["identity_error"] for t in table.values() for r in t.values()}) == 1
@@ -218,10 +218,11 @@ def test_collocations_against_sql(spark, sf):
     assert sorted(map(tuple, queries.op12_collocations(spark, sf).collect())) == sorted(con.sql(queries.oracle_sql()["op12_collocations"]).fetchall())
 
 
-@pytest.mark.parametrize("bits", [27, 3 + 15])
-def test_collocations_brute_force(spark, bits, monkeypatch):
-    """Few words, so that phrases repeat; also with a bitmap so small that phrases share bits."""
-    monkeypatch.setattr(collocate, "BITS", bits)
+@pytest.mark.parametrize("full", [False, True])
+def test_collocations_brute_force(spark, full, monkeypatch):
+    """Few words, so that phrases repeat; also with a bitmap that has every bit, so that nothing is held back."""
+    if full:
+        monkeypatch.setattr(collocate, "bitmap_of", lambda counts: np.full(1 << collocate.BITS >> 3, 255, np.uint8))
     rng = random.Random(9)
     words = ["a", "B", "ca", "é", "日", "x\xa0y", "to", "be"]
     text = lambda: "".join(rng.choice(words) + rng.choice([" ", " ", "  ", "\t", " ", ", ", "\n", "!"]) for _ in range(60))

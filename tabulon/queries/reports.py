@@ -10,7 +10,7 @@ from tabulon.plans import reports
 from tabulon.plans.keep import kept
 from tabulon.queries import query
 from tabulon.queries.graphs import ledger, ledger_graph, ledger_regions
-from tabulon.queries.sheets import KEYED, RUNS, SHAPES, key_cells, sheet
+from tabulon.queries.sheets import KEYED, RUNS, SHAPES, key_cells, price_column, sheet
 from tabulon.queries.tables import FOUND, found_sql, part_docs
 from tabulon.sources.tables import read
 
@@ -86,7 +86,7 @@ def why_not_grouped(spark, sf_dir):
 @query("report_why_unpopulated", "SELECT 'C' || (o_orderkey + 1) AS text, CAST(1 AS BIGINT) AS count, CAST(o_orderkey AS INT) AS first_row FROM orders")
 def why_unpopulated(spark, sf_dir):
     """Only the prices are a region, so every reference to a double lands in none."""
-    regions = spark.createDataFrame([(0, "price", 0, 1, 1_048_575, 1)], "sheet_id int, block string, top int, left int, bottom int, right int")
+    regions = price_column(spark, sf_dir)
     cells = sheet(spark, sf_dir)
     refs = graph.accounted(cells, spark.createDataFrame(*ONE_SHEET), regions)
     none = spark.createDataFrame([], "node string")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.address import a1_column
-from tabulon.functions.text import formula_cells, names_column
+from tabulon.functions.text import formula_cells, names_column, references_of
 from tabulon.operators import graph, structure
 from tabulon.operators.graph import contained, region_node, sheet_node, sourced
 
@@ -70,8 +70,8 @@ def name_node(scope: Column, key: Column) -> Column:
     return F.concat(F.lit("name "), F.coalesce(scope.cast("string"), F.lit("*")), F.lit(":"), key)
 
 
-def build(cells: DataFrame, sheets: DataFrame, regions: DataFrame, names: DataFrame | None = None, path: str = "", groups: bool = True, format: str = "") -> Graph:
-    """All layers of one workbook; without `groups` no formula groups."""
+def build(cells: DataFrame, sheets: DataFrame, regions: DataFrame, names: DataFrame | None = None, path: str = "", groups: bool = True, format: str = "", cut=None) -> Graph:
+    """All layers of one workbook; without `groups` no formula groups. `cut` (a table written and read again) keeps what is read from formulas, so that each is scanned once."""
     spark, c = cells.sparkSession, F.col
     populated = cells.filter("kind <> 'empty' or formula is not null")
     of_sheet = populated.groupBy("sheet_id").agg(F.count("*").alias("cells"))
@@ -88,12 +88,14 @@ def build(cells: DataFrame, sheets: DataFrame, regions: DataFrame, names: DataFr
     nodes.append(names.select(*_node("defined_name", c("node"), F.lit(ROOT), c("scope"), label=c("name"), detail=c("refers_to"))))
 
     formulas = sourced(cells, regions).select("sheet_id", "row", "col", "formula", "source", "owned")
-    references = graph.accounted(cells, sheets, regions)
+    cut = cut or (lambda df: df)
+    refs = cut(graph.resolved(references_of(cells), sheets))
+    references = graph.accounted(cells, sheets, regions, refs)
     external = references.filter("bucket = 'external'").join(formulas.select("sheet_id", "row", "col", "source"), ["sheet_id", "row", "col"])
     book = F.concat(F.lit("book "), c("book"))
     nodes.append(external.select("book").distinct().select(*_node("external_workbook", book, F.lit(ROOT), label=c("book"))))
-    resolved_names = names_of(formulas, sheets, names)
-    edges = [graph.lifted(cells, sheets, regions)]
+    resolved_names = cut(names_of(formulas, sheets, names))
+    edges = [graph.lifted(cells, sheets, regions, refs)]
     edges.append(external.groupBy(c("source").alias("src"), book.alias("dst")).agg(F.count("*").alias("weight")).withColumn("kind", F.lit("CROSS_WORKBOOK_REF")))
     edges.append(resolved_names.filter("target is not null").groupBy(c("source").alias("src"), c("target").alias("dst")).agg(F.count("*").alias("weight")).withColumn("kind", F.lit("REFERENCES_NAME")))
 

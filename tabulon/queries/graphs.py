@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tabulon.functions.text import formula_cells
 from tabulon.operators import graph, layers, structure
-from tabulon.plans.keep import kept
+from tabulon.plans.keep import kept, written
 from tabulon.queries import query
 from tabulon.queries.sheets import RUNS, sheet
 from tabulon.sources.tables import read
@@ -46,7 +46,7 @@ def ledger_regions(spark, sf_dir):
 def ledger_graph(spark, sf_dir):
     names = spark.createDataFrame([("Tax", "Rates!$B$1", None), ("tax", "Rates!$B$2", 1)], "name string, refers_to string, scope int")
     sheets = spark.createDataFrame(SHEETS, "sheet_id int, name string, visible boolean")
-    return layers.build(ledger(spark, sf_dir), sheets, ledger_regions(spark, sf_dir), names, "ledger.xlsx", groups=False, format="xlsx")
+    return layers.build(ledger(spark, sf_dir), sheets, ledger_regions(spark, sf_dir), names, "ledger.xlsx", groups=False, format="xlsx", cut=written)
 
 
 REFERENCES = """(SELECT o_orderkey // 1000 AS b, o_custkey // 100 AS c, o_custkey IN (SELECT c_custkey FROM customer) AS known, CASE WHEN o_orderkey % 5 = 0 THEN 'name' WHEN o_orderkey % 7 = 0 THEN 'book' WHEN o_orderkey % 11 = 0 THEN 'lost' ELSE 'plain' END AS what FROM orders)"""

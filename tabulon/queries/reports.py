@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tabulon.functions.text import formula_cells, references_of
 from tabulon.operators import graph, layers
 from tabulon.plans import reports
-from tabulon.plans.keep import kept
+from tabulon.plans.keep import written
 from tabulon.queries import query
 from tabulon.queries.graphs import ledger, ledger_graph, ledger_regions
 from tabulon.queries.sheets import KEYED, RUNS, SHAPES, key_cells, price_column, sheet
@@ -116,7 +116,9 @@ def semantic_search(spark, sf_dir):
 @query("report_retrieve", "SELECT 'region 0#0' AS node, 'seed' AS role, 0 AS hops UNION ALL SELECT 'sheet 0', 'ancestor', 0 UNION ALL SELECT 'workbook', 'ancestor', 0 UNION ALL SELECT * FROM (SELECT DISTINCT 'region 1#' || (o_custkey // 100), 'input', 1 FROM orders WHERE o_orderkey < 1000) UNION ALL SELECT 'name *:TAX', 'input', 1 UNION ALL SELECT 'sheet 1', 'ancestor', 1")
 def retrieve_report(spark, sf_dir):
     """One hop from the first block of orders: what it reads, and what that stands in."""
-    return reports.retrieve_report(ledger_graph(spark, sf_dir).keep(kept), ["region 0#0"], hops=1, budget=2000).select("node", "role", "hops")
+    g = ledger_graph(spark, sf_dir)
+    g.nodes, g.edges = written(g.nodes), written(g.edges)  # the walk reads no others
+    return reports.retrieve_report(g, ["region 0#0"], hops=1, budget=2000).select("node", "role", "hops")
 
 
 @query("report_trace", f"SELECT 0 AS sheet_id, 0 AS target, CAST(sum(cells) AS BIGINT) AS cells, count(*) AS groups FROM {RUNS}")

@@ -304,13 +304,15 @@ def merged_cells(spark, sf_dir):
 def keys_graph(spark, sf_dir):
     """Tables as a graph of keys: an edge from each row to what it names, weight the count of references."""
     node = lambda t, c: F.concat(F.lit(f"{t}:"), F.col(c).cast("string"))
+    # Edges are counted by their numbers before these become texts; tables have no edge in common.
+    counted = lambda table, a, b: read(spark, sf_dir, table).groupBy(a, b).agg(F.count("*").alias("weight"))
     parts = [("customer", "c_nationkey", "c", "n", "c_custkey"), ("orders", "o_custkey", "o", "c", "o_orderkey"), ("nation", "n_regionkey", "n", "r", "n_nationkey")]
     out = None
     for table, to, a, b, key in parts:
-        e = read(spark, sf_dir, table).select(node(a, key).alias("src"), node(b, to).alias("dst"), F.lit("DEPENDS_ON").alias("kind"))
+        e = counted(table, key, to).select(node(a, key).alias("src"), node(b, to).alias("dst"), F.lit("DEPENDS_ON").alias("kind"), "weight")
         out = e if out is None else out.unionByName(e)
-    lines = read(spark, sf_dir, "lineitem").select(node("o", "l_orderkey").alias("src"), node("s", "l_suppkey").alias("dst"), F.lit("CROSS_SHEET_REF").alias("kind"))
-    return out.unionByName(lines).groupBy("src", "dst", "kind").agg(F.count("*").alias("weight"))
+    lines = counted("lineitem", "l_orderkey", "l_suppkey").select(node("o", "l_orderkey").alias("src"), node("s", "l_suppkey").alias("dst"), F.lit("CROSS_SHEET_REF").alias("kind"), "weight")
+    return out.unionByName(lines)
 
 
 KEYS = """(SELECT src, dst, kind, count(*) AS weight FROM (

@@ -794,7 +794,8 @@ def looked_up(rows: DataFrame, cells: DataFrame, programs: list[Program], fetche
         rows = rows.withColumn("doubt", F.expr(f"coalesce(key.doubt OR {pattern} OR {by_order} OR {fuzzy} OR {among(messy)}, false)"))
         # Rows without this lookup, and rows in doubt, have no key to be dealt by; they are spread by their salt.
         rows = rows.withColumn("canon", F.expr(f"CASE WHEN NOT doubt AND {among(exact)} THEN {canon(key)} END")).withColumn("salt", F.pmod(F.hash(*PLACE), F.lit(SALTS)))
-        rows = rows.join(index, ["table", "canon", "salt"], "left") if exact else rows.withColumn("hit", F.lit(None).cast(VALUE))
+        # Salted copies are many times what Spark takes the index for, so it is not left to be broadcast.
+        rows = rows.join(index.hint("merge"), ["table", "canon", "salt"], "left") if exact else rows.withColumn("hit", F.lit(None).cast(VALUE))
         for t in sorted({t for _, t, _ in mine if t in loose}):
             rows = approximately(rows, held.filter(F.col("table") == t), t, tables[t])
         miss = pick(("key.kind = 'error'", val("error", "key.err")), other=val("error", "'#N/A'")).text
@@ -823,7 +824,7 @@ def approximately(rows: DataFrame, held: DataFrame, number: int, table: Lookup)
         rows = others.unionByName(_as_of(rows.filter(mine), probe, steps.select("num", F.col("place").cast("long").alias("place")), below).withColumn("place", F.col("place").cast("int")))
     value = (val("number", "place + 1") if table.value is None else of_cell("`value`")).text
     hits = held.select("place", F.expr(value).alias("near_hit"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    met = rows.withColumn("mine", mine).join(hits, ["place", "salt"], "left")
+    met = rows.withColumn("mine", mine).join(hits.hint("merge"), ["place", "salt"], "left")
     return met.withColumn("hit", F.coalesce(F.when(F.col("mine"), F.col("near_hit")), F.col("hit"))).drop("place", "near_hit", "mine")
 
 

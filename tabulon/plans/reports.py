@@ -100,7 +100,8 @@ def why_not_grouped(cells: DataFrame) -> DataFrame:
     single = structure.groups(shaped).filter("cells = 1").select("sheet_id", F.col("top").alias("row"), F.col("left").alias("col"))
     next_to = (F.col("up") == F.col("row") - 1) | (F.col("down") == F.col("row") + 1)
     reason = F.when(~F.coalesce(next_to, F.lit(False)), "no formula next to it").otherwise("neighbours have other shapes")
-    return near.join(single, ["sheet_id", "row", "col"]).select("sheet_id", "row", "col", "formula", "shape", "above", "below", reason.alias("reason"))
+    # Cells exploded from a table's rows are many times what Spark takes them for, so neither side is left to be broadcast.
+    return near.join(single.hint("merge"), ["sheet_id", "row", "col"]).select("sheet_id", "row", "col", "formula", "shape", "above", "below", reason.alias("reason"))
 
 
 # --- the graph ---------------------------------------------------------------------------------

@@ -228,3 +228,12 @@ def test_reports(debtors, spark, tmp_path):
     (row,) = reports.corpus_report(corpus).collect()
     assert row["cells"] == debtors.cells.count() and row["edges"] == g.edges.count()
     assert reports.dump_cells(debtors.cells, debtors.sheet_table, 1).first()["cite"] == "Debtors!A1"
+
+
+def test_lone_formulas_are_not_broadcast(spark):
+    """Explosions are left out of Spark's estimates: what looks small may not fit the driver."""
+    text = F.when(F.col("id") == 2, "B3*3").when(F.col("id") != 4, F.concat(F.lit("B"), (F.col("id") + 1).cast("string"), F.lit("*2")))
+    cells = spark.range(6).select(F.lit(0).alias("sheet_id"), F.col("id").cast("int").alias("row"), F.lit(2).alias("col"), text.alias("formula"))
+    got = reports.why_not_grouped(cells)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.row, r.reason) for r in got.collect()) == [(2, "neighbours have other shapes"), (3, "neighbours have other shapes"), (5, "no formula next to it")]

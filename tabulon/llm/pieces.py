@@ -9,8 +9,9 @@ together with the edges there that are handed out already; its bound is the maxi
 log chances below it, drawn top-down from its parent's, so the search is exact.
 
 Pieces do not cross the start of a word (a run of spaces and what follows it), so the lattice of a
-text is a chain of small ones, each kept per distinct word with its forward log sums. The search of
-all texts of a batch goes in rounds: a round takes the best node of each text, walks the rest of its
+text is a chain of small ones. What leads to a place in a word depends on the characters before it
+alone, so words share the places of their common beginnings, in a tree that is kept with its forward
+log sums. The search of all texts of a batch goes in rounds: a round takes the best node of each text, walks the rest of its
 path through all words of all texts at once, and bounds the ways that the walk passes by. Ways that
 leave the path after its first HEAD places are one node with their summed chance, which is parted
 into its places only if it becomes the best.
@@ -32,9 +33,7 @@ from __future__ import annotations
 
 import heapq
 import math
-import re
 from functools import lru_cache
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -42,19 +41,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import mix, parts, shuffled, small_batches, utf8
+from tabulon.llm.common import joined, mix, parts, shuffled, small_batches, utf8
 
 SAMPLES = 3
 TEMPERATURE = 3.0
 OFFSET = 100
 MARK = "▁"
-#: Bytes of texts that are sampled together, and nodes of word lattices that a worker remembers.
-CHUNK, MOST_NODES = 1 << 19, 2_000_000
-WORD = re.compile(" *[^ ]+| +")
-#: Bits of a code point in the keys of the vocabulary's tree.
+#: Bytes of texts that are sampled together, and places of words that a worker remembers.
+CHUNK, MOST_NODES = 1 << 19, 1_000_000
+#: Bits of a code point in the keys of trees.
 CODE = np.int64(21)
-#: Slots of the hash table of that tree, less one; some 90,000 are used.
-TABLE = (1 << 19) - 1
+#: Places of words that are looked for among the places of other words.
+SHARED = 48
 
 
 def model_path() -> str:
@@ -69,21 +67,42 @@ def spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(start - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def slots(keys: np.ndarray) -> np.ndarray:
-    return ((keys * np.int64(0x9E3779B97F4A7C15 - (1 << 64))) >> np.int64(40)) & TABLE
-
-
-def hashed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash table with linear probing, as two columns; empty slots have the key -1."""
-    held, value = np.full(TABLE + 1, -1), np.zeros(TABLE + 1, np.int32)
-    at = slots(keys)
-    while len(keys):
-        free = np.flatnonzero(held[at] < 0)
-        held[at[free]] = keys[free]  # of several for one slot one stays
-        value[at[free]] = values[free]
-        left = held[at] != keys
-        keys, values, at = keys[left], values[left], (at[left] + 1) & TABLE
-    return held, value
+class Table:
+    """A hash table of numbers with linear probing; empty slots have the key -1."""
+
+    def __init__(self, bits: int = 12):
+        self.bits, self.size = bits, 0
+        self.keys, self.values = np.full(1 << bits, -1), np.zeros(1 << bits, np.int32)
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The values of these keys, or -1."""
+        at, last = self.slots(keys), len(self.keys) - 1
+        held = self.keys[at]
+        moved = np.flatnonzero((held != keys) & (held >= 0))
+        while len(moved):
+            at[moved] = (at[moved] + 1) & last
+            held[moved] = other = self.keys[at[moved]]
+            moved = moved[(other != keys[moved]) & (other >= 0)]
+        return np.where(held == keys, self.values[at], -1)
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Different keys that the table doesn't hold yet."""
+        if 2 * (self.size + len(keys)) > len(self.keys):
+            held = np.flatnonzero(self.keys >= 0)
+            keys, values = np.concatenate([self.keys[held], keys]), np.concatenate([self.values[held], values])
+            self.__init__((2 * len(keys)).bit_length())
+        self.size += len(keys)
+        at = self.slots(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[at] < 0)
+            self.keys[at[free]] = keys[free]  # of several for one slot one stays
+            won = self.keys[at] == keys
+            self.values[at[won]] = values[won]
+            left = np.flatnonzero(~won)
+            keys, values, at = keys[left], values[left], (at[left] + 1) & (len(self.keys) - 1)
 
 
 class Column:
@@ -102,7 +121,7 @@ class Column:
 
 
 class Pieces:
-    """Vocabulary, weights, and the lattices of the words met."""
+    """Vocabulary, weights, and the lattices of the words met, which share their beginnings."""
 
     def __init__(self, path: str, temperature: float = TEMPERATURE):
         from sentencepiece import SentencePieceProcessor
@@ -116,160 +135,170 @@ class Pieces:
         self.weight = [-math.log(i + OFFSET) / temperature for i in range(self.size)]
         self._weights = np.array(self.weight)
         self._byte_id = np.array([self.bytes[b] for b in range(256)])
-        # The tree of all prefixes of pieces: a hash table from (state, code point) to states, and the states' pieces.
+        # The tree of all ends of pieces, read backwards: from (state, code point) to states, and the states' pieces.
         states, ends = {"": 0}, {}
         for text, i in self.ids.items():
             for n in range(1, len(text) + 1):
-                states.setdefault(text[:n], len(states))
-            ends[states[text]] = i
-        keys = np.array([states[t[:-1]] << int(CODE) | ord(t[-1]) for t in states if t], np.int64)
-        self._keys, self._next = hashed(keys, np.arange(1, len(states)))
+                states.setdefault(text[::-1][:n], len(states))
+            ends[states[text[::-1]]] = i
+        self._ends = Table()
+        self._ends.add(np.array([states[t[:-1]] << int(CODE) | ord(t[-1]) for t in states if t], np.int64), np.arange(1, len(states)))
         self._piece = np.array([ends.get(s, -1) for s in range(len(states))])
         # What each piece stands for, as bytes.
         self.raws = [bytes([self.value[i]]) if i in self.value else t.replace(MARK, " ").encode() for i, t in enumerate(self.text)]
-        self._raw = np.frombuffer(b"".join(self.raws), np.uint8)
-        self._raw_size = np.array([len(r) for r in self.raws], np.int32)
-        self._raw_at = np.cumsum(self._raw_size, dtype=np.int32) - self._raw_size
+        self._raw = pa.array(self.raws, pa.large_binary())
         self.forget()
 
     def forget(self) -> None:
-        self.words: dict[str, int] = {}
-        self.last, self.uses = np.empty(0, np.int64), np.empty(0, np.int64)  # of each word: its end's node, how often it was met
-        # Of each node: its first edge and their number (0 at a word's start). Edges: the node they come from
-        # (-1 for a word's start), the piece (or -1 - code point), log chance (0 if it is the only one), the sum of chances up to it.
-        self.nodes = {"first": Column(np.int32), "degree": Column(np.int8)}
+        # The tree of the beginnings of words: a node's number is above its parent's, 0 is a word's start. The table has
+        # nodes by parent and code point. A node's edges are those that end there, whatever follows: words share them.
+        self.tree = Table()
+        # Of each node: parent, code point, in how many batches it was met, log sum of its ways, its first edge and their number.
+        self.nodes = {"parent": Column(np.int32), "letter": Column(np.int32), "uses": Column(np.int32), "log": Column(np.float64), "first": Column(np.int32), "degree": Column(np.int8)}
+        # Edges: the node they come from (-1 for a word's start), the piece (or -1 - code point), log chance (0 if it is the only one), the sum of chances up to it.
         self.ways = {"source": Column(np.int32), "code": Column(np.int32), "chance": Column(np.float64), "upto": Column(np.float64)}
-        self.view()
+        self.append(self.nodes, ([-1], [0], [1 << 30], [0.0], [0], [0]))
+        self.append(self.ways, ([], [], [], []))
 
-    def view(self) -> None:
-        for name, column in (self.nodes | self.ways).items():
+    def append(self, columns: dict[str, Column], values: tuple) -> None:
+        for (name, column), new in zip(columns.items(), values, strict=True):
+            column.append(np.asarray(new))
             setattr(self, name, column.data[: column.size])
 
     def keep_frequent(self) -> None:
-        """Drop the words that were met least often, half of all nodes at least."""
-        size = np.fromiter(map(len, self.words), np.int64, len(self.words)) + 1
-        by = np.argsort(-self.uses, kind="stable")
-        kept = np.sort(by[(np.cumsum(size[by]) <= MOST_NODES // 2) & (self.uses[by] > 1)])
-        texts = list(self.words)
-        own = spread(self.last[kept] - size[kept] + 1, size[kept])
+        """Drop the nodes that were met least often, half of all at least. A parent is met as often as its children, and precedes them."""
+        by = np.argsort(-self.uses, kind="stable")[: max(1, MOST_NODES // 2)]
+        own = np.sort(by[self.uses[by] > 1])
         number = np.zeros(len(self.first), np.int64)
         number[own] = np.arange(len(own))
         degree = self.degree[own].astype(np.int64)
         way = spread(self.first[own].astype(np.int64), degree)
-        nodes = (np.cumsum(degree) - degree, degree)
+        parent, letter = number[self.parent[own[1:]]], self.letter[own[1:]]
+        nodes = (parent, letter, self.uses[own[1:]] // 2, self.log[own[1:]], (np.cumsum(degree) - degree)[1:], degree[1:])
         source = self.source[way]
         ways = (np.where(source < 0, -1, number[source]), self.code[way], self.chance[way], self.upto[way])
-        last, uses = np.cumsum(size[kept]) - 1, self.uses[kept] // 2
         self.forget()
-        self.words, self.last, self.uses = {texts[w]: i for i, w in enumerate(kept.tolist())}, last, uses
-        self.append(nodes, ways)
-
-    def append(self, nodes: tuple, ways: tuple) -> None:
-        for columns, values in ((self.nodes, nodes), (self.ways, ways)):
-            for column, new in zip(columns.values(), values, strict=True):
-                column.append(new)
-        self.view()
+        self.append(self.nodes, nodes)
+        self.append(self.ways, ways)
+        self.tree.add(parent << CODE | letter, np.arange(1, len(own)))
 
-    def learn(self, words: list[str]) -> np.ndarray:
-        """The numbers of these words; unknown ones get their lattices."""
+    def learn(self, letters: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The end nodes of words, given the code points of all and their numbers; new nodes get their edges."""
         if len(self.first) > MOST_NODES:
             self.keep_frequent()
-        known = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
-        missing = np.flatnonzero(known < 0)
-        if len(missing):
-            unknown = [words[i] for i in missing.tolist()]
-            fresh = list(set(unknown))
-            base = len(self.last)
-            last, nodes, ways = self.lattices(fresh, len(self.first), len(self.source))
-            self.last = np.concatenate([self.last, last])
-            self.uses = np.concatenate([self.uses, np.zeros(len(fresh), np.int64)])
-            self.append(nodes, ways)
-            self.words.update(zip(fresh, range(base, base + len(fresh)), strict=True))
-            known[missing] = np.fromiter(map(self.words.__getitem__, unknown), np.int64, len(unknown))
-        self.uses += np.bincount(known, minlength=len(self.uses))
-        return known
+        old, begin = len(self.first), np.cumsum(sizes) - sizes
+        out, here, active, levels = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64), np.arange(len(sizes)), [old]
+        for place in range(SHARED):
+            keys = here << CODE | letters[begin[active] + place]
+            here = self.tree.find(keys).astype(np.int64)
+            missing = np.flatnonzero(here < 0)
+            if len(missing):
+                fresh, which = np.unique(keys[missing], return_inverse=True)
+                here[missing] = len(self.parent) + which
+                self.tree.add(fresh, len(self.parent) + np.arange(len(fresh)))
+                self.begin(fresh >> CODE, fresh & ((1 << CODE) - 1))
+                levels.append(len(self.parent))
+            self.uses[here] += 1
+            out[active] = here
+            go = np.flatnonzero(sizes[active] > place + 1)
+            active, here = active[go], here[go]
+            if not len(active):
+                break
+        else:
+            # What follows in longer words is not shared: nodes of its own, by place, so that all advance together.
+            rest = sizes[active] - SHARED
+            ends = np.cumsum(rest)
+            place = np.arange(ends[-1]) - np.repeat(ends - rest, rest)
+            own = np.empty(len(place), np.int64)
+            by = np.argsort(place, kind="stable")
+            own[by] = len(self.parent) + np.arange(len(by))
+            parent = np.concatenate([[0], own[:-1]])
+            parent[ends - rest] = here
+            out[active] = own[ends - 1]
+            levels += (len(self.parent) + np.cumsum(np.bincount(place))).tolist()
+            self.begin(parent[by], letters[spread(begin[active] + SHARED, rest)][by])
+            self.uses[int(own.min()) :] = 1
+        if len(self.parent) > old:
+            self.grow(old, levels)
+        return out
+
+    def begin(self, parent: np.ndarray, letter: np.ndarray) -> None:
+        """New nodes, which have no edges yet."""
+        for name, new in (("parent", parent), ("letter", letter), ("uses", np.zeros(len(parent)))):
+            self.append({name: self.nodes[name]}, (new,))
 
     def rest(self, edges: np.ndarray) -> np.ndarray:
         """Log chances that another edge than these is taken at their nodes."""
         chance = self.chance[edges]
         return np.where(chance == 0, -np.inf, np.log(np.maximum(-np.expm1(chance), 1e-300)))
 
-    def edges(self, words: list[str]):
-        """(from, to, code, weight) of all edges, in places of the words' characters joined, and where each word begins."""
-        letters = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        shown = np.where(letters == ord(MARK), 0, np.where(letters == 32, ord(MARK), letters))
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.repeat(np.cumsum(sizes), sizes)
-        start, state, n = np.arange(len(letters)), np.zeros(len(letters), np.int64), 0
-        single = np.zeros(len(letters), bool)
+    def edges(self, old: int):
+        """(from, to, code, weight) of all edges that end at the nodes from `old` on; the edges of a node have falling lengths."""
+        end = here = np.arange(old, len(self.parent))
+        state = np.zeros(len(end), np.int64)
+        single = np.zeros(len(end), bool)
         found = []
-        while len(start):
-            key = state << CODE | shown[start + n]
-            at = slots(key)
-            held = self._keys[at]
-            moved = np.flatnonzero((held != key) & (held >= 0))
-            while len(moved):
-                at[moved] = (at[moved] + 1) & TABLE
-                held[moved] = other = self._keys[at[moved]]
-                moved = moved[(other != key[moved]) & (other >= 0)]
-            go = np.flatnonzero(held == key)
-            start, state, n = start[go], self._next[at[go]], n + 1
+        while len(end):
+            letter = self.letter[here]
+            shown = np.where(letter == ord(MARK), 0, np.where(letter == 32, ord(MARK), letter))
+            state = self._ends.find(state << CODE | shown)
+            go = np.flatnonzero(state >= 0)
+            end, here, state = end[go], self.parent[here[go]], state[go].astype(np.int64)
             piece = self._piece[state]
-            full = piece >= 0
-            if n == 1:
-                single[start[full]] = True
-            found.append((start[full], start[full] + n, piece[full], self._weights[piece[full]]))
-            more = start + n < ends[start]
-            start, state = start[more], state[more]
-        spelt = np.flatnonzero(~single)
-        values, which = np.unique(letters[spelt], return_inverse=True)
+            full = np.flatnonzero(piece >= 0)
+            if not found:
+                single[end[full] - old] = True
+            found.append((here[full], end[full], piece[full], self._weights[piece[full]]))
+            more = np.flatnonzero(here > 0)
+            end, here, state = end[more], here[more], state[more]
+        spelt = np.flatnonzero(~single) + old
+        values, which = np.unique(self.letter[spelt], return_inverse=True)
         cost = np.array([sum(self.weight[i] for i in self.spell(int(c))) for c in values])
-        found.append((spelt, spelt + 1, -1 - letters[spelt], cost[which] if len(values) else np.empty(0)))
-        return [np.concatenate(c) for c in zip(*found, strict=True)], sizes
+        found.insert(0, (self.parent[spelt], spelt, -1 - self.letter[spelt], cost[which] if len(values) else np.empty(0)))
+        count = np.zeros(len(self.parent) - old, np.int64)
+        for _, end, _, _ in found:
+            count[end - old] += 1
+        free = np.cumsum(count) - count
+        out = [np.empty(int(count.sum()), c.dtype) for c in (*found[0][:3], self._weights)]
+        for columns in reversed(found):
+            at = free[columns[1] - old]
+            free[columns[1] - old] += 1
+            for o, column in zip(out, columns, strict=True):
+                o[at] = column
+        return out, count
 
     def spell(self, letter: int) -> list[int]:
         return [self.bytes[b] for b in chr(letter).encode("utf-8", "surrogatepass")]
 
-    def lattices(self, words: list[str], node: int, edge: int):
-        """Ends of words, and the columns of nodes and of edges, numbered from `node` and `edge` on."""
-        (start, end, code, weight), sizes = self.edges(words)
-        begin = np.cumsum(sizes) - sizes
-        owner = np.repeat(np.arange(len(words)), sizes)
-        place = end - begin[owner[start]]
-        # Word w has the nodes begin[w] + w + 0 .. size; edges go by place, so that all words advance together.
-        by = np.argsort((place << np.int64(36)) + (end << np.int64(5)) - (end - start))
-        start, end, code, weight, place = start[by], end[by], code[by], weight[by], place[by]
-        here, source = end + owner[start], start + owner[start]
-        nodes = int(sizes.sum()) + len(words)
-        log = np.zeros(nodes)
-        new = np.flatnonzero(np.diff(here, prepend=-1))  # first edges of nodes, as nodes' edges stand together
-        count = np.diff(new, append=len(here))
-        chance, share = np.empty(len(here)), np.empty(len(here))
-        levels = np.flatnonzero(np.diff(place[new], prepend=0)).tolist() + [len(new)]
-        heads, tops = new.tolist(), here[new]
+    def grow(self, old: int, levels: list[int]) -> None:
+        """The edges of the nodes from `old` on. Nodes go by place, so that all words advance together: levels[i] to levels[i + 1]."""
+        (source, _, code, weight), count = self.edges(old)
+        new = np.cumsum(count) - count  # first edges of nodes
+        self.append({"log": self.nodes["log"]}, (np.zeros(len(count)),))
+        chance, share = np.empty(len(source)), np.empty(len(source))
+        heads = [*new.tolist(), len(source)]
         for a, b in zip(levels[:-1], levels[1:], strict=True):
-            lo, hi = heads[a], heads[b] if b < len(heads) else len(here)
-            value = log[source[lo:hi]] + weight[lo:hi]
-            cut = new[a:b] - lo
+            lo, hi = heads[a - old], heads[b - old]
+            value = self.log[source[lo:hi]] + weight[lo:hi]
+            cut, times = new[a - old : b - old] - lo, count[a - old : b - old]
             most = np.maximum.reduceat(value, cut)
-            part = np.exp(value - np.repeat(most, count[a:b]))
+            part = np.exp(value - np.repeat(most, times))
             total = np.add.reduceat(part, cut)
-            log[tops[a:b]] = whole = most + np.log(total)
-            chance[lo:hi] = value - np.repeat(whole, count[a:b])
-            share[lo:hi] = part / np.repeat(total, count[a:b])
+            self.log[a:b] = whole = most + np.log(total)
+            chance[lo:hi] = value - np.repeat(whole, times)
+            share[lo:hi] = part / np.repeat(total, times)
         only = np.repeat(count == 1, count)
         chance = np.where(only, 0.0, np.minimum(chance, -1e-300))
         share[only] = 1.0
         # Sums of shares within a node, by their place in it: a node has as many edges as pieces have lengths at most.
-        upto = share.copy()
+        upto = share
         for i in range(1, int(count.max(initial=0))):
             at = new[count > i] + i
             upto[at] += upto[at - 1]
         upto[new + count - 1] = 2.0  # the last edge takes what rounding leaves
-        first, degree = np.zeros(nodes, np.int64), np.zeros(nodes, np.int64)
-        first[here[new]], degree[here[new]] = new + edge, count
-        last = begin + np.arange(len(words)) + sizes + node
-        return last, (first, degree), (np.where(degree[source] == 0, -1, source + node), code, chance, upto)
+        for name, column in (("first", new + len(self.source)), ("degree", count)):
+            self.append({name: self.nodes[name]}, (column,))
+        self.append(self.ways, (np.where(source == 0, -1, source), code, chance, upto))
 
     def spelling(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of edges in turn, and their number by edge."""
@@ -287,14 +316,6 @@ class Pieces:
         out[spread(begin[odd], count[odd])] = flat[spread((np.cumsum(size) - size)[which], size[which])]
         return out, count
 
-    def raw(self, ids: np.ndarray) -> np.ndarray:
-        """The bytes that these pieces stand for."""
-        size = self._raw_size[ids]
-        shift = self._raw_at[ids] - (np.cumsum(size, dtype=np.int32) - size)
-        at = np.repeat(shift, size)
-        at += np.arange(len(at), dtype=np.int32)
-        return self._raw[at]
-
     def decode(self, ids: list[int]) -> str:
         """The text of a segmentation, without the space that encoding puts in front."""
         return b"".join(map(self.raws.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
@@ -303,21 +324,19 @@ class Pieces:
     def walk(self, nodes: np.ndarray, seeds: np.ndarray):
         """From each node back to its word's start: the edges, in the order of nodes, and the steps by node."""
         active, t, taken = np.arange(len(nodes)), 0, []
-        here = nodes
+        here, steps = nodes, np.zeros(len(nodes), np.int64)
         while len(active):
-            u = uniform((seeds[active] if t else seeds) + np.uint64((t * STEP) & MASK))
+            u = uniform(seeds + np.uint64((t * STEP) & MASK))
             pick = self.first[here]
             open_ = np.flatnonzero(u > self.upto[pick])
             while len(open_):
-                pick[open_] += 1
-                open_ = open_[u[open_] > self.upto[pick[open_]]]
+                pick[open_] = after = pick[open_] + 1
+                open_ = open_[u[open_] > self.upto[after]]
             taken.append((active, pick))
-            here = self.source[pick]
+            here, t = self.source[pick], t + 1
+            steps[active[here < 0]] = t
             go = np.flatnonzero(here >= 0)
-            active, here, t = active[go], here[go], t + 1
-        steps = np.zeros(len(nodes), np.int64)
-        for a, _ in taken:
-            steps[a] += 1
+            active, here, seeds = active[go], here[go], seeds[go]
         begin = np.cumsum(steps) - steps
         edges = np.empty(int(steps.sum()), np.int64)
         for t, (a, p) in enumerate(taken):
@@ -450,24 +469,36 @@ def round_of(pieces: Pieces, searches: list[Search], number: int, k: int) -> Non
             s.push(tails[i], path, -1, ())
 
 
-def words_of(text: str) -> list[str]:
-    """The words of the text with a space in front, each with its spaces."""
-    if "  " in text or text[0] == " " or text[-1] == " ":
-        return WORD.findall(" " + text)
-    return [" " + w for w in text.split(" ")]
+def words_of(texts: list[bytes]) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The words of texts with a space in front, each with its spaces, as numbers of different words; where each text begins."""
+    data, offsets = joined([b" " + t for t in texts])
+    space = data == 32
+    begins = space.copy()
+    begins[1:] &= ~space[:-1]
+    begins[offsets[:-1]] = True
+    at = np.append(np.flatnonzero(begins), len(data))
+    words = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)])
+    return words.dictionary_encode(), np.searchsorted(at, offsets)
+
+
+def letters_of(words: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all words, and their numbers by word."""
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[: len(words) + 1]
+    data = words.buffers()[2].slice(0, int(offsets[-1])).to_pybytes()
+    first = (np.frombuffer(data, np.uint8) & 0xC0) != 0x80
+    letters = np.frombuffer(data.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+    return letters.astype(np.int64), np.add.reduceat(first, offsets[:-1], dtype=np.int64)
 
 
 def samples(pieces: Pieces, texts: list[str | None], k: int, seeds: list[int]):
     """Of each text a list of k segmentations at most, best first: (ids, log chance, perturbed log chance, inclusion score)."""
     out: list[list] = [[(np.empty(0, np.int64), 0.0, 0.0, 1.0)] for _ in texts]
     full = [i for i, t in enumerate(texts) if t]
-    words = [words_of(texts[i])[::-1] for i in full]
     if not full:
         return out
-    size = np.cumsum([0, *map(len, words)])
-    known = pieces.learn([w for own in words for w in own])
-    lasts = pieces.last[known]
-    searches = [Search(lasts[size[j] : size[j + 1]], seeds[i]) for j, i in enumerate(full)]
+    words, size = words_of([utf8(texts[i]) for i in full])
+    lasts = pieces.learn(*letters_of(words.dictionary))[np.asarray(words.indices)]
+    searches = [Search(lasts[a:b][::-1], seeds[i]) for i, a, b in zip(full, size[:-1].tolist(), size[1:].tolist(), strict=True)]
     for number in range(k):
         going = [s for s in searches if not number or s.frontier]
         if not going:
@@ -504,8 +535,9 @@ SCHEMA = "sample int, n_pieces int, ids array<int>, log_p double, perturbed doub
 
 def returns(pieces: Pieces, flat: np.ndarray, offsets: np.ndarray, want: list[bytes]) -> np.ndarray:
     """Whether each segmentation, ids offsets[i] to offsets[i + 1], decodes to the bytes wanted."""
-    sizes = np.concatenate([[0], np.cumsum(pieces._raw_size[flat])])[offsets].tolist()
-    raw = pieces.raw(flat).tobytes()
+    taken = pieces._raw.take(pa.array(flat))
+    sizes = np.frombuffer(taken.buffers()[1], np.int64)[offsets].tolist()
+    raw = taken.buffers()[2].to_pybytes()
     return np.array([raw[a:b] == w for a, b, w in zip(sizes[:-1], sizes[1:], want, strict=True)], bool)
 
 

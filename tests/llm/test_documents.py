@@ -504,6 +504,16 @@ def test_samples_do_not_depend_on_the_batch(monkeypatch):
     assert together[0] != together[6] and [f[0] for f in together[1]] == [[]]
 
 
+def test_words_share_the_places_of_their_beginnings():
+    texts = ["under undertake undertaker", "undertaker's", "x" * 60 + " " + "x" * 60 + "y"]
+    model = pieces.Pieces(pieces.model_path())
+    flat = lambda found: [(ids.tolist(), *rest) for ids, *rest in found]
+    together = [flat(f) for f in pieces.samples(model, texts, 4, [1, 2, 3])]
+    # A start, the longest of the first words, and two long ones that have the first 48 places in common.
+    assert len(model.first) == 1 + len(" undertaker's") + 47 + 13 + 14
+    assert together == [flat(pieces.samples(pieces.Pieces(pieces.model_path()), [t], 4, [s])[0]) for t, s in zip(texts, [1, 2, 3], strict=True)]
+
+
 def test_plain_encoding_and_decoding(spark):
     rows = spark.createDataFrame([(1, "a text"), (2, None), (3, ""), (4, "  \n x")], "doc_id long, text string")
     out = pieces.encoded(rows)
